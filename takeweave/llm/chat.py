@@ -57,9 +57,9 @@ WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(tex
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
 r AS (SELECT m.*, s.speaker, CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || role || '|>' || chr(10) END AS head
   FROM m JOIN s ON m.conv_id IS NOT DISTINCT FROM s.conv_id),
-o AS (SELECT *, coalesce(sum(length(head) + length(t) + 8) OVER (PARTITION BY conv_id, speaker ORDER BY turn, role, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM r)
-SELECT conv_id, speaker, turn // 256 AS part, count(*) AS n_turns, count(*) FILTER (WHERE role = speaker) AS n_own_turns, CAST(min(at) AS BIGINT) AS start,
+o AS (SELECT *, coalesce(sum(length(head) + length(t) + 8) OVER (PARTITION BY conv_id, speaker ORDER BY turn, role, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r)
+SELECT conv_id, speaker, turn // 256 AS part, count(*) AS n_turns, count(*) FILTER (WHERE role = speaker) AS n_own_turns, CAST(min(pos) AS BIGINT) AS start,
   string_agg(head || t || '<|end|>' || chr(10), '' ORDER BY turn, role, t) AS text,
-  string_agg(CAST(CAST(at + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(at + length(head) + length(t) + 7 AS BIGINT) AS VARCHAR), ',' ORDER BY turn, role, t) FILTER (WHERE role = speaker) AS masks
+  string_agg(CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(pos + length(head) + length(t) + 7 AS BIGINT) AS VARCHAR), ',' ORDER BY turn, role, t) FILTER (WHERE role = speaker) AS masks
 FROM o GROUP BY conv_id, speaker, turn // 256
 """

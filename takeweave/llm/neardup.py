@@ -7,10 +7,10 @@
    than ``MATCHES`` shared values are skipped, and a class is posted only under the rarest
    ``n - MATCHES + 1`` of its n shared values (prefix): any pair with enough collisions meets there. Values
    that very many documents share (a common passage) thus stay out of the lists unless a document has little else.
-3. In each list, every class is first paired with the list's most central class alone. Pairs are kept when
-   their sizes allow the similarity and their signatures collide often enough, and are confirmed on the full
-   sets. Classes already joined need no further pairs; only members of one list that still lie in different
-   components are compared with each other in the last round, so that no link between components is lost.
+3. In each list, every class is first paired with the list's most central class alone. Pairs are kept when their sizes allow the similarity and their signatures collide
+   often enough, and are confirmed on the full sets. Classes already joined need no further pairs; those that
+   still meet classes of other components are posted once more, now under the rarest of their shingles as an exact
+   prefix filter, and what meets there across components is compared, so that no link between components is lost.
 4. Links are joined to components; each document is labelled with the least doc_id of its component.
 """
 
@@ -30,7 +30,11 @@ from takeweave.session import discard, written
 #: Of 48 coordinates two sets of similarity 0.75 agree in 36 on average with deviation 3; fewer than 23 agree in one of about 80,000 such pairs.
 MATCHES = 23
 PERCENT = 75
-STAR_ROUNDS = 2
+#: Rounds that pair the members of long lists with few others each, before what is left is compared in full.
+NEIGHBOUR_ROUNDS = 1
+REACH = 4
+SHORT_LIST = 8
+BUCKET = 512
 _SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>"
 
 
@@ -70,27 +74,59 @@ class _Join:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, matches: int, percent: int, k: int):
         self.matches, self.percent = matches, percent
-        tokens = classes.select("node", F.posexplode("sig").alias("c", "v")).select("node", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("token"))
+        tokens = classes.select("node", F.col("n_shingles").alias("n"), F.posexplode("sig").alias("c", "v")).select("node", "n", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("token"))
         shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        ranked = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"), F.sum("df").alias("weight"))
-        prefix = ranked.where(F.size("ts") >= matches).select("node", "weight", F.explode(F.slice("ts", F.lit(1), F.size("ts") - matches + 1)).alias("t"))
-        self.postings = written(prefix.select("node", "weight", "t.token"), "postings")
+        ranked = tokens.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"), F.sum("df").alias("weight"))
+        prefix = ranked.where(F.size("ts") >= matches).select("node", "n", "weight", F.explode(F.slice("ts", F.lit(1), F.size("ts") - matches + 1)).alias("t"))
+        self.postings = written(prefix.select("node", "n", "weight", "t.token"), "postings")
         members = self.postings.select("node").distinct()
         self.signatures = written(classes.join(members, "node", "left_semi").select("node", "n_shingles", "sig"), "signatures")
         texts = docs.join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
         self.sets = written(texts.mapInArrow(_set_task(k), "node long, shingles array<long>"), "sets")
 
-    def pivots(self, postings: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each list's most central class with the list's other classes; later rounds take other centres."""
-        rank = -F.col("weight") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        best = postings.groupBy("token").agg(F.min(F.struct(rank.alias("r"), F.col("node"), F.col("component"))).alias("p"))
-        met = postings.join(best, "token").where("node <> p.node and component <> p.component")
+    def pivots(self, lists: DataFrame) -> DataFrame:
+        """Pairs of each list's most central class (the one with the most shared values) with the list's other classes."""
+        best = lists.groupBy("token").agg(F.min(F.struct((-F.col("weight")).alias("r"), F.col("node"), F.col("component"))).alias("p"))
+        met = lists.join(best, "token").where("node <> p.node and component <> p.component")
         return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
-    def rest(self, postings: DataFrame) -> DataFrame:
-        """Pairs of classes that meet in a list and lie in different components."""
-        other = postings.select("token", F.col("node").alias("n2"), F.col("component").alias("c2"))
-        return postings.join(other, "token").where("component < c2").select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct()
+    def neighbours(self, lists: DataFrame, turn: int) -> DataFrame:
+        """Pairs of the members of long lists with the next ``REACH`` members of another component, in an order drawn anew for each list and turn.
+
+        Long lists are dealt into buckets of about ``BUCKET`` members, so the pairs grow with the lists' lengths and no task gets a whole list.
+        """
+        size = F.ceil(F.col("members") / BUCKET)
+        dealt = lists.where(F.col("members") > SHORT_LIST).withColumn("bucket", F.pmod(F.xxhash64("node", F.lit(turn)), size))
+        order = Window.partitionBy("token", "bucket").orderBy(F.xxhash64("node", "token", F.lit(turn)), "node")
+        ahead = F.array(*[F.lead(F.struct("node", "component", "n", "left"), d).over(order) for d in range(1, REACH + 1)])
+        met = dealt.select("node", "component", "n", "left", F.filter(ahead, lambda x: x.isNotNull()).alias("ahead"))
+        able = F.filter("ahead", lambda x: (x["component"] != F.col("component")) & self.reachable(F.col("n"), F.col("left"), x["n"], x["left"]))
+        met = met.select("node", F.explode(able).alias("x"))
+        return met.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
+
+    def exact_lists(self, lists: DataFrame) -> DataFrame:
+        """Postings (node, n, token) of the classes in ``lists`` under their shingles, again by prefix.
+
+        A class of n shingles shares at least ``need`` = percent * n / 100 of them with any class it is linked to. Shingles of one class
+        alone are skipped, and of the others it is posted under the rarest ``shared - need + 1``; a class with fewer shared shingles than
+        it needs is skipped. Copies of one text that differ in more than they may meet in no list, however many they are.
+        """
+        at = lists.select("node").distinct().join(self.sets, "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+        shared = at.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+        ranked = at.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
+        need = F.floor((self.percent * F.col("n") + 99) / 100).cast("int")
+        prefix = ranked.where(F.size("ts") >= need).select("node", "n", F.size("ts").alias("shared"), F.posexplode(F.slice("ts", F.lit(1), F.size("ts") - need + 1)).alias("i", "t"))
+        return written(prefix.select("node", "n", "t.token", (F.col("shared") - F.col("i")).alias("left")), "exact-lists")
+
+    def reachable(self, n1: Column, left1: Column, n2: Column, left2: Column) -> Column:
+        """Whether two classes that first meet at this token can be similar: they share no more than the tokens left to both from here on."""
+        return (100 + self.percent) * F.least(left1, left2) >= self.percent * (n1 + n2)
+
+    def rest(self, lists: DataFrame) -> DataFrame:
+        """Pairs of classes that meet in a list, lie in different components and can still be similar."""
+        other = lists.select("token", F.col("node").alias("n2"), F.col("component").alias("c2"), F.col("n").alias("s2"), F.col("left").alias("l2"))
+        able = self.reachable(F.col("n"), F.col("left"), F.col("s2"), F.col("l2"))
+        return lists.join(other, "token").where((F.col("component") < F.col("c2")) & able).select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct()
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that the sizes, the signatures and at last the full sets confirm."""
@@ -103,14 +139,10 @@ class _Join:
         return full.where(100 * both >= self.percent * (F.size("xa") + F.size("xb") - both)).select("a", "b")
 
 
-def _split_lists(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Postings with their component, of lists that span several components."""
-    if labels is None:
-        named = postings.withColumn("component", F.col("node"))
-    else:
-        named = postings.join(labels, "node", "left").select("node", "weight", "token", F.coalesce("component", "node").alias("component"))
-    spread = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    return named.join(spread, "token", "left_semi")
+def _spanning(named: DataFrame) -> DataFrame:
+    """Of postings with their component: the lists that span several components, with their number of members."""
+    spread = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("token", "members")
+    return named.drop("members").join(spread, "token")
 
 
 def _same_document(full: DataFrame, classes: DataFrame) -> DataFrame:
@@ -120,7 +152,7 @@ def _same_document(full: DataFrame, classes: DataFrame) -> DataFrame:
     return at.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
-def near_duplicates(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT, coordinates: int = COORDINATES, k: int = SHINGLE, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT, coordinates: int = COORDINATES, k: int = SHINGLE, neighbour_rounds: int = NEIGHBOUR_ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text, ...)``.
 
     Two documents are linked when ``100 * intersection >= percent * union`` holds for their shingle sets.
@@ -135,25 +167,24 @@ def near_duplicates(docs: DataFrame, matches: int = MATCHES, percent: int = PERC
     classes = written(full.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select(F.col("r.doc_id").alias("node"), "n_shingles", "d1", "d2", F.col("r.sig").alias("sig")), "classes")
     join = _Join(plain.where("doc_id is not null"), classes, matches, percent, k)
     links = written(_same_document(full, classes), "own")
-    labels, turn = None, 0
-    while True:
-        lists = written(_split_lists(join.postings, labels), "lists")
+    lists = written(_spanning(join.postings.withColumn("component", F.col("node"))), "lists")
+    links = links.union(written(join.links(join.pivots(lists)), "found"))
+    discard(lists)
+    labels = written(components(links), "labels")
+    named = lambda postings: postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    exact = join.exact_lists(_spanning(named(join.postings)))
+    for turn in range(neighbour_rounds + 1):
+        lists = written(_spanning(named(exact)), "lists")
         if lists.isEmpty():
             break
-        last = turn >= star_rounds
-        new = written(join.links(join.rest(lists) if last else join.pivots(lists, turn)), "found")
+        last = turn == neighbour_rounds
+        new = written(join.links(join.rest(lists) if last else join.neighbours(lists, turn)), "found")
         discard(lists)
-        gained = not new.isEmpty()
-        links = links.union(new)
-        if gained:
+        if not new.isEmpty():
+            links = links.union(new)
             labels = written(components(links), "labels")
-        if last:
-            break
-        turn = turn + 1 if gained else star_rounds
-    if labels is None:
-        labels = written(components(links), "labels")
-    named = signed.join(classes.select("n_shingles", "d1", "d2", "node"), ["n_shingles", "d1", "d2"], "left")
-    out = named.join(labels, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
+    classed = signed.join(classes.select("n_shingles", "d1", "d2", "node"), ["n_shingles", "d1", "d2"], "left")
+    out = classed.join(labels, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

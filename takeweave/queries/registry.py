@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("intervals",)
+MODULES = ("intervals", "text", "files")
 
 
 def _all(name: str) -> dict:

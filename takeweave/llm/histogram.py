@@ -16,18 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from takeweave.llm.tokens import TOKENIZER, WordEncoder, chunks
+from takeweave.llm.tokens import TOKENIZER, chunks, encoder
 
 LEVEL = 1024
 
 
 def _length_task(tokenizer: str, extra: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        words = encoder(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in chunks(texts):
-                yield pa.RecordBatch.from_pydict({"length": pa.array(encoder.lengths(texts[a:b]) + extra, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"length": pa.array(words.lengths(texts[a:b]) + extra, pa.int64())})
 
     return run
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from takeweave.llm.tokens import END_ID, TOKENIZER, WordEncoder, chunks
+from takeweave.llm.tokens import END_ID, TOKENIZER, chunks, encoder
 from takeweave.session import written
 
 WINDOW = 2048
@@ -112,13 +112,13 @@ def _pack_task(tokenizer: str, end_id: int, window: int, open_windows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = WordEncoder(tokenizer)
+        words = encoder(tokenizer)
         packer = Packer(TaskContext.get().partitionId() * STRIDE, window, open_windows)
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = [t or "" for t in texts]
             for a, b in chunks(texts):
-                ids, sizes = encoder.encode(texts[a:b], end_id)
+                ids, sizes = words.encode(texts[a:b], end_id)
                 at = 0
                 for doc, n in zip(docs[a:b], sizes.tolist(), strict=True):
                     packer.add(doc, 0, n, ids[at : at + n])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takeweave.llm.simple8b import BLOCK, ShardWriter, read_shard
-from takeweave.llm.tokens import END_ID, TOKENIZER, WordEncoder, chunks
+from takeweave.llm.tokens import END_ID, TOKENIZER, chunks, encoder
 
 NULL_DOC = -(1 << 63)
 MANIFEST = "shard long, file string, docs long, ids long, bytes long"
@@ -40,12 +40,12 @@ def _write_task(path: str, tokenizer: str, end_id: int, block: int):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder, writer, docs_seen = WordEncoder(tokenizer), ShardWriter(block), 0
+        words, writer, docs_seen = encoder(tokenizer), ShardWriter(block), 0
         for batch in batches:
             docs = batch.column(0).fill_null(NULL_DOC).to_numpy(zero_copy_only=False)
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
-                ids, sizes = encoder.encode(texts[a:b], end_id)
+                ids, sizes = words.encode(texts[a:b], end_id)
                 writer.add(docs[a:b], sizes, ids)
             docs_seen += len(texts)
         if docs_seen:

@@ -14,7 +14,7 @@ import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-MAX_WORDS = 1_200_000
+MAX_WORDS = 800_000
 CHUNK_CHARS = 1_000_000
 
 
@@ -141,6 +141,16 @@ class WordEncoder:
         return np.insert(ids, np.cumsum(per_text), end_id), per_text + 1
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(tokenizer: str = TOKENIZER) -> WordEncoder:
+    """The encoder of this Python worker: later tasks of the worker use the words that earlier ones have encoded."""
+    if tokenizer not in _encoders:
+        _encoders[tokenizer] = WordEncoder(tokenizer)
+    return _encoders[tokenizer]
+
+
 class _Index(dict):
     def __init__(self, owner: WordEncoder):
         self.owner = owner

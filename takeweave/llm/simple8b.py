@@ -21,12 +21,38 @@ MAGIC = b"TWS8B\x00\x00\x01"
 _CODES = tuple(range(13))  # selector 13 equals 12 and is not written
 
 
+_SMALL = np.array([v.bit_length() for v in range(1 << 16)], np.uint8)
+
+
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
-    bits = np.zeros(len(ids), np.int64)
-    for s in (32, 16, 8, 4, 2, 1):
-        high = (ids >> (bits + s).astype(np.uint64)) > 0
-        bits += s * high
-    return bits + (ids > 0)
+    if not len(ids) or int(ids.max()) < len(_SMALL):
+        return _SMALL[ids]
+    bits, rest = np.zeros(len(ids), np.uint8), ids
+    for _ in range(4):
+        high = rest >= len(_SMALL)
+        bits += np.where(rest > 0, np.where(high, 16, _SMALL[np.where(high, 0, rest)]), 0).astype(np.uint8)
+        rest = np.where(high, rest >> np.uint64(16), 0)
+    return bits
+
+
+def _choices(ids: np.ndarray, block: int, blocks: int) -> np.ndarray:
+    """The selector that packs most ids from each position on without leaving its block."""
+    n, reach = len(ids), max(COUNTS)
+    grid = np.full((blocks, block + reach), 255, np.uint8)  # beyond a block nothing fits
+    flat = np.full(blocks * block, 255, np.uint8)
+    flat[:n] = bit_lengths(ids)
+    grid[:, :block] = flat.reshape(blocks, block)
+    choice = np.full((blocks, block), ONE, np.int8)
+    choice[grid[:, :block] > 60] = ESCAPE
+    widest, have = grid, 1  # the greatest width in the next ``have`` ids
+    for s in reversed(_CODES):
+        while have < COUNTS[s]:
+            ahead = min(have, COUNTS[s] - have)
+            nxt = widest.copy()
+            nxt[:, :-ahead] = np.maximum(widest[:, :-ahead], widest[:, ahead:])
+            widest, have = nxt, have + ahead
+        choice[widest[:, :block] <= WIDTHS[s]] = s
+    return choice.ravel()[:n]
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -36,15 +62,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     blocks = -(-n // block)
-    end = np.minimum((np.arange(n) // block + 1) * block, n)
-    bits = bit_lengths(ids)
-    choice = np.full(n, ONE, np.int8)
-    choice[bits > 60] = ESCAPE
-    for s in reversed(_CODES):
-        bad = np.concatenate([[0], np.cumsum(bits > WIDTHS[s])])
-        last = np.minimum(np.arange(n) + COUNTS[s], n)
-        fits = (np.arange(n) + COUNTS[s] <= end) & (bad[last] == bad[:n])
-        choice[fits] = s
+    choice = _choices(ids, block, blocks)
     step = np.array([*COUNTS, 1, 1])[choice]
     at = np.arange(blocks) * block
     stop = np.minimum(at + block, n)

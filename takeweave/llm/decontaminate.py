@@ -4,8 +4,8 @@ A document is read in windows as long as a benchmark item. Windows are placed wh
 and the document share begins (a window that shares no shingle with any item cannot be similar, so none is lost), each
 is fingerprinted by a 64-bit SimHash of its words, and looked up in a multi-index: a fingerprint is cut into
 ``RADIUS + 1`` blocks, so any two within ``RADIUS`` bits agree in one block at least. What the index finds within the
-radius is verified on the exact weighted shingle multisets (weight: 1 / number of items that hold the shingle, 1 for
-shingles of no item) and counts from a similarity of ``SIMILARITY``.
+radius is verified on the exact shingle multisets, each shingle weighted by how often it occurs, and counts from a
+similarity of ``SIMILARITY``. (Weights by rarity among the items would lower the score of items that the benchmark holds twice.)
 
 A substitution in an item-sized window changes one word's vote, so windows of a weighted shingle similarity of 0.75 or
 more lie well within the radius; tests/llm/test_decontaminate.py measures it.
@@ -52,14 +52,13 @@ def items_table(benchmark: DataFrame) -> DataFrame:
 
 
 def _similarity() -> tuple[Column, Column]:
-    """Of the window ``wg`` and the item's ``weights`` (g, c, w): counts in both, to be named ``_c``, and the weighted similarity from them."""
+    """Of the window ``wg`` and the item's ``weights`` (g, c): counts in both, to be named ``_c``, and the weighted similarity from them."""
     inside = lambda g: F.size(F.filter("wg", lambda x: x == g))
-    counted = F.transform("weights", lambda x: F.struct(x["c"].alias("c"), x["w"].alias("w"), inside(x["g"]).alias("d")))
+    counted = F.transform("weights", lambda x: F.struct(x["c"].alias("c"), inside(x["g"]).alias("d")))
     total = lambda f: F.aggregate(F.col("_c"), F.lit(0.0), lambda a, x: a + f(x))
-    both = total(lambda x: x["w"] * F.least(x["c"], x["d"]))
-    item = total(lambda x: x["w"] * x["c"])
-    window = F.size("wg") + total(lambda x: (x["w"] - 1) * x["d"])
-    return counted, both / (item + window - both)
+    both = total(lambda x: F.least(x["c"], x["d"]))
+    item = total(lambda x: x["c"])
+    return counted, both / (item + F.size("wg") - both)
 
 
 def _short_run(n: int):
@@ -74,8 +73,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", si
     """
     items = items_table(benchmark)
     grams = items.select("item_id", "n", F.posexplode("grams").alias("q", "g"), "grams")
-    df = grams.groupBy("g").agg(F.countDistinct("item_id").alias("df"))
-    weights = grams.groupBy("item_id", "g").agg(F.count("*").alias("c")).join(df, "g").groupBy("item_id").agg(F.collect_list(F.struct("g", F.col("c").cast("int").alias("c"), (1.0 / F.col("df")).alias("w"))).alias("weights"))
+    weights = grams.groupBy("item_id", "g").agg(F.count("*").alias("c")).groupBy("item_id").agg(F.collect_list(F.struct("g", F.col("c").cast("int").alias("c"))).alias("weights"))
     places = grams.select("g", "q", "n", F.when(F.col("q") > 0, F.get("grams", F.col("q") - 1)).alias("prev")).groupBy("g").agg(F.collect_set(F.struct("q", "n", "prev")).alias("at"))
     places = written(places, "places")
     total = places.count()

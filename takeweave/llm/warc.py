@@ -107,11 +107,16 @@ def _write_task(path: str, roll_bytes: int):
         from pyspark import TaskContext
 
         roller = _Roller(path, TaskContext.get().partitionId(), roll_bytes)
+        held = (None, None, None, None)  # page_id, digest, refers_to and its url of the last reference row
         for batch in batches:
-            cols = [batch.column(k) for k in range(5)]
+            cols = [batch.column(k) for k in range(6)]
             for k in range(batch.num_rows):
-                page_id, url, html, refers, refers_url = (c[k].as_py() for c in cols)
-                roller.add(page_id, page_record(page_id, url, html.encode("utf-8", "surrogatepass"), refers, refers_url))
+                page_id, digest, kind, url, html, refers = (c[k].as_py() for c in cols)
+                if kind == 0:
+                    held = (page_id, digest, refers, url)
+                    continue
+                first, first_url = held[2:] if held[:2] == (page_id, digest) else (None, None)
+                roller.add(page_id, page_record(page_id, url, html.encode("utf-8", "surrogatepass"), first, first_url))
         roller.close()
         if roller.rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*roller.rows, strict=True), (pa.string(), *[pa.int64()] * 4), strict=True)], names=["file", "records", "bytes", "first_page", "last_page"])
@@ -132,10 +137,13 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, min_re
     keyed = text.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     repeated = keyed.where(F.octet_length("html") >= min_revisit_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"))
     repeated = repeated.where("n > 1 and first is not null").select("digest", "first")
-    far = F.coalesce(F.col("page_id") != F.col("first.page_id"), F.col("first").isNotNull())
-    full = keyed.join(repeated, "digest", "left").select("page_id", "url", "html", F.when(far, F.col("first.page_id")).alias("refers_to"), F.when(far, F.col("first.url")).alias("refers_url"))
+    far = F.coalesce(F.col("page_id") != F.col("first.page_id"), F.lit(True))
+    revisits = keyed.select("page_id", "digest").join(repeated, "digest").where(far)
+    # Reference rows (kind 0) travel with the pages and stand right before those they concern, so the payloads move once.
+    refs = revisits.select("page_id", "digest", F.lit(0).alias("kind"), F.col("first.url").alias("url"), F.lit(None).cast("string").alias("html"), F.col("first.page_id").alias("refers_to")).distinct()
+    rows = keyed.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to")).union(refs)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = full.repartitionByRange(n, F.col("page_id").asc_nulls_first()).sortWithinPartitions(F.col("page_id").asc_nulls_first(), "url", "html")
+    ordered = rows.repartitionByRange(n, F.col("page_id").asc_nulls_first()).sortWithinPartitions(F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
     ordered.mapInArrow(_write_task(path, roll_bytes), MANIFEST).write.parquet(f"{path}/_manifest")
 
 

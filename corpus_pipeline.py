@@ -41,7 +41,7 @@ STAGES = [
     ("pack", pack_stage),
 ]
 
-#: Signatures, fingerprints and token ids cannot be told in SQL; tests/llm/test_pipeline.py holds the stages against brute force.
+#: Signatures, fingerprints and token ids cannot be told in SQL; tests/llm/test_brute_force.py holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ radius is verified on the exact shingle multisets, each shingle weighted by how
 similarity of ``SIMILARITY``. (Weights by rarity among the items would lower the score of items that the benchmark holds twice.)
 
 A substitution in an item-sized window changes one word's vote, so windows of a weighted shingle similarity of 0.75 or
-more lie well within the radius; tests/llm/test_decontaminate.py measures it.
+more lie well within the radius; tests/llm/test_brute_force.py holds the result against all windows of all lengths.
 
 Null texts and items without words match nothing. Items shorter than five words match as a whole sequence. Items with
 equal text are each reported. Rows with equal doc_id are searched one by one. An empty benchmark or corpus gives no rows.

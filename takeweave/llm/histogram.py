@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeweave.llm.tokens import TOKENIZER, chunks, encoder
+from takeweave.session import written
 
 LEVEL = 1024
 
@@ -45,8 +46,9 @@ def context_totals(histogram: DataFrame) -> DataFrame:
     shorter than L: the quantiles q with rank_below <= q * total_docs < rank_below + n_docs are L).
     For a limit between two lengths, truncated tokens are those of the next lower L plus
     (limit - L) * (docs_at_least - n_docs).
+    The histogram is written once, for both levels to read: it has one row a length, its input is the whole corpus.
     """
-    h = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("_t"), F.floor(F.col("length") / LEVEL).alias("_b"))
+    h = written(histogram, "histogram").select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("_t"), F.floor(F.col("length") / LEVEL).alias("_b"))
     blocks = h.groupBy("_b").agg(F.sum("n_docs").alias("_bd"), F.sum("_t").alias("_bt"))
     after = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -14,32 +14,51 @@ Conversations of system turns only have no participant and no rows; an empty tab
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURNS_PER_PART = 256
 END = "<|end|>"
 
 
+def _head(role: Column, speaker: Column) -> Column:
+    return F.when(role == "system", F.lit("<|system|>\n")).when(role == speaker, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
+
+
+def _starts(turns: DataFrame) -> DataFrame:
+    """(_k, _n, part, speaker, start): where each speaker's rendering of a part begins, from the lengths alone."""
+    nobody = F.lit(None).cast("string")
+    by_role = turns.groupBy("_k", "_n", "part", "role").agg(F.count("*").alias("n"), F.sum(F.length("t").cast("long")).alias("chars"))
+    speakers = by_role.where("role <> 'system'").select("_k", "_n", F.col("role").alias("speaker")).distinct()
+    size = F.col("chars") + F.col("n") * (F.length(_head(F.col("role"), nobody)) + len(END) + 1)
+    totals = by_role.groupBy("_k", "_n", "part").agg(F.sum(size).alias("size"))
+    saved = F.col("n") * (F.length(_head(F.col("role"), F.col("role"))) - F.length(_head(F.col("role"), nobody)))
+    own = by_role.where("role <> 'system'").select("_k", "_n", "part", F.col("role").alias("speaker"), saved.alias("own"))
+    sizes = totals.join(speakers, ["_k", "_n"]).join(own, ["_k", "_n", "part", "speaker"], "left")
+    before = Window.partitionBy("_k", "_n", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("_k", "_n", "part", "speaker", F.coalesce(F.sum(F.col("size") + F.coalesce("own", F.lit(0))).over(before), F.lit(0)).cast("long").alias("start"))
+
+
 def rotate(conversations: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
-    """(conv_id, speaker, part, n_turns, n_own_turns, start, text, masks): masks are "begin:end" joined by commas."""
+    """(conv_id, speaker, part, n_turns, n_own_turns, start, text, masks): masks are "begin:end" joined by commas.
+
+    The texts are shuffled once, to gather each part; they meet the speakers where they lie, and only there the renderings arise.
+    """
     c = conversations
-    m = c.select(
+    turns = c.select(
         c["conv_id"].alias("conv_id"),
+        F.coalesce(c["conv_id"].cast("string"), F.lit("")).alias("_k"),
+        c["conv_id"].isNull().alias("_n"),
         c["turn"].cast("long").alias("turn"),
         F.coalesce(c["role"].cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(c["text"].cast("string"), F.lit("")).alias("t"),
     ).withColumn("part", F.floor(F.coalesce("turn", F.lit(-1)) / turns_per_part))
-    speakers = m.where("role <> 'system'").select(F.col("conv_id").alias("_c"), F.col("role").alias("speaker")).distinct()
-    seen = m.join(speakers, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
-    own = F.col("role") == F.col("speaker")
-    head = F.when(F.col("role") == "system", F.lit("<|system|>\n")).when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), "role", F.lit("|>\n")))
-    seen = seen.select("conv_id", "speaker", "part", F.struct("turn", "role", "t", head.alias("head"), own.alias("own")).alias("x"))
-    parts = seen.groupBy("conv_id", "speaker", "part").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    parts = turns.groupBy("_k", "_n", "part").agg(F.min("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("turn", "role", "t"))).alias("xs"))
+    parts = parts.join(_starts(turns), ["_k", "_n", "part"])
+    marked = F.transform("xs", lambda x: F.struct(x["t"].alias("t"), _head(x["role"], F.col("speaker")).alias("head"), (x["role"] == F.col("speaker")).alias("own")))
+    parts = parts.select("conv_id", "speaker", "part", "start", marked.alias("xs"))
     pieces = F.transform("xs", lambda x: F.concat(x["head"], x["t"], F.lit(END + "\n")))
     parts = parts.select("*", F.array_join(pieces, "").alias("text"))
-    before = Window.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("start", F.coalesce(F.sum(F.length("text").cast("long")).over(before), F.lit(0)).cast("long"))
     zero = F.struct(F.col("start").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("intervals", "text", "files")
+MODULES = ("intervals", "text", "files", "records")
 
 
 def _all(name: str) -> dict:

@@ -33,7 +33,7 @@ def _edl_files(s, d):
 QUERIES = {
     "k01_subtitles": lambda s, d: sinks.subtitles(_spans(s, d)),
     "k02_transcript": lambda s, d: sinks.transcript(_spans(s, d)),
-    "k05_cut_markers": lambda s, d: sinks.cut_markers(_spans(s, d).where("id % 3 = 0")),
+    "k05_cut_markers": lambda s, d: sinks.cut_markers(_spans(s, d)),
     "s01_s02_words": lambda s, d: readers.cleaned_words(readers.words(_word_files(s, d))).select("rec_id", "text", "start_ms", "end_ms", "reordered"),
     "s04_k06_edit_lists": lambda s, d: readers.edit_lists(_edl_files(s, d)).select("rec_id", "s_ms", "e_ms", "action"),
     "s05_k03_markers": lambda s, d: readers.markers(_as_files(sinks.markers(_spans(s, d)), "csv")),
@@ -49,7 +49,7 @@ _D = "epoch_us(ts)//1000"
 ORACLES = {
     "k01_subtitles": f"WITH {T}, n AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY t0, t1, cand_id) AS no FROM t) SELECT rec_id, string_agg(no || chr(10) || {_STAMP.format(c='t0', m=',')} || ' --> ' || {_STAMP.format(c='t1', m=',')} || chr(10) || {_TX} || chr(10), chr(10) ORDER BY no) AS srt FROM n GROUP BY rec_id",
     "k02_transcript": f"WITH {T} SELECT rec_id, string_agg({_TX}, chr(10) ORDER BY t0, t1, cand_id) AS txt FROM t GROUP BY rec_id",
-    "k05_cut_markers": f"WITH {T}, n AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY t0, t1) AS no FROM t WHERE cand_id % 3 = 0) SELECT rec_id, 'CUT_' || no AS name, {_STAMP.format(c='t0', m='.')} AS start, 0 AS duration_ms FROM n UNION ALL SELECT rec_id, 'END_' || no, {_STAMP.format(c='t1', m='.')}, 0 FROM n UNION ALL SELECT rec_id, 'CUTSPAN_' || no, {_STAMP.format(c='t0', m='.')}, t1 - t0 FROM n",
+    "k05_cut_markers": f"WITH {T}, n AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY t0, t1) AS no FROM t) SELECT rec_id, 'CUT_' || no AS name, {_STAMP.format(c='t0', m='.')} AS start, 0 AS duration_ms FROM n UNION ALL SELECT rec_id, 'END_' || no, {_STAMP.format(c='t1', m='.')}, 0 FROM n UNION ALL SELECT rec_id, 'CUTSPAN_' || no, {_STAMP.format(c='t0', m='.')}, t1 - t0 FROM n",
     "s01_s02_words": f"WITH {T} SELECT CAST(rec_id AS VARCHAR) AS rec_id, {_TX} AS text, t0 AS start_ms, t1 AS end_ms, false AS reordered FROM t WHERE t1 > t0",
     "s04_k06_edit_lists": f"WITH {T} SELECT CAST(rec_id AS VARCHAR) AS rec_id, t0 AS s_ms, t1 AS e_ms, CASE WHEN cand_id % 2 = 0 THEN 'cut' ELSE 'keep' END AS action FROM t WHERE t1 > t0",
     "s05_k03_markers": f"WITH {T} SELECT CAST(rec_id AS VARCHAR) AS rec_id, 'L' || cand_id AS name, t0 AS s_ms, t1 AS e_ms, 'keep' AS state FROM t",

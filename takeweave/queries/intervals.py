@@ -64,7 +64,7 @@ QUERIES = {
     "i10_merge_padded": lambda s, d: iv.merge(iv.pad(_iv(s, d)), GAP),
     "i11_fold_short": lambda s, d: iv.folded(_iv(s, d), SHORT),
     "i12_split_long": lambda s, d: iv.split_long(_iv(s, d), HOUR),
-    "j09_active_at": lambda s, d: iv.active_at(_b(s, d).select("rec_id", F.monotonically_increasing_id().alias("id"), F.col("b").alias("x")), _iv(s, d).where("id % 2 = 0")).groupBy("rec_id").agg(F.count("*").alias("n"), F.sum("iv_id").alias("sum_iv")),
+    "j09_active_at": lambda s, d: iv.active_at(_b(s, d).select("rec_id", F.monotonically_increasing_id().alias("id"), F.col("b").alias("x")), _iv(s, d)).groupBy("rec_id").agg(F.count("*").alias("n"), F.sum("iv_id").alias("sum_iv")),
     "d04_best_path": lambda s, d: rt.best_path(takes(s, d)).select("rec_id", F.size("path").alias("n"), F.round("value", 6).alias("value")),
     "d07_monotonic": lambda s, d: rt.monotonic(takes(s, d)).select("rec_id", "cand_id"),
     "d08_adjacent_spans": lambda s, d: rt.adjacent_spans(takes(s, d), HOUR),
@@ -104,7 +104,7 @@ ORACLES = {
     "i09_pad": f"WITH {T} SELECT rec_id, cand_id AS id, greatest(t0 - 80, 0) AS s_ms, t1 + 120 AS e_ms FROM t",
     "i10_merge_padded": f"WITH {T}, x AS (SELECT rec_id, greatest(t0 - 80, 0) AS s_ms, t1 + 120 AS e_ms FROM t), {_M.format(gap=GAP)} SELECT * FROM m",
     "i12_split_long": f"WITH {T}, a AS (SELECT rec_id, t1, unnest(generate_series(t0, t1 - 1, {HOUR})) AS s FROM t WHERE t1 > t0) SELECT rec_id, s AS s_ms, least(s + {HOUR}, t1) AS e_ms FROM a",
-    "j09_active_at": f"WITH {T}, b AS (SELECT rec_id, t0 AS x FROM t WHERE k = 'error'), h AS (SELECT b.rec_id, (SELECT arg_min(c.cand_id, struct_pack(a := c.t0, b := c.cand_id)) FROM t c WHERE c.rec_id = b.rec_id AND c.cand_id % 2 = 0 AND b.x BETWEEN c.t0 AND c.t1 + 50) AS v FROM b) SELECT rec_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS sum_iv FROM h GROUP BY rec_id",
+    "j09_active_at": f"WITH {T}, b AS (SELECT rec_id, t0 AS x FROM t WHERE k = 'error'), h AS (SELECT b.rec_id, (SELECT arg_min(c.cand_id, struct_pack(a := c.t0, b := c.cand_id)) FROM t c WHERE c.rec_id = b.rec_id AND b.x BETWEEN c.t0 AND c.t1 + 50) AS v FROM b) SELECT rec_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS sum_iv FROM h GROUP BY rec_id",
     "d07_monotonic": f"WITH RECURSIVE {T}, {_MONO.format(src='t')} SELECT rec_id, cand_id FROM mono WHERE ok",
     "d08_adjacent_spans": f"WITH {T}, a AS (SELECT *, CASE WHEN t0 - lag(t1) OVER (PARTITION BY rec_id ORDER BY t0, t1, cand_id) > {HOUR} THEN 1 ELSE 0 END AS f FROM t), b AS (SELECT *, sum(f) OVER (PARTITION BY rec_id ORDER BY t0, t1, cand_id ROWS UNBOUNDED PRECEDING) AS span FROM a) SELECT rec_id, CAST(span AS BIGINT) AS span, min(t0) AS s_ms, max(t1) AS e_ms, string_agg(CAST(cand_id AS VARCHAR), ',' ORDER BY t0, t1, cand_id) AS ids, array_to_string(list_slice(list(CAST(cand_id AS VARCHAR) ORDER BY t0, t1, cand_id), 1, 3), '/') AS preview FROM b GROUP BY rec_id, span",
     "d09_merged_cuts": f"WITH {T}, x AS (SELECT rec_id, t0 AS s_ms, t1 AS e_ms FROM t WHERE k = 'click'), {_M.format(gap=0)} SELECT rec_id, count(*) AS n_cuts, CAST(sum(e_ms - s_ms) AS BIGINT) AS cut_ms FROM m GROUP BY rec_id",

@@ -111,3 +111,74 @@ def preview(c: Column, n: int = 48) -> Column:
 def hard_stops(c: Column) -> Column:
     """Pieces that end in their stop marks and closers."""
     return F.regexp_extract_all(c, F.lit(f"[^{STOPS}]+[{STOPS}]*[{CLOSERS}]*"), F.lit(0))
+
+
+# Abbreviations whose dot ends no sentence, number signs and unit words.
+ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "St", "vs", "etc", "e.g", "i.e")
+NUMBER_SIGNS, NUMBER_DIGITS = "零〇一二三四五六七八九两", "001234567892"
+UNITS = (("毫秒", "ms"), (" milliseconds", "ms"), ("秒", "s"), (" seconds", "s"), ("分钟", "min"), (" minutes", "min"), ("小时", "h"), (" hours", "h"))
+HELD_DOT = chr(0xE000)
+
+
+def drop_foreign(c: Column, depth: int = 2) -> Column:
+    """Bracketed parts whose solid characters are ASCII to 70 % or more go, innermost first, ``depth`` levels."""
+    for _ in range(depth):
+        parts = F.regexp_extract_all(c, F.lit("[(（][^()（）]*[)）]|[^()（）]+|[()（）]"), F.lit(0))
+        solid, plain = (lambda p: F.length(F.regexp_replace(p, "[ \\n\\t]", ""))), (lambda p: F.length(F.regexp_replace(p, "[^!-~]", "")))
+        c = F.array_join(F.filter(parts, lambda p: ~(F.substring(p, 1, 1).isin("(", "（") & (F.length(p) > 1) & (10 * plain(p) >= 7 * solid(p)))), "")
+    return c
+
+
+def drop_ascii_tail(c: Column) -> Column:
+    """An ASCII tail after the last CJK character or mark goes."""
+    return F.regexp_replace(c, f"([{CJK}{CJK_MARKS}])[ ]*[!-~][ -~]*\\z", "$1")
+
+
+def compatibility_pairs() -> tuple[str, str]:
+    """Radicals and compatibility ideographs with the character that NFKC gives them."""
+    import unicodedata
+
+    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for r in (range(0x2E80, 0x2FE0), range(0xF900, 0xFB00)) for c in r]
+    pairs = [(a, b) for a, b in pairs if a != b and len(b) == 1]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def compatibility(c: Column) -> Column:
+    """Compatibility characters to their plain form."""
+    return F.translate(c, *compatibility_pairs())
+
+
+def unmapped(c: Column) -> Column:
+    """Number of characters of the compatibility ranges that have no plain form."""
+    return F.length(F.regexp_replace(compatibility(c), "[^\\x{2E80}-\\x{2FDF}\\x{F900}-\\x{FAFF}]", ""))
+
+
+def mixed_width(c: Column) -> Column:
+    """Narrow digits, lower case, one space between CJK and Latin letters or digits."""
+    c = F.lower(F.translate(c, FULL_WIDTH[15:25], HALF_WIDTH[15:25]))
+    return F.regexp_replace(F.regexp_replace(c, f"([{CJK}])([a-z0-9])", "$1 $2"), f"([a-z0-9])([{CJK}])", "$1 $2")
+
+
+def unit_form(c: Column) -> Column:
+    """Lower case, number signs as digits, unit words as their short forms."""
+    c = F.translate(F.lower(c), NUMBER_SIGNS, NUMBER_DIGITS)
+    for word, unit in UNITS:
+        c = F.replace(c, F.lit(word), F.lit(unit))
+    return c
+
+
+def hold_dots(c: Column) -> Column:
+    """Dots inside addresses, domains and numbers and after abbreviations as a private character."""
+    for _ in range(2):
+        c = F.regexp_replace(c, "([A-Za-z0-9])\\.([A-Za-z0-9])", f"$1{HELD_DOT}$2")
+    known = "|".join(a.replace(".", HELD_DOT) for a in ABBREVIATIONS)
+    return F.regexp_replace(c, f"(^|[^A-Za-z])({known})\\.", f"$1$2{HELD_DOT}")
+
+
+def hold_inner_dots(c: Column) -> Column:
+    """White space collapsed, dots before anything but the end or a capital as a private character."""
+    return F.regexp_replace(F.regexp_replace(c, "[ \\n\\t]+", " "), "\\.( ?[^A-Z .])", f"{HELD_DOT}$1")
+
+
+def release_dots(c: Column) -> Column:
+    return F.translate(c, HELD_DOT, ".")

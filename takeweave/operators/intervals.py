@@ -108,3 +108,28 @@ def active_at(points: DataFrame, iv: DataFrame, tail: int = 50, cell_ms: int = 3
     hit = p.join(cells, (p.rec_id == cells.r) & (p.cell == cells.c) & F.col("x").between(F.col("s_ms"), F.col("e_ms") + tail))
     best = hit.groupBy("rec_id", "id").agg(F.min_by("iv_id", F.struct("s_ms", "iv_id")).alias("iv_id"))
     return points.join(best, ["rec_id", "id"], "left").select("rec_id", "id", "iv_id")
+
+
+def snap_inside(iv: DataFrame, boundaries: DataFrame, radius: int = 200) -> DataFrame:
+    """``iv(rec_id, id, s_ms, e_ms)`` with ends moved to the nearest boundary within ``radius`` that lies inside the interval."""
+    s = nearest(iv.select("rec_id", "id", F.col("s_ms").alias("x")), boundaries, radius).select("rec_id", "id", F.col("b").alias("sb"))
+    e = nearest(iv.select("rec_id", "id", F.col("e_ms").alias("x")), boundaries, radius).select("rec_id", "id", F.col("b").alias("eb"))
+    j = iv.join(s, ["rec_id", "id"]).join(e, ["rec_id", "id"])
+    a = F.when(F.col("sb").between(F.col("s_ms"), F.col("e_ms")), F.col("sb")).otherwise(F.col("s_ms"))
+    z = F.when(F.col("eb").between(F.col("s_ms"), F.col("e_ms")), F.col("eb")).otherwise(F.col("e_ms"))
+    return j.select("rec_id", "id", a.alias("s_ms"), F.greatest(a, z).alias("e_ms"))
+
+
+def audit(iv: DataFrame, boundaries: DataFrame, radius: int, gap: int) -> DataFrame:
+    """One row an interval with its way through snapping, padding and merging.
+
+    orig_s/e, snap_s/e, pad_s/e; merged_into is the least id of the island it ends in, final_s/e that island's ends.
+    """
+    snapped = snap_inside(iv, boundaries, radius).select("rec_id", "id", F.col("s_ms").alias("snap_s"), F.col("e_ms").alias("snap_e"))
+    padded = pad(snapped.withColumn("s_ms", F.col("snap_s")).withColumn("e_ms", F.col("snap_e")))
+    order = Window.partitionBy("rec_id").orderBy("s_ms", "e_ms", "id")
+    fresh = F.when(F.col("s_ms") > F.max("e_ms").over(order.rowsBetween(Window.unboundedPreceding, -1)) + gap, 1).otherwise(0)
+    p = padded.withColumn("_new", fresh).withColumn("_i", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    island = Window.partitionBy("rec_id", "_i")
+    p = p.select("rec_id", "id", "snap_s", "snap_e", F.col("s_ms").alias("pad_s"), F.col("e_ms").alias("pad_e"), F.min("id").over(island).alias("merged_into"), F.min("s_ms").over(island).alias("final_s"), F.max("e_ms").over(island).alias("final_e"))
+    return iv.select("rec_id", "id", F.col("s_ms").alias("orig_s"), F.col("e_ms").alias("orig_e")).join(p, ["rec_id", "id"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("intervals", "text", "files", "records", "matching", "reports")
+MODULES = ("intervals", "text", "files", "records", "matching", "reports", "layout")
 
 
 def _all(name: str) -> dict:

@@ -104,3 +104,9 @@ def mapping(files: DataFrame) -> DataFrame:
     x = files.select(F.col("rec_id").alias("prio"), F.explode(F.coalesce(lists, single)).alias("key", "vs")).select("prio", "key", F.explode("vs").alias("value"))
     best = F.row_number().over(Window.partitionBy("value").orderBy("prio", "key"))
     return x.withColumn("_r", best).where("_r = 1").select("key", "value")
+
+
+def batch_reports(files: DataFrame) -> DataFrame:
+    """(rec_id, stem, lines, mode) of nested batch reports in files(rec_id, content) (S10). Reports that do not parse have no row."""
+    layout = "prep_norm struct<items: array<struct<stem: string, lines: bigint, mode: string>>>"
+    return files.select("rec_id", F.explode(F.from_json("content", layout)["prep_norm"]["items"]).alias("x")).select("rec_id", "x.*")

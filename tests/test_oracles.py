@@ -47,3 +47,17 @@ def test_fold_and_pack_invariants(spark):
     assert all(n >= 300_000 or len(v) == 1 for v in by_rec.values() for n in v)
     assert QUERIES["g06_packed_pieces"](spark, SF).where("longest > 200").isEmpty()
     assert QUERIES["d04_best_path"](spark, SF).where("n < 1").isEmpty()
+
+
+def test_pieces_join_to_the_text(spark):
+    pieces = {r["doc_id"]: r["joined"] for r in QUERIES["g05_g07_g09_pieces"](spark, SF).collect()}
+    want = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", r"regexp_replace(text, '\\s+', ' ') as t").collect()
+    assert pieces == {r["doc_id"]: r["t"] for r in want}
+
+
+def test_greedy_order_never_steps_back(spark):
+    end = {}
+    for r in QUERIES["m15_greedy_order"](spark, SF).orderBy("rec_id", "line").collect():
+        assert r["s"] >= end.get(r["rec_id"], 0)
+        end[r["rec_id"]] = r["e"]
+    assert end

@@ -1,14 +1,13 @@
-"""Benchmark decontamination with SimHash windows of item size.
+"""Benchmark decontamination with windows of item size, counted exactly.
 
-A document is read in windows as long as a benchmark item. Windows are placed where a run of shingles that the item
-and the document share begins (a window that shares no shingle with any item cannot be similar, so none is lost), each
-is fingerprinted by a 64-bit SimHash of its words, and looked up in a multi-index: a fingerprint is cut into
-``RADIUS + 1`` blocks, so any two within ``RADIUS`` bits agree in one block at least. What the index finds within the
-radius is verified on the exact shingle multisets, each shingle weighted by how often it occurs, and counts from a
-similarity of ``SIMILARITY``. (Weights by rarity among the items would lower the score of items that the benchmark holds twice.)
+A document is read in windows as long as a benchmark item. Only positions whose shingle some item holds (hits) are kept; from them
+the shared shingles of every window of a document and item are counted as multisets: a hit counts for the starts from which the
+window reaches it and does not yet hold as many of its shingle as the item, which is one interval of starts, so the windows that
+cover most intervals are the best ones, whatever the order of the passages. Compared are a document and the items of which it has
+one of the rarest shingles, as many as a window may miss and one more; a window without any of them is below ``SIMILARITY``.
+(Weights by rarity among the items would lower the score of items that the benchmark holds twice.)
 
-A substitution in an item-sized window changes one word's vote, so windows of a weighted shingle similarity of 0.75 or
-more lie well within the radius; tests/llm/test_brute_force.py holds the result against all windows of all lengths.
+The best window and the item are fingerprinted by a 64-bit SimHash of their words; pairs within ``RADIUS`` bits are reported.
 
 Null texts and items without words match nothing. Items shorter than five words match as a whole sequence. Items with
 equal text are each reported. Rows with equal doc_id are searched one by one. An empty benchmark or corpus gives no rows.
@@ -16,7 +15,7 @@ equal text are each reported. Rows with equal doc_id are searched one by one. An
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeweave.llm.textcols import SHINGLE, hashes, shingle_hashes, word_array
@@ -24,9 +23,10 @@ from takeweave.session import written
 
 SIMILARITY = 0.75
 RADIUS = 15
-#: Shingles of one benchmark block that is broadcast to the executors (about 40 bytes each); a larger benchmark is searched block by block.
+#: Shingles of one benchmark block that is broadcast to the executors (about 100 bytes each); a larger benchmark is searched block by block.
 BLOCK_SHINGLES = 200_000
-_BITS = 64 // (RADIUS + 1)
+#: Hits are compared in cells of so many positions, so that a long document with many items does not meet each of them as a whole.
+CELL = 256
 
 
 def simhash(word_hashes: Column) -> Column:
@@ -35,30 +35,32 @@ def simhash(word_hashes: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: F.when(votes(b) * 2 > F.size(word_hashes), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(acc))
 
 
-def _block(fingerprint: Column, b: Column) -> Column:
-    return F.call_function("shiftrightunsigned", fingerprint, b * _BITS).bitwiseAND(F.lit((1 << _BITS) - 1))
-
-
 def _lower_words(text: Column) -> Column:
     return word_array(F.lower(text))
 
 
 def items_table(benchmark: DataFrame) -> DataFrame:
-    """item_id, ih (word hashes), n, k (shingle length), fingerprint, grams of each item with words."""
-    t = benchmark.select(benchmark["item_id"].alias("item_id"), hashes(_lower_words(benchmark["text"].cast("string"))).alias("ih"))
-    t = t.withColumn("n", F.size("ih")).where("n > 0").withColumn("k", F.least(F.lit(SHINGLE), "n"))
+    """_i (row), item_id, n (words), size (shingles), fingerprint, grams of each item with words."""
+    t = benchmark.select(benchmark["item_id"].alias("item_id"), F.monotonically_increasing_id().alias("_i"), hashes(_lower_words(benchmark["text"].cast("string"))).alias("ih"))
+    t = t.withColumn("n", F.size("ih")).where("n > 0")
     short = F.when(F.col("n") < SHINGLE, F.array(F.xxhash64(F.lit(0), F.col("n"), F.array_join(F.transform("ih", lambda x: x.cast("string")), " "))))
-    return written(t.withColumn("fingerprint", simhash(F.col("ih"))).withColumn("grams", F.coalesce(short, shingle_hashes(F.col("ih"), F.col("n")))), "items")
+    t = t.withColumn("fingerprint", simhash(F.col("ih"))).withColumn("grams", F.coalesce(short, shingle_hashes(F.col("ih"), F.col("n"))))
+    return written(t.select("_i", "item_id", "n", F.size("grams").alias("size"), "fingerprint", "grams"), "items")
+
+
+def _missing(size: Column, similarity: float) -> Column:
+    """Shingles of an item of ``size`` that a window of at least ``similarity`` may lack."""
+    return size - F.ceil(size * F.lit(similarity) - F.lit(1e-9))
 
 
-def _similarity() -> tuple[Column, Column]:
-    """Of the window ``wg`` and the item's ``weights`` (g, c): counts in both, to be named ``_c``, and the weighted similarity from them."""
-    inside = lambda g: F.size(F.filter("wg", lambda x: x == g))
-    counted = F.transform("weights", lambda x: F.struct(x["c"].alias("c"), inside(x["g"]).alias("d")))
-    total = lambda f: F.aggregate(F.col("_c"), F.lit(0.0), lambda a, x: a + f(x))
-    both = total(lambda x: F.least(x["c"], x["d"]))
-    item = total(lambda x: x["c"])
-    return counted, both / (item + F.size("wg") - both)
+def _places(items: DataFrame, weights: DataFrame, similarity: float) -> DataFrame:
+    """Of each shingle of the items: those before and after it (a few), and the items (_i, size) that it has to find."""
+    grams = items.select("_i", F.posexplode("grams").alias("q", "g"), "grams").select("g", F.when(F.col("q") > 0, F.get("grams", F.col("q") - 1)).alias("prev"), F.get("grams", F.col("q") + 1).alias("next"))
+    around = grams.groupBy("g").agg(F.slice(F.collect_set("prev"), 1, 8).alias("prevs"), F.slice(F.collect_set("next"), 1, 8).alias("nexts"))
+    rarest = Window.partitionBy("_i").orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)
+    first = weights.join(weights.groupBy("g").agg(F.count("*").alias("df")), "g").withColumn("before", F.coalesce(F.sum("c").over(rarest), F.lit(0)))
+    first = first.where(F.col("before") <= _missing(F.col("size"), similarity)).groupBy("g").agg(F.collect_list(F.struct("_i", "size")).alias("finds"))
+    return around.join(first, "g", "left")
 
 
 def _short_run(n: int):
@@ -72,12 +74,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", si
     ``start_word`` counts from 0; ties take the earliest window.
     """
     items = items_table(benchmark)
-    grams = items.select("item_id", "n", F.posexplode("grams").alias("q", "g"), "grams")
-    weights = grams.groupBy("item_id", "g").agg(F.count("*").alias("c")).groupBy("item_id").agg(F.collect_list(F.struct("g", F.col("c").cast("int").alias("c"))).alias("weights"))
-    places = grams.select("g", "q", "n", F.when(F.col("q") > 0, F.get("grams", F.col("q") - 1)).alias("prev")).groupBy("g").agg(F.collect_set(F.struct("q", "n", "prev")).alias("at"))
-    places = written(places, "places")
-    total = places.count()
-    blocks = max(1, -(-total // BLOCK_SHINGLES))
+    weights = written(items.select("_i", "n", "size", F.explode("grams").alias("g")).groupBy("_i", "n", "size", "g").agg(F.count("*").alias("c")), "weights")
+    places = written(_places(items, weights, similarity), "places")
+    blocks = max(1, -(-places.count() // BLOCK_SHINGLES))
+    longest = items.agg(F.max("size")).first()[0] or 0
+    reach = int(longest * (1 - similarity) / (1 + similarity)) + 1  # more positions in a row are no hits in no window that counts
 
     text = docs.select(docs[id_column].alias("doc_id"), F.monotonically_increasing_id().alias("_r"), _lower_words(docs["text"].cast("string")).alias("w"))
     text = text.withColumn("n_doc", F.size("w")).withColumn("h", hashes(F.col("w"))).drop("w")
@@ -86,7 +87,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", si
     for n in sorted(short):
         own = F.concat(own, F.when(F.col("n_doc") < n, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("n_doc") - n), _short_run(n))))
     text = text.withColumn("dg", own)
-    # One narrow stage: explode, probe the broadcast shingles, and cut out the window; the arrays are never copied for rows that do not match.
+    # One narrow stage: explode, probe the broadcast shingles, and keep the hits; the arrays are never copied for rows that do not match.
     # (The outer form keeps the optimizer from filtering on the array's size below, where it would be computed again.)
     pos = text.select("doc_id", "_r", "n_doc", "h", "dg", F.posexplode_outer("dg").alias("p", "g"))
     whole = F.greatest(F.col("n_doc") - (SHINGLE - 1), F.lit(0))
@@ -96,33 +97,51 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", si
         for n in sorted(short):
             place = F.coalesce(place, F.when(F.col("p") < lo + F.greatest(F.col("n_doc") - n + 1, F.lit(0)), F.col("p") - lo))
             lo = lo + F.greatest(F.col("n_doc") - n + 1, F.lit(0))
+    # A hit keeps its own word, and at the ends of a run also those that a gap within a window can hold.
+    after = F.coalesce((F.col("p") + 1 < whole) & F.array_contains("nexts", F.get("dg", F.col("p") + 1)), F.lit(False))
+    before = F.coalesce((F.col("p") < whole) & (F.col("p") > 0) & F.array_contains("prevs", F.get("dg", F.col("p") - 1)), F.lit(False))
+    lead, trail = F.when(before, 0).otherwise(reach), F.when(after, 0).otherwise(reach + SHINGLE - 1)
     found = None
     for b in range(blocks):
         part = places if blocks == 1 else places.where(F.pmod(F.xxhash64("g", F.lit(1)), F.lit(blocks)) == b)
-        hit = pos.join(F.broadcast(part), "g").select("doc_id", "_r", "n_doc", "h", place.alias("p"), F.when(F.col("p") > 0, F.get("dg", F.col("p") - 1)).alias("before"), F.explode("at").alias("a"))
-        hit = hit.where("a.prev is null or before is null or before <> a.prev")  # only the first shingle of a shared run
-        length = F.least(F.col("a.n"), F.col("n_doc"))
-        start = F.least(F.greatest(F.col("p") - F.col("a.q"), F.lit(0)), F.col("n_doc") - length)
-        cut = hit.select("doc_id", "_r", F.col("a.n").alias("n"), start.alias("start"), F.slice("h", start + 1, length).alias("wh"))
-        found = cut if found is None else found.union(cut)
-    windows = found.withColumn("wf", simhash(F.col("wh")))
-    windows = written(windows, "windows")
-
-    blocks_of = F.explode(F.sequence(F.lit(0), F.lit(RADIUS)))
-    index = items.join(weights, "item_id").select("item_id", "n", "k", "fingerprint", "weights", blocks_of.alias("b")).withColumn("v", _block(F.col("fingerprint"), F.col("b")))
-    probes = windows.dropDuplicates(["_r", "n", "start"]).select("*", blocks_of.alias("b")).withColumn("v", _block(F.col("wf"), F.col("b")))
-    x = F.col("wf").bitwiseXOR(F.col("fingerprint"))
-    pairs = probes.join(index, ["n", "b", "v"]).withColumn("hamming", F.bit_count(x))
-    earlier = F.exists(F.sequence(F.lit(0), F.col("b")), lambda i: (i < F.col("b")) & (_block(x, i) == 0))  # so the pair came up in a block before
-    pairs = pairs.where((F.col("hamming") <= RADIUS) & ~earlier)
-    size = F.size("wh")
-    short_gram = F.array(F.xxhash64(F.lit(0), size, F.array_join(F.transform("wh", lambda y: y.cast("string")), " ")))
-    pairs = pairs.withColumn("wg", F.when(F.col("n") < SHINGLE, short_gram).otherwise(shingle_hashes(F.col("wh"), size)))
-    pairs = written(pairs.select("doc_id", "_r", "item_id", "start", "hamming", "wh", "wg", "weights"), "window-pairs")
-    counted, ratio = _similarity()
-    scored = pairs.withColumn("_c", counted).withColumn("similarity", ratio).where(F.col("similarity") >= similarity)
-    best = scored.groupBy("doc_id", "_r", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.size("wh").alias("n"), (-F.col("hamming")).alias("d"))).alias("m"))
-    return best.select("doc_id", "item_id", (-F.col("m.s")).cast("long").alias("start_word"), F.col("m.n").cast("long").alias("n_words"), (-F.col("m.d")).cast("int").alias("hamming"), F.col("m.similarity").alias("similarity"), "_r")
+        hit = pos.join(F.broadcast(part), "g").select("doc_id", "_r", "n_doc", "h", "g", "finds", place.alias("p"), lead.alias("lead"), trail.alias("trail"))
+        hit = hit.withColumn("first", F.greatest(F.col("p") - F.col("lead"), F.lit(0)))
+        hit = hit.select("doc_id", "_r", "n_doc", "p", "g", "finds", "first", F.slice("h", F.col("first") + 1, F.col("p") + F.col("trail") - F.col("first") + 1).alias("words"))
+        found = hit if found is None else found.union(hit)
+    hits = written(found.withColumn("cell", F.floor(F.col("p") / CELL)), "hits")
+    best = _best(hits, weights, similarity)
+
+    inside = (F.col("p") >= F.col("start")) & (F.col("p") < F.col("start") + F.col("n_words"))
+    near = best.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("start") + F.col("n_words") - 1) / CELL)))).join(hits.select("_r", "cell", "doc_id", "p", "first", "words"), ["_r", "cell"]).where(inside)
+    words = near.select("doc_id", "_r", "_i", "start", "n_words", "similarity", "first", F.posexplode("words").alias("j", "w")).withColumn("j", F.col("first") + F.col("j"))
+    words = words.where((F.col("j") >= F.col("start")) & (F.col("j") < F.col("start") + F.col("n_words")))
+    whole = words.groupBy("doc_id", "_r", "_i", "start", "n_words", "similarity").agg(F.collect_set(F.struct("j", "w")).alias("ws")).withColumn("wf", simhash(F.col("ws.w")))
+    pairs = whole.join(items.select("_i", "item_id", "fingerprint"), "_i").withColumn("hamming", F.bit_count(F.col("wf").bitwiseXOR(F.col("fingerprint"))))
+    pairs = pairs.where(F.col("hamming") <= RADIUS)
+    return pairs.select("doc_id", "item_id", F.col("start").cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"), F.col("hamming").cast("int").alias("hamming"), "similarity", "_r")
+
+
+def _best(hits: DataFrame, weights: DataFrame, similarity: float) -> DataFrame:
+    """(_r, _i, start, n_words, similarity): the best window of each document row and item among those of ``similarity`` or more."""
+    found = hits.select("_r", "p", F.explode("finds").alias("f")).select("_r", "f._i", "p", "f.size")
+    cells = F.sequence(F.floor(F.greatest(F.col("p") - F.col("size") + 1, F.lit(0)) / CELL), F.floor((F.col("p") + F.col("size") - 1) / CELL))
+    near = found.select("_r", "_i", F.explode(cells).alias("cell")).distinct()
+    # From here all is by document row and item: one exchange.
+    x = near.join(hits.select("_r", "cell", "n_doc", "p", "g"), ["_r", "cell"]).join(weights, ["_i", "g"]).repartition("_r", "_i")
+    pair = ["_r", "_i", "n", "size", "n_doc"]
+    x = x.groupBy(*pair, "g", "c").agg(F.sort_array(F.collect_list(F.col("p").cast("int"))).alias("ps"))
+    full = lambda p, j: F.struct(p.alias("p"), F.when(j >= F.col("c"), F.get("ps", j - F.col("c").cast("int"))).alias("full"))
+    x = x.select(*pair, F.explode(F.transform("ps", full)).alias("x")).select(*pair, "x.*")
+    last = F.greatest(F.col("n_doc") - F.col("n"), F.lit(0))
+    lo = F.greatest(F.col("full") + 1, F.col("p") - F.col("size") + 1, F.lit(0))  # greatest() skips nulls
+    x = x.withColumn("lo", lo).withColumn("hi", F.least(F.col("p"), last)).where("lo <= hi")
+    ends = F.array(F.struct(F.col("lo").alias("s"), F.lit(1).alias("v")), F.struct((F.col("hi") + 1).alias("s"), F.lit(-1).alias("v")))
+    x = x.select(*pair, F.explode(ends).alias("e")).groupBy(*pair, "e.s").agg(F.sum("e.v").alias("v"))
+    both = F.sum("v").over(Window.partitionBy("_r", "_i").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    held = F.when(F.col("n_doc") < F.col("n"), F.col("n_doc") - SHINGLE + 1).otherwise(F.col("size"))
+    x = x.withColumn("both", both).withColumn("similarity", F.col("both") / (F.col("size") + held - F.col("both")).cast("double")).where(F.col("similarity") >= similarity)
+    best = x.groupBy("_r", "_i", "n", "n_doc").agg(F.max(F.struct("similarity", (-F.col("s")).alias("s"))).alias("m"))
+    return written(best.select("_r", "_i", (-F.col("m.s")).alias("start"), F.least("n", "n_doc").alias("n_words"), F.col("m.similarity").alias("similarity")), "best-windows")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from takeweave.llm import pii
+from takeweave.llm import decontaminate, pii
 from takeweave.llm.queries import ORACLES, QUERIES, table
 
 SF = "/root/testdata/sf0.001"
@@ -210,3 +210,31 @@ def test_pipeline(spark, texts, items):
     rows = spark.createDataFrame(sorted(left.items()), "doc_id long, text string")
     spans = {r.doc_id: r.spans for r in pii.report(rows).collect()}
     check_packed(corpus_pipeline.run(spark, SF).collect(), {d: redacted(t, spans[d]) for d, t in left.items()})
+
+
+def test_decontaminate_moved_passages(spark):
+    """Leaks whose halves or sentences are swapped, with text around, within, and of their own words again."""
+    word = lambda a, n: [f"v{i}" for i in range(a, a + n)]
+    own = {1: word(0, 48), 2: word(100, 45), 3: word(200, 30) + word(200, 30), 4: word(300, 3), 5: ["a"] * 40}
+    around = lambda xs, k=36: [f"x{i}" for i in range(k)] + xs + [f"y{i}" for i in range(40)]
+    a, b, c = own[2][:15], own[2][15:30], own[2][30:]
+    docs = {
+        1: around(own[1][24:] + own[1][:24]),
+        2: around(c + a + b),
+        3: around(a + b + c, 300),
+        4: around(own[3][:50] + word(200, 30)),
+        5: around(own[4], 0),
+        6: ["a"] * 50,
+        7: own[1][:44],
+        8: around(own[1][:22] + ["new"] + own[1][22:46], 230),
+        9: own[1][24:] + ["one"] * 30 + own[1][:24],
+        10: own[2][3:] * 3,
+    }
+    docs, items = ({k: " ".join(v) for k, v in t.items()} for t in (docs, own))
+    got = {}
+    frames = spark.createDataFrame(sorted(docs.items()), "doc_id long, text string"), spark.createDataFrame(sorted(items.items()), "item_id long, text string")
+    for r in decontaminate.contaminated(*frames).collect():
+        got[r.doc_id, r.item_id] = round(r.similarity, 9)
+    want = {k: round(v, 9) for k, v in leaks(docs, items).items()}
+    assert {(1, 1), (2, 2)} <= set(want)
+    assert got == want

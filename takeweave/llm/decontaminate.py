@@ -7,7 +7,8 @@ cover most intervals are the best ones, whatever the order of the passages. Comp
 one of the rarest shingles, as many as a window may miss and one more; a window without any of them is below ``SIMILARITY``.
 (Weights by rarity among the items would lower the score of items that the benchmark holds twice.)
 
-The best window and the item are fingerprinted by a 64-bit SimHash of their words; pairs within ``RADIUS`` bits are reported.
+The best window and the item are fingerprinted by a 64-bit SimHash of their words. ``hamming`` tells how far apart the two are; it
+decides nothing, as pairs of similarity 0.75 can differ in more bits than any radius that an index could serve.
 
 Null texts and items without words match nothing. Items shorter than five words match as a whole sequence. Items with
 equal text are each reported. Rows with equal doc_id are searched one by one. An empty benchmark or corpus gives no rows.
@@ -22,7 +23,6 @@ from takeweave.llm.textcols import SHINGLE, hashes, shingle_hashes, word_array
 from takeweave.session import written
 
 SIMILARITY = 0.75
-RADIUS = 15
 #: Shingles of one benchmark block that is broadcast to the executors (about 100 bytes each); a larger benchmark is searched block by block.
 BLOCK_SHINGLES = 200_000
 #: Hits are compared in cells of so many positions, so that a long document with many items does not meet each of them as a whole.
@@ -117,7 +117,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", si
     words = words.where((F.col("j") >= F.col("start")) & (F.col("j") < F.col("start") + F.col("n_words")))
     whole = words.groupBy("doc_id", "_r", "_i", "start", "n_words", "similarity").agg(F.collect_set(F.struct("j", "w")).alias("ws")).withColumn("wf", simhash(F.col("ws.w")))
     pairs = whole.join(items.select("_i", "item_id", "fingerprint"), "_i").withColumn("hamming", F.bit_count(F.col("wf").bitwiseXOR(F.col("fingerprint"))))
-    pairs = pairs.where(F.col("hamming") <= RADIUS)
     return pairs.select("doc_id", "item_id", F.col("start").cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"), F.col("hamming").cast("int").alias("hamming"), "similarity", "_r")
 
 

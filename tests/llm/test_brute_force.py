@@ -238,3 +238,19 @@ def test_decontaminate_moved_passages(spark):
     want = {k: round(v, 9) for k, v in leaks(docs, items).items()}
     assert {(1, 1), (2, 2)} <= set(want)
     assert got == want
+
+
+def test_decontaminate_replaced_tails(spark):
+    """Leaks whose tail is other text, down to the similarity that counts: none is lost by the distance of its fingerprint."""
+    rng = np.random.default_rng(7)
+    docs, items = {}, {}
+    for i in range(160):
+        n = (50, 100, 200)[i % 3]
+        own = [f"i{i}.{j}" for j in range(n)]
+        keep = n - (n - 4) // 7
+        items[i] = " ".join(own)
+        docs[i] = " ".join(own[:keep] + [f"d{x}" for x in rng.integers(0, 10**9, 60)])
+    frames = spark.createDataFrame(sorted(docs.items()), "doc_id long, text string"), spark.createDataFrame(sorted(items.items()), "item_id long, text string")
+    rows = decontaminate.contaminated(*frames).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(i, i) for i in items} == set(leaks(docs, items))
+    assert max(r.hamming for r in rows) > 15

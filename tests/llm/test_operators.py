@@ -113,6 +113,27 @@ def test_chat(spark):
     assert got[1, "bob"].n_own_turns == 2
 
 
+def test_chat_large_parts(spark):
+    rows = [(None, i % 8, "ann" if i % 3 else "bob", f"t{i % 50}") for i in range(2000)] + [(1, None, "ann", f"n{i}") for i in range(700)] + [(1, 3, "cy", "same")] * 600 + [(2, 0, "ann", "hi"), (2, 1, "bob", "yo")]
+    out = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert max(r.n_turns for r in out) == 256
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2], r[3])
+    for conv, speakers in ((None, ("ann", "bob")), (1, ("ann", "cy")), (2, ("ann", "bob"))):
+        for speaker in speakers:
+            text, masks = "", []
+            for _, _, role, t in sorted((r for r in rows if r[0] == conv), key=order):
+                text += "<|assistant|>\n" if role == speaker else f"<|user name={role}|>\n"
+                if role == speaker:
+                    masks.append(f"{len(text)}:{len(text) + len(t) + 7}")
+                text += t + "<|end|>\n"
+            own = sorted((r for r in out if (r.conv_id, r.speaker) == (conv, speaker)), key=lambda r: (r.part, r.start))
+            assert "".join(r.text for r in own) == text and [m for r in own for m in r.masks.split(",") if m] == masks
+            at = 0
+            for r in own:
+                assert r.start == at
+                at += len(r.text)
+
+
 def test_pipeline_keeps_clean_documents(spark, docs):
     import corpus_pipeline
 

@@ -106,7 +106,7 @@ def candidates(df: DataFrame) -> DataFrame:
         ("ip", True): F.col("_digit") & F.contains(text, F.lit(".")),
         ("card", True): F.col("_digit"),
         ("phone", True): F.col("_digit") & F.contains(text, F.lit("+")),
-        ("email", False): F.contains(text, F.lit("at]")) | F.contains(text, F.lit("at)")) | F.contains(text, F.lit(" dot ")),
+        ("email", False): F.contains(text, F.lit("[dot]")) | F.contains(text, F.lit("(dot)")) | F.contains(text, F.lit(" dot ")),  # the pattern needs one of them
         ("ip", False): F.col("_digit") & F.contains(text, F.lit(":")),
         ("card", False): F.col("_digit"),
         ("phone", False): F.col("_digit"),

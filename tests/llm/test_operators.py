@@ -83,6 +83,12 @@ def test_pii(docs):
     assert pii.report(docs.where("false")).isEmpty()
 
 
+def test_pii_gate_of_wider_email(spark):
+    texts = ["joe at example [dot] com", "joe at example(dot)com", "joe[at]example[dot]com", "joe at example dot com", "joe(at)example dot com"]
+    rows = pii.candidates(spark.createDataFrame([(t,) for t in texts], "_text string")).collect()
+    assert {r._text: [x.m for x in r._more] for r in rows} == {t: [t] for t in texts}
+
+
 def test_warc(spark):
     rows = [(3, "http://a", "same"), (1, "http://b", "same"), (2, None, None), (5, "u", ""), (6, "u", "é" * 1000), (None, "n", "same")]
     path = new_path(spark, "w")

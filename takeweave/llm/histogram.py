@@ -26,9 +26,8 @@ def _length_task(tokenizer: str, extra: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in chunks(texts):
-                yield pa.RecordBatch.from_pydict({"length": pa.array(words.lengths(texts[a:b]) + extra, pa.int64())})
+            for _, _, texts in chunks(batch.column(0)):
+                yield pa.RecordBatch.from_pydict({"length": pa.array(words.lengths(texts) + extra, pa.int64())})
 
     return run
 

@@ -115,10 +115,9 @@ def _pack_task(tokenizer: str, end_id: int, window: int, open_windows: int):
         words = encoder(tokenizer)
         packer = Packer(TaskContext.get().partitionId() * STRIDE, window, open_windows)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = [t or "" for t in texts]
-            for a, b in chunks(texts):
-                ids, sizes = words.encode(texts[a:b], end_id)
+            docs = batch.column(0).to_pylist()
+            for a, b, texts in chunks(batch.column(1)):
+                ids, sizes = words.encode(texts, end_id)
                 at = 0
                 for doc, n in zip(docs[a:b], sizes.tolist(), strict=True):
                     packer.add(doc, 0, n, ids[at : at + n])
@@ -176,5 +175,3 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, wind
     for part in done[1:]:
         out = out.unionByName(part)
     return out
-
-

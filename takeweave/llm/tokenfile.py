@@ -43,11 +43,10 @@ def _write_task(path: str, tokenizer: str, end_id: int, block: int):
         words, writer, docs_seen = encoder(tokenizer), ShardWriter(block), 0
         for batch in batches:
             docs = batch.column(0).fill_null(NULL_DOC).to_numpy(zero_copy_only=False)
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                ids, sizes = words.encode(texts[a:b], end_id)
+            for a, b, texts in chunks(batch.column(1)):
+                ids, sizes = words.encode(texts, end_id)
                 writer.add(docs[a:b], sizes, ids)
-            docs_seen += len(texts)
+            docs_seen += batch.num_rows
         if docs_seen:
             store, top = open_store(path)
             name = f"shard-{shard:06d}.s8b"

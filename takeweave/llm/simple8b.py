@@ -131,11 +131,17 @@ class ShardWriter:
         self.parts: list[np.ndarray] = []
         self.offsets: list[np.ndarray] = []
         self.rest = np.zeros(0, np.uint64)
-        self.ids = self.words = 0
+        self.ids = self.words = self.documents = 0
+
+    @property
+    def held(self) -> int:
+        """Ids taken in so far, coded or not."""
+        return self.ids + len(self.rest)
 
     def add(self, docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         self.docs.append(docs)
         self.sizes.append(sizes)
+        self.documents += len(docs)
         ids = np.concatenate([self.rest, ids.astype(np.uint64)])
         whole = len(ids) // self.block * self.block
         self._code(ids[:whole])

@@ -1,9 +1,10 @@
 """Token files: Simple-8b shards of a corpus in ascending document order, and their reader.
 
-``write_tokens`` range-partitions and sorts the documents, encodes each partition to one shard file
-written under a temporary name and renamed when whole, and commits the list of shards with their id
-counts as a manifest table. ``read_tokens`` reads the manifest, gives each shard its first id's place in
-the corpus by a prefix sum over shards, and decodes the shards in parallel.
+``write_tokens`` range-partitions and sorts the documents and encodes each partition to shard files. A shard
+ends after the document that brings it to ``SHARD_IDS`` ids, so a task holds one bounded shard at a time; it
+is written under a temporary name and renamed when whole. The list of shards with their id counts is
+committed as a manifest table. ``read_tokens`` reads the manifest, gives each shard its first id's place in
+the corpus by prefix sums, and decodes the shards in parallel.
 
 Null text is an empty text. Null ``doc_id`` values sort first and are stored as the least int64. Rows
 with equal ``doc_id`` keep one order (by text). An empty table gives a manifest without shards.
@@ -17,14 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from takeweave.llm.simple8b import BLOCK, ShardWriter, read_shard
 from takeweave.llm.tokens import END_ID, TOKENIZER, chunks, encoder
 
 NULL_DOC = -(1 << 63)
-MANIFEST = "shard long, file string, docs long, ids long, bytes long"
+SHARD_IDS = 1 << 24
+MANIFEST = "part long, number long, file string, docs long, ids long, bytes long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -35,40 +37,64 @@ def open_store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def _write_task(path: str, tokenizer: str, end_id: int, block: int):
+class _Roller:
+    """Shard files of one task: a file ends after the document that brings it to ``shard_ids`` ids."""
+
+    def __init__(self, path: str, part: int, shard_ids: int, block: int):
+        self.store, self.top = open_store(path)
+        self.part, self.shard_ids, self.block, self.number = part, shard_ids, block, 0
+        self.writer, self.rows = ShardWriter(block), []
+
+    def add(self, docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        at = 0
+        while len(docs):
+            fill = np.cumsum(sizes)
+            k = min(len(docs), int(np.searchsorted(fill, self.shard_ids - self.writer.held)) + 1)
+            n = int(fill[k - 1])
+            self.writer.add(docs[:k], sizes[:k], ids[at : at + n])
+            docs, sizes, at = docs[k:], sizes[k:], at + n
+            if self.writer.held >= self.shard_ids:
+                self.close()
+
+    def close(self) -> None:
+        if self.writer.documents:
+            name = f"shard-{self.part:06d}-{self.number:06d}.s8b"
+            temp = f"{self.top}/_temporary-{name}-{uuid.uuid4().hex}"
+            with self.store.open_output_stream(temp) as out:
+                self.writer.write(out)
+            size = self.store.get_file_info(temp).size
+            self.store.move(temp, f"{self.top}/{name}")  # a second attempt of the task writes the same bytes
+            self.rows.append((self.part, self.number, name, self.writer.documents, self.writer.ids, size))
+            self.number, self.writer = self.number + 1, ShardWriter(self.block)
+
+
+def _write_task(path: str, tokenizer: str, end_id: int, block: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
-        words, writer, docs_seen = encoder(tokenizer), ShardWriter(block), 0
+        words, roller = encoder(tokenizer), _Roller(path, TaskContext.get().partitionId(), shard_ids, block)
         for batch in batches:
             docs = batch.column(0).fill_null(NULL_DOC).to_numpy(zero_copy_only=False)
             for a, b, texts in chunks(batch.column(1)):
                 ids, sizes = words.encode(texts, end_id)
-                writer.add(docs[a:b], sizes, ids)
-            docs_seen += batch.num_rows
-        if docs_seen:
-            store, top = open_store(path)
-            name = f"shard-{shard:06d}.s8b"
-            temp = f"{top}/_temporary-{name}-{uuid.uuid4().hex}"
-            with store.open_output_stream(temp) as out:
-                writer.write(out)
-            size = store.get_file_info(temp).size
-            store.move(temp, f"{top}/{name}")  # a second attempt of the task writes the same bytes
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "docs": [docs_seen], "ids": [writer.ids], "bytes": [size]})
+                roller.add(docs[a:b], sizes, ids)
+        roller.close()
+        if roller.rows:
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*roller.rows, strict=True), kinds, strict=True)], names=["part", "number", "file", "docs", "ids", "bytes"])
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, shards: int | None = None, block: int = BLOCK) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, parts: int | None = None, block: int = BLOCK, shard_ids: int = SHARD_IDS) -> None:
     """Write ``docs(doc_id, text)`` below ``path``; ``path/_manifest`` is written last and lists what is valid."""
     spark = docs.sparkSession
     store, top = open_store(path)
     store.create_dir(top, recursive=True)
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = plain.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(_write_task(path, tokenizer, end_id, block), MANIFEST).write.parquet(f"{path}/_manifest")
+    ordered.mapInArrow(_write_task(path, tokenizer, end_id, block, shard_ids), MANIFEST).write.parquet(f"{path}/_manifest")
 
 
 def _read_task(path: str):
@@ -94,15 +120,17 @@ def _read_task(path: str):
     return run
 
 
+def placed_shards(manifest: DataFrame) -> DataFrame:
+    """``manifest`` with ``first``: ids of all files before each. Prefix sums over the parts, then over the files of each part."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("_n"))
+    parts = parts.select("part", F.coalesce(F.sum("_n").over(before(Window.orderBy("part"))), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("ids").over(before(Window.partitionBy("part").orderBy("number"))), F.lit(0))
+    return manifest.join(parts, "part").withColumn("first", F.col("_before") + inside).drop("_before")
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the shard files.
-
-    The prefix sum runs over the manifest, which has one row a shard.
-    """
-    rows = sorted(spark.read.schema(MANIFEST).parquet(f"{path}/_manifest").collect())
-    total, listed = 0, []
-    for r in rows:
-        listed.append((r["file"], total))
-        total += r["ids"]
-    files = spark.createDataFrame(listed, "file string, first long")
-    return files.repartition(max(1, len(listed)), "file").mapInArrow(_read_task(path), READ)
+    """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the shard files of the manifest."""
+    shards = placed_shards(spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")).select("file", "first")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, as the list of files is too small to be left to adaptive coalescing
+    return shards.repartition(n, "file").mapInArrow(_read_task(path), READ)

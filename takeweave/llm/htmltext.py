@@ -1,12 +1,16 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page is cut into flat text blocks at block-level tags. Each block has its word count and link density, those of
-its neighbours, and whether it lies in an article or in a zone that markup names as a menu, footer, advert, form,
-comment list and the like. A decision tree on these features, trained here on the small labelled table below,
+its neighbours, and what markup says of its place: inside an article, inside an element for menus, footers, asides or forms, or
+inside one whose class or id has a name of page furniture. Names of layout (sidebar, header, related) are a weak sign and names of
+adverts, notices and reader comments a stronger one. A decision tree on these features, trained here on the labelled pages below,
 tells main text from the rest.
 
-Null html gives an empty text. Unclosed tags, comments and quotes end at the end of the page. Rows with equal page_id are
-extracted one by one. An empty table gives no rows.
+Null html gives an empty text. Comments and quotes without an end, scripts and styles end at the end of the page; other embedded
+elements (svg, iframe, select, ...) that are self-closed or never closed are skipped alone. Open links and paragraphs end with the
+block around them. Pages without text, and pages of furniture only, give an empty text. Very long pages are read whole, in linear
+time. Rows with equal page_id are extracted one by one; columns beside page_id, url and html are not read. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -21,162 +25,243 @@ from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|object|svg|math|textarea|select|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*+>"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[A-Za-z][^>]*+>",
-    re.S | re.I,
+    re.S,
 )
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-# Tags and name parts that mark zones of a page.
+# Tags and name parts that mark places of a page.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OUTSIDE_TAGS = frozenset("nav footer aside form menu dialog head title button select option fieldset label search".split())
-ZONE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner banners nav navbar navigation navi menu menus breadcrumb breadcrumbs "
-    "sidebar side aside footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments commentlist disqus reply replies respond discussion related recommended share sharing social pagination pager widget widgets search searchform contentinfo complementary skip tags hidden".split()
+RAW_TAGS = frozenset("script style".split())
+EMBEDDED_TAGS = frozenset("noscript template iframe object svg math textarea select canvas audio video".split())
+OUTSIDE_TAGS = frozenset("nav footer aside form menu dialog head title button option fieldset label search".split())
+LAYOUT_NAMES = frozenset(
+    "banner banners nav navbar navigation navi menu menus breadcrumb breadcrumbs sidebar side aside footer foot header masthead topbar toolbar related recommended share sharing social "
+    "pagination pager widget widgets search searchform contentinfo complementary skip tags promo promotion login".split()
+)
+FOREIGN_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
+    "comment comments commentlist disqus reply replies respond discussion hidden".split()
 )
 _SPLIT = re.compile(r"[^a-z]+")
 
 
 class Block:
-    __slots__ = ("text", "words", "links", "article", "zone", "heading", "item")
-
-
-def _zone(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in OUTSIDE_TAGS or tag == "header" and not in_article:
-        return True
-    if attrs:
-        if _HIDDEN.search(attrs):
-            return True
-        if tag not in ("html", "body", "main", "article"):
-            for m in _NAMES.finditer(attrs):
-                if any(part in ZONE_NAMES for part in _SPLIT.split((m[1] or m[2] or m[3] or "").lower())) and not (tag == "header" and in_article):
-                    return True
-    return False
+    __slots__ = ("text", "words", "links", "article", "outside", "named", "heading", "item")
+
+
+def _named(attrs: str) -> int:
+    """0 nothing, 1 a name of layout, 2 a name of adverts, notices or comments, or hidden."""
+    if _HIDDEN.search(attrs):
+        return 2
+    found = 0
+    for m in _NAMES.finditer(attrs):
+        for part in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()):
+            if part in FOREIGN_NAMES:
+                return 2
+            if part in LAYOUT_NAMES:
+                found = 1
+    return found
+
+
+class _Reader:
+    """Open elements and the text gathered for the next block."""
+
+    def __init__(self):
+        self.out: list[Block] = []
+        self.stack: list[tuple[str, bool, int, bool, bool]] = []  # tag, outside, named, in an article, inline and foreign
+        self.parts: list[str] = []
+        self.linked: list[str] = []
+        self.foreign: list[str] = []  # text of inline adverts and the like, which stand inside a block without being part of it
+        self.anchors = self.inline = 0
+        self.own = "p"
+
+    def place(self) -> tuple[bool, int, bool]:
+        return self.stack[-1][1:4] if self.stack else (False, 0, False)
+
+    def _block(self, parts: list[str], linked: list[str], named: int) -> None:
+        text = " ".join(html.unescape("".join(parts)).split())
+        if text:
+            b = Block()
+            b.text, b.words = text, text.count(" ") + 1
+            b.links = min(b.words, len(html.unescape(" ".join(linked)).split()))
+            b.outside, own, b.article = self.place()
+            b.named = max(own, named)
+            b.heading, b.item = self.own[0] == "h" and self.own[1:].isdigit(), self.own in ("li", "dt", "dd", "td", "th")
+            self.out.append(b)
+
+    def flush(self) -> None:
+        if self.parts:
+            self._block(self.parts, self.linked, 0)
+            self.parts = []
+        if self.foreign:
+            self._block(self.foreign, [], 2)
+            self.foreign = []
+        self.linked = []
+
+    def take(self, text: str) -> None:
+        if not text:
+            return
+        if self.inline:
+            self.foreign.append(text)
+            return
+        self.parts.append(text)
+        if self.anchors:
+            self.linked.append(text)
+
+    def cut(self, k: int) -> None:
+        """Close the elements from place ``k`` on."""
+        for tag, *_, inline in self.stack[k:]:
+            self.anchors -= tag == "a"
+            self.inline -= inline
+        del self.stack[k:]
+
+    def close(self, tag: str) -> None:
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == tag:
+                self.cut(k)
+                return
+
+    def close_inside(self, tags: tuple[str, ...], until) -> None:
+        """Close the innermost open element of ``tags`` unless one of ``until`` is nearer."""
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] in tags:
+                self.cut(k)
+                return
+            if self.stack[k][0] in until:
+                return
+
+    def open(self, tag: str, attrs: str) -> None:
+        outside, named, article = self.place()
+        block = tag in BLOCK_TAGS
+        if block:
+            self.close_inside(("p",), BLOCK_TAGS)
+            if tag == "li":
+                self.close_inside(("li",), ("ul", "ol", "menu"))
+            elif tag in ("td", "th", "tr"):
+                self.close_inside(("td", "th") if tag != "tr" else ("tr",), ("table", "tr") if tag != "tr" else ("table",))
+            outside, named, article = self.place()
+        elif tag == "a" and self.anchors:
+            self.close("a")
+        inside = tag in ("article", "main")
+        if inside and named == 1:
+            named = 0  # a name of the layout around an article says nothing of the article
+        own = 0 if tag in ("html", "body") or inside or not attrs else _named(attrs)
+        if tag == "header" and article:
+            own = 0  # the heading part of an article
+        inline = not block and own == 2 and tag != "a"
+        if not block:
+            own = 0  # inside a block only foreign names count, and only for the text in them
+        self.anchors += tag == "a"
+        self.inline += inline
+        outside = outside or tag in OUTSIDE_TAGS or tag == "header" and not article
+        self.stack.append((tag, outside, max(named, own), article or inside, inline))
 
 
 def blocks(page: str) -> list[Block]:
     """Flat text blocks of a page in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in a zone outside the main text, in an article
-    parts: list[str] = []
-    linked: list[str] = []
-    anchor = 0
-    own = "p"
-
-    def flush() -> None:
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            parts.clear()
-            if text:
-                b = Block()
-                b.text, b.words = text, text.count(" ") + 1
-                b.links = min(b.words, len(html.unescape(" ".join(linked)).split()))
-                b.zone, b.article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                b.heading, b.item = own[0] == "h" and own[1:].isdigit(), own in ("li", "dt", "dd", "td", "th")
-                out.append(b)
-        linked.clear()
-
-    def take(text: str) -> None:
-        if text:
-            parts.append(text)
-            if anchor:
-                linked.append(text)
-
+    r, low, ends = _Reader(), None, {}
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
-            take(page[at : m.start()])
+            r.take(page[at : m.start()])
         at = m.end()
-        tag = m[3]
-        if tag is None:
+        if m[2] is None:
             continue
-        tag, closing = tag.lower(), m[2] == "/"
+        tag, closing = m[2].lower(), m[1] == "/"
         if tag == "br":
-            take(" ")
+            r.take(" ")
+            continue
+        if tag in RAW_TAGS or tag in EMBEDDED_TAGS:
+            if closing or (m[3][-1:] == "/" and tag not in RAW_TAGS):
+                continue
+            if low is None:
+                low = page.lower() if page.isascii() else re.sub("[A-Z]", lambda c: c[0].lower(), page)  # keeps all positions
+            close = _next(low, f"</{tag}", at, ends)
+            if close < 0:
+                if tag in RAW_TAGS:
+                    at = len(page)
+                continue
+            again = _next(low, f"<{tag}", at, ends)
+            if tag in EMBEDDED_TAGS and 0 <= again < close:
+                continue  # never closed: the end tag belongs to the next one
+            at = close
             continue
-        if tag == "a":
-            if closing:
-                anchor = 0
-            else:
-                anchor = 1
         if tag in BLOCK_TAGS:
-            flush()
+            r.flush()
             if not closing:
-                own = tag
+                r.own = tag
         if tag in VOID_TAGS:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-        elif m[4][-1:] != "/":
-            zone, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            if tag == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
-            article = article or tag in ("article", "main")
-            named = _zone(tag, m[4], article)
-            if named and tag not in BLOCK_TAGS and not zone:
-                flush()
-            stack.append((tag, zone or named, article))
-    if at < len(page):
-        take(page[at:])
-    flush()
-    return out
+            r.close(tag)
+        elif m[3][-1:] != "/" or tag == "a":
+            r.open(tag, m[3])
+    r.take(page[at:])
+    r.flush()
+    return r.out
+
+
+def _next(text: str, what: str, at: int, known: dict[str, int]) -> int:
+    """Place of ``what`` from ``at`` on, -1 if there is none; found places are kept, so that a page is searched once."""
+    if what not in known or 0 <= known[what] < at:
+        known[what] = text.find(what, at)
+    return known[what]
+
+
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "outside", "named", "heading", "item", "page_has_article")
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """One row a block: words, link density, those of the previous and next block, in an article, in a named zone, heading, list item, page has an article."""
+    """One row of ``FEATURES`` a block: its words and link density, those of the blocks before and after, and its place."""
     n = len(found)
-    x = np.zeros((n, 11))
+    x = np.zeros((n, len(FEATURES)))
     for k, b in enumerate(found):
         x[k, 0], x[k, 1] = b.words, b.links / b.words
-        x[k, 6:10] = b.article, b.zone, b.heading, b.item
+        x[k, 6:11] = b.article, b.outside, b.named, b.heading, b.item
     x[1:, 2:4] = x[:-1, 0:2]
     x[:-1, 4:6] = x[1:, 0:2]
-    x[:, 10] = x[:, 6].any() if n else 0
+    x[:, 11] = x[:, 6].any() if n else 0
     return x
 
 
-# The labelled table: pages as block specifications (place, tag, words, share of linked words, 1 for main text). Places: a article, m main,
-# b plain body, and names of zones as they stand in a class or tag ("a:ads": a zone inside an article).
-_A = [("nav", "li", 2, 1, 0)] * 4
-_F = [("footer", "p", 9, 0, 0)]
+# The labelled pages: {12} stands for twelve words, [3] for a link of three, and @ begins a block that is main text.
+_MENU = "<nav><ul><li>[1]<li>[2]<li>[1]<li>[1]</ul></nav>"
+_FOOT = "<footer><p>{9}</p><p>[2] [2] [1]</p></footer>"
 LABELLED = [
-    [*_A, ("a", "h1", 6, 0, 1), ("a", "p", 60, 0, 1), ("a", "p", 35, 0.1, 1), ("a", "p", 3, 0, 1), ("a", "p", 1, 0, 1), *_F],
-    [("head", "title", 6, 0, 0), *_A, ("div:ad", "p", 12, 0, 0), ("a", "h1", 4, 0, 1), ("a", "p", 1, 0, 1), ("a", "p", 120, 0, 1), ("a", "li", 5, 0, 1), ("a", "li", 7, 0, 1), *_F],
-    [("header", "p", 5, 0, 0), *_A, ("a", "p", 40, 0, 1), ("a", "p", 2, 0, 1), ("a:share", "div", 4, 1, 0), ("aside", "p", 30, 0.2, 0), ("div:comments", "p", 45, 0, 0), ("div:comments", "p", 8, 0, 0), *_F],
-    [("div:cookie notice", "p", 22, 0.1, 0), *_A, ("m", "h1", 8, 0, 1), ("m", "p", 50, 0.05, 1), ("m", "p", 30, 0.5, 1), ("div:sidebar", "p", 18, 0, 0), ("form", "p", 6, 0, 0), *_F],
-    [("b", "li", 1, 1, 0), ("b", "li", 2, 1, 0), ("b", "li", 1, 1, 0), ("b", "h1", 7, 0, 1), ("b", "p", 55, 0, 1), ("b", "p", 80, 0.02, 1), ("b", "p", 25, 0.1, 1), ("b", "p", 4, 0, 0), ("b", "p", 5, 0.8, 0)],
-    [("b", "p", 3, 0.9, 0), ("b", "p", 4, 1, 0), ("b", "p", 70, 0, 1), ("b", "p", 14, 0, 1), ("b", "p", 90, 0, 1), ("b", "li", 3, 1, 0), ("b", "li", 3, 1, 0), ("b", "p", 2, 0, 0)],
-    [*_A, ("div:newsletter", "p", 40, 0, 0), ("b", "h2", 5, 0, 1), ("b", "p", 45, 0.1, 1), ("b", "p", 20, 0, 1), ("b", "p", 33, 0, 1), ("div:related", "li", 9, 1, 0), ("div:related", "li", 8, 1, 0), *_F],
-    [("a", "p", 2, 0, 1), ("a", "p", 4, 1, 1), ("a", "p", 1, 0, 1), ("footer", "p", 40, 0, 0)],
-    [("div:ad", "p", 60, 0, 0), ("a", "h1", 12, 0, 1), ("a", "p", 12, 0, 1), ("a", "p", 15, 0, 1), ("a", "td", 2, 0, 1), ("a", "td", 3, 0, 1), ("div:comment", "p", 90, 0, 0)],
-    [("b", "li", 2, 1, 0), ("b", "li", 2, 1, 0), ("b", "li", 3, 1, 0), ("b", "p", 1, 0, 0), ("b", "p", 6, 0, 0), ("b", "li", 2, 1, 0)],
-    [*_A, ("div:ad", "p", 9, 0, 0), ("a", "p", 60, 0, 1), ("a:ad", "p", 20, 0, 0), ("a", "p", 70, 0, 1), ("a:share", "p", 5, 0.6, 0), ("a", "p", 40, 0, 1), ("a:comments", "p", 50, 0, 0), ("a:comments", "p", 30, 0, 0)],
-    [("div:ad", "p", 14, 0, 0), ("a", "h1", 20, 0, 1), ("a", "p", 25, 0, 1), ("a:related", "li", 8, 1, 0), ("a:related", "li", 9, 1, 0), ("a:newsletter", "p", 25, 0, 0), ("a", "p", 4, 0, 1), *_F],
-    [("div:cookie", "p", 30, 0, 0), ("div:ad", "p", 25, 0, 0), ("b", "p", 80, 0, 1), ("b", "p", 60, 0, 1), ("div:ad", "p", 35, 0, 0), ("b", "p", 44, 0.1, 1), ("div:comments", "p", 60, 0, 0), ("div:comments", "p", 25, 0, 0)],
-    [("div:banner", "p", 10, 0, 0), ("m", "h1", 15, 0, 1), ("m", "p", 66, 0, 1), ("aside", "p", 40, 0, 0), ("m", "p", 18, 0, 1), ("aside", "p", 16, 0, 0), ("m", "p", 90, 0, 1), *_F],
+    f"<head><title>{{6}}</title></head><body>{_MENU}<article><h1>@{{6}}</h1><p>@{{60}}<p>@{{30}} [4]<p>@{{3}}<p>@{{1}}<p>@{{45}}</article>{_FOOT}",
+    f"<head><title>{{6}}</title></head>{_MENU}<div class=ad><p>{{12}}</p></div><article><h1>@{{4}}</h1><p>@{{1}}<p>@{{120}}<ul><li>@{{5}}<li>@{{7}}<li>@{{2}} [2]</ul></article>{_FOOT}",
+    f"<header><p>{{5}}</p></header>{_MENU}<article><p>@{{40}}<p>@{{2}}<div class=share>[1] [1] [2]</div></article><aside><p>{{30}} [6]</p></aside><div class=comments><p>{{45}}</p><p>{{8}}</p></div>{_FOOT}",
+    f"<div class='cookie notice'><p>{{20}} [2]</p></div>{_MENU}<main><h1>@{{8}}</h1><p>@{{50}} [3]<p>@{{15}} [15]<p>@{{25}}</main><div class=sidebar><p>{{18}}</p><p>[3]</p></div><form><p>{{6}}</p></form>",
+    "<ul><li>[1]<li>[2]<li>[1]</ul><h1>@{7}</h1><p>@{55}<p>@{80} [2]<p>@{22} [3]<p>@{14}<p>@{61}<p>{4}<p>{1} [4]",
+    "<div><a href=x>{3}</a> {1}</div><div>[4]</div><div>@{70}</div><div>@{14}</div><div>@{90}</div><div>@{9}</div><div>@{64}</div><ul><li>[3]<li>[3]</ul><div>{2}</div>",
+    f"{_MENU}<div class=newsletter><p>{{40}}</p></div><div class=content><h2>@{{5}}</h2><p>@{{45}} [5]<p>@{{20}}<p>@{{33}}</div><div class=related><ul><li>[9]<li>[8]<li>[7]</ul></div>{_FOOT}",
+    "<article><p>@{2}<p>@[4]<p>@{1}</article><footer><p>{40}</p></footer>",
+    "<div class=ad><p>{60}</p></div><article><h1>@{12}</h1><p>@{12}<p>@{15}<table><tr><td>@{2}<td>@{3}<tr><td>@{4}<td>@{1}</table></article><div class=comment><p>{90}</p></div>",
+    "<ul><li>[2]<li>[2]<li>[3]</ul><p>{1}</p><p>{6}</p><ul><li>[2]<li>[2]</ul>",
+    f"{_MENU}<div class=ad><p>{{9}}</p></div><article><p>@{{60}}<div class=ad><p>{{20}}</p></div><p>@{{70}} <span class=ad>{{5}}</span><div class=share><p>{{3}} [3]</p></div><p>@{{40}}<div class=comments><p>{{50}}</p><p>{{30}}</p></div></article>",
+    f"<div class=ad><p>{{14}}</p></div><article><h1>@{{20}}</h1><p>@{{25}}<div class=related><ul><li>[8]<li>[9]</ul></div><div class=newsletter><p>{{25}}</p></div><p>@{{4}}</article>{_FOOT}",
+    "<div id=cookie><p>{30}</p></div><div class=ad><p>{25}</p></div><p>@{80}</p><p>@{60}</p><div class=ad><p>{35}</p></div><p>@{44} [4]</p><p>@{12}</p><p>@{50}</p><div id=comments><p>{60}</p><p>{25}</p></div>",
+    "<div class=banner><p>{10}</p></div><main><h1>@{15}</h1><p>@{66}<aside><p>{40}</p></aside><p>@{18}<aside><p>{16}</p></aside><p>@{90}</main>",
+    "<div class='page has-sidebar'><h1>@{6}</h1><p>@{75}</p><p>@{90}</p><p>@{48} [2]</p><p>@{110}</p></div><div class=sidebar><p>{20} [3]</p><ul><li>[2]<li>[4]</ul></div>",
+    f"{_MENU}<article><h1>@{{5}}</h1><section class='related work'><h2>@{{2}}</h2><p>@{{80}}</p><p>@{{66}} [3]</p></section><section id=header-format><p>@{{70}}</p><p>@{{52}}</p></section></article><div class='footer links'><p>{{8}}</p><p>[2] [2]</p></div>",
+    "<div class=header><p>{4}</p><p>[2] [2]</p></div><h1>@{9}</h1><p>@{35}<p>@{12}<p>@{8}<p>@{40}<p>@{28}<div class=footer><p>{12}</p></div>",
+    "<div class=sidebar><p>{35}</p><p>{22} [4]</p></div><div><p>@{52}</p><p>@{24}</p><p>@{31}</p></div><div class=menu><p>[1] [1]</p></div><div class=promo><p>{26}</p></div>",
 ]
 
 
+def _rendered(page: str) -> str:
+    page = re.sub(r"\[(\d+)\]", lambda m: "<a href=x>" + " ".join(["w"] * int(m[1])) + "</a>", page)
+    return re.sub(r"\{(\d+)\}", lambda m: " ".join(["w"] * int(m[1])), page)
+
+
 def labelled_rows() -> tuple[np.ndarray, np.ndarray]:
-    xs, ys = [], []
-    for page in LABELLED:
-        found = []
-        for place, tag, words, share, _ in page:
-            b = Block()
-            b.text, b.words, b.links = "", words, round(words * share)
-            b.article, b.zone = place[0] in "am" and place[1:2] in ("", ":"), place not in ("a", "m", "b")
-            b.heading, b.item = tag[0] == "h" and tag[1:].isdigit(), tag in ("li", "td")
-            found.append(b)
-        xs.append(features(found))
-        ys += [r[4] for r in page]
-    return np.concatenate(xs), np.array(ys)
+    """Features of all blocks of the labelled pages and 1 for main text."""
+    found = [blocks(_rendered(p)) for p in LABELLED]
+    return np.concatenate([features(f) for f in found]), np.array([int(b.text.startswith("@")) for f in found for b in f])
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):

@@ -8,10 +8,12 @@ one of the rarest shingles, as many as a window may miss and one more; a window
 (Weights by rarity among the items would lower the score of items that the benchmark holds twice.)
 
 The best window and the item are fingerprinted by a 64-bit SimHash of their words. ``hamming`` tells how far apart the two are; it
-decides nothing, as pairs of similarity 0.75 can differ in more bits than any radius that an index could serve.
+decides nothing: pairs of similarity 0.75 differ in up to 22 of 64 bits and more, and blocks that guarantee such a radius are two or
+three bits wide, so an index over them would return nearly every item for every window.
 
-Null texts and items without words match nothing. Items shorter than five words match as a whole sequence. Items with
-equal text are each reported. Rows with equal doc_id are searched one by one. An empty benchmark or corpus gives no rows.
+Items of equal words are searched as one and reported each. Null texts and items without words match nothing. Items shorter than five
+words match as a whole sequence. Rows with equal or null doc_id are searched one by one. Very long texts are searched whole. Columns
+of the input beside the id and text are not read. An empty benchmark or corpus gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from takeweave.session import written
 SIMILARITY = 0.75
 #: Shingles of one benchmark block that is broadcast to the executors (about 100 bytes each); a larger benchmark is searched block by block.
 BLOCK_SHINGLES = 200_000
+#: Shingles remembered on either side of an item's shingle; where others stand there, a hit keeps more words than it must.
+NEIGHBOURS = 8
 #: Hits are compared in cells of so many positions, so that a long document with many items does not meet each of them as a whole.
 CELL = 256
 
@@ -39,13 +43,17 @@ def _lower_words(text: Column) -> Column:
     return word_array(F.lower(text))
 
 
-def items_table(benchmark: DataFrame) -> DataFrame:
-    """_i (row), item_id, n (words), size (shingles), fingerprint, grams of each item with words."""
+def items_table(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_i, n, size, fingerprint, grams) of each item text with words, where n counts words and size shingles, and (_i, item_id) of all items."""
     t = benchmark.select(benchmark["item_id"].alias("item_id"), F.monotonically_increasing_id().alias("_i"), hashes(_lower_words(benchmark["text"].cast("string"))).alias("ih"))
-    t = t.withColumn("n", F.size("ih")).where("n > 0")
+    t = t.withColumn("n", F.size("ih")).where("n > 0").withColumn("same", F.sha2(F.array_join(F.transform("ih", lambda x: x.cast("string")), " "), 256))
+    every = written(t, "items-all")
+    classes = every.groupBy("same").agg(F.min_by(F.struct("_i", "n", "ih"), "_i").alias("x")).select("same", "x.*")
     short = F.when(F.col("n") < SHINGLE, F.array(F.xxhash64(F.lit(0), F.col("n"), F.array_join(F.transform("ih", lambda x: x.cast("string")), " "))))
-    t = t.withColumn("fingerprint", simhash(F.col("ih"))).withColumn("grams", F.coalesce(short, shingle_hashes(F.col("ih"), F.col("n"))))
-    return written(t.select("_i", "item_id", "n", F.size("grams").alias("size"), "fingerprint", "grams"), "items")
+    classes = classes.withColumn("fingerprint", simhash(F.col("ih"))).withColumn("grams", F.coalesce(short, shingle_hashes(F.col("ih"), F.col("n"))))
+    classes = written(classes.select("same", "_i", "n", F.size("grams").alias("size"), "fingerprint", "grams"), "items")
+    members = every.select("same", "item_id").join(classes.select("same", "_i"), "same").select("_i", "item_id")
+    return classes.drop("same"), members
 
 
 def _missing(size: Column, similarity: float) -> Column:
@@ -56,7 +64,10 @@ def _missing(size: Column, similarity: float) -> Column:
 def _places(items: DataFrame, weights: DataFrame, similarity: float) -> DataFrame:
     """Of each shingle of the items: those before and after it (a few), and the items (_i, size) that it has to find."""
     grams = items.select("_i", F.posexplode("grams").alias("q", "g"), "grams").select("g", F.when(F.col("q") > 0, F.get("grams", F.col("q") - 1)).alias("prev"), F.get("grams", F.col("q") + 1).alias("next"))
-    around = grams.groupBy("g").agg(F.slice(F.collect_set("prev"), 1, 8).alias("prevs"), F.slice(F.collect_set("next"), 1, 8).alias("nexts"))
+    around = grams.select("g").distinct()
+    for side in ("prev", "next"):
+        few = grams.where(F.col(side).isNotNull()).select("g", side).distinct().withColumn("_k", F.row_number().over(Window.partitionBy("g").orderBy(side))).where(F.col("_k") <= NEIGHBOURS)
+        around = around.join(few.groupBy("g").agg(F.collect_list(side).alias(f"{side}s")), "g", "left")
     rarest = Window.partitionBy("_i").orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)
     first = weights.join(weights.groupBy("g").agg(F.count("*").alias("df")), "g").withColumn("before", F.coalesce(F.sum("c").over(rarest), F.lit(0)))
     first = first.where(F.col("before") <= _missing(F.col("size"), similarity)).groupBy("g").agg(F.collect_list(F.struct("_i", "size")).alias("finds"))
@@ -73,7 +84,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", si
 
     ``start_word`` counts from 0; ties take the earliest window.
     """
-    items = items_table(benchmark)
+    items, members = items_table(benchmark)
     weights = written(items.select("_i", "n", "size", F.explode("grams").alias("g")).groupBy("_i", "n", "size", "g").agg(F.count("*").alias("c")), "weights")
     places = written(_places(items, weights, similarity), "places")
     blocks = max(1, -(-places.count() // BLOCK_SHINGLES))
@@ -102,13 +113,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", si
     before = F.coalesce((F.col("p") < whole) & (F.col("p") > 0) & F.array_contains("prevs", F.get("dg", F.col("p") - 1)), F.lit(False))
     lead, trail = F.when(before, 0).otherwise(reach), F.when(after, 0).otherwise(reach + SHINGLE - 1)
     found = None
-    for b in range(blocks):
+    for b in range(blocks):  # each block is a job of its own, so that the executors hold one block at a time
         part = places if blocks == 1 else places.where(F.pmod(F.xxhash64("g", F.lit(1)), F.lit(blocks)) == b)
         hit = pos.join(F.broadcast(part), "g").select("doc_id", "_r", "n_doc", "h", "g", "finds", place.alias("p"), lead.alias("lead"), trail.alias("trail"))
         hit = hit.withColumn("first", F.greatest(F.col("p") - F.col("lead"), F.lit(0)))
         hit = hit.select("doc_id", "_r", "n_doc", "p", "g", "finds", "first", F.slice("h", F.col("first") + 1, F.col("p") + F.col("trail") - F.col("first") + 1).alias("words"))
+        hit = written(hit.withColumn("cell", F.floor(F.col("p") / CELL)), "hits")
         found = hit if found is None else found.union(hit)
-    hits = written(found.withColumn("cell", F.floor(F.col("p") / CELL)), "hits")
+    hits = found
     best = _best(hits, weights, similarity)
 
     inside = (F.col("p") >= F.col("start")) & (F.col("p") < F.col("start") + F.col("n_words"))
@@ -116,7 +128,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", si
     words = near.select("doc_id", "_r", "_i", "start", "n_words", "similarity", "first", F.posexplode("words").alias("j", "w")).withColumn("j", F.col("first") + F.col("j"))
     words = words.where((F.col("j") >= F.col("start")) & (F.col("j") < F.col("start") + F.col("n_words")))
     whole = words.groupBy("doc_id", "_r", "_i", "start", "n_words", "similarity").agg(F.collect_set(F.struct("j", "w")).alias("ws")).withColumn("wf", simhash(F.col("ws.w")))
-    pairs = whole.join(items.select("_i", "item_id", "fingerprint"), "_i").withColumn("hamming", F.bit_count(F.col("wf").bitwiseXOR(F.col("fingerprint"))))
+    pairs = whole.join(items.select("_i", "fingerprint"), "_i").join(members, "_i").withColumn("hamming", F.bit_count(F.col("wf").bitwiseXOR(F.col("fingerprint"))))
     return pairs.select("doc_id", "item_id", F.col("start").cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"), F.col("hamming").cast("int").alias("hamming"), "similarity", "_r")
 
 
@@ -149,11 +161,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; all columns stay as they were. Rows with a null doc_id are searched too.
+    """The rows of ``docs`` whose text holds no benchmark item; all columns stay as they were.
 
-    A repeated doc_id goes as a whole when one of its rows is contaminated.
+    A row goes by its own text, whatever its doc_id: rows that share a doc_id, null too, are told apart, rows of equal text are not.
     """
-    bad = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("_bad")).distinct()
+    key = F.sha2(docs["text"].cast("string"), 256)
+    bad = matches(docs.select(key.alias("_key"), docs["text"].alias("text")), benchmark, "_key", similarity).select(F.col("doc_id").alias("_bad")).distinct()
     bad = written(bad, "contaminated")
-    rows = docs.select(docs["doc_id"].alias("_id"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    return rows.join(bad, F.col("_id").eqNullSafe(F.col("_bad")), "left_anti").select("_row.*")
+    rows = docs.select(key.alias("_key"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    return rows.join(bad, F.col("_key") == F.col("_bad"), "left_anti").select("_row.*")

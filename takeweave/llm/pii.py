@@ -1,9 +1,11 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, and a span classifier is trained on the outcome.
 
 Base spans (email, ip, card, phone) come from one pattern and one rule a kind and always stay. Wider patterns add
-candidates: spelled-out addresses, national phone numbers, cards with odd separators, IPv6. Six labelers (strict
-pattern, structure, gazetteer, left context for, context against, free edges) vote yes, no or nothing on every span.
-Votes are counted by pattern, of which there are at most 4 * 3^6; expectation-maximisation over these counts estimates
+candidates: spelled-out addresses, national phone numbers, cards with odd separators, IPv6, secrets (values assigned to the name
+of a secret, published key formats, long runs of letters and digits) and international account numbers. Six labelers (strict
+pattern, which is silent on what has no base pattern, structure, gazetteer, left context for, context against, free edges) vote
+yes, no or nothing on every span.
+Votes are counted by pattern, of which there are at most 6 * 3^6; expectation-maximisation over these counts estimates
 each labeler's reliability, and its posteriors are the soft labels of a naive Bayes classifier on span features,
 which decides on the added candidates. Everything runs in DataFrame operations; the driver sees only reliabilities
 and feature weights, whose number is fixed by the patterns and buckets.
@@ -12,7 +14,9 @@ The patterns use possessive quantifiers and anchors where these give the same ma
 of character are read once.
 
 Null text is empty and has no spans. Rows with equal or null doc_id are searched one by one. An empty table gives no
-rows. Positions are code points, the end exclusive.
+rows. Positions are code points, the end exclusive. Spans with the same start stand in the order of the kinds. Added spans may hold
+base spans (a number inside a secret), else they overlap none. Columns of the input beside text are carried as they are, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 
 from takeweave.session import written
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret", "iban")
 EM_ROUNDS = 8
 CONTEXT = 24
 
@@ -36,24 +41,32 @@ PATTERNS = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# Names that secrets are assigned to, and beginnings of published key formats.
+SECRET_NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|authorization|bearer|credentials?"
+SECRET_HEADS = "AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|xox[abprs]-|AIza|eyJ"
 WIDER = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}++ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}(?:[./_]|--|  )[0-9]{4}(?:[./_]|--|  )[0-9]{4}(?:[./_]|--|  )[0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    "secret": rf"(?i:{SECRET_NAMES})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?[^\s\"',;<>]{{6,}}|\b(?:{SECRET_HEADS})[A-Za-z0-9_.-]{{12,}}|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{{32,}}",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
 }
 # Words and prefixes the labelers know.
 EMAIL_ENDINGS = "com|org|net|edu|gov|info|io|co|de|fr|es|it|nl|uk|us|eu|ch|at|ca|au|jp"
 COUNTRY_CODES = "1|7|20|27|3[0-4]|36|39|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 CARD_PREFIXES = "4|5[1-5]|2[2-7]|3[47]|6(?:011|4|5)|35|30|36|38"
 UNROUTED = r"0*(?:0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\."
+IBAN_COUNTRIES = "AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IL|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SA|SE|SI|SK|SM|TR"
 FOR = {
     "email": r"mail|contact|write|address|kontakt|courriel|correo",
     "ip": r"\bip\b|host|server|address|client|login",
     "card": r"card|visa|master|credit|payment|karte|carte|tarjeta",
     "phone": r"phone|tel|call|mobile|fax|cell|contact",
+    "secret": rf"(?:{SECRET_NAMES}|signature|login)\W*$",
+    "iban": r"iban|account|bank|konto|compte|cuenta|transfer",
 }
-AGAINST = r"version|\bv\.? ?$|isbn|issn|order|invoice|section|build|release|serial|sku"
+AGAINST = r"version|\bv\.? ?$|isbn|issn|order|invoice|section|build|release|serial|sku|commit|checksum|sha-?[0-9]|md5|digest|etag|uuid"
 
 
 def luhn(digits: Column) -> Column:
@@ -65,6 +78,18 @@ def luhn(digits: Column) -> Column:
     return total % 10 == 0
 
 
+def mod97(text: Column) -> Column:
+    """The remainder that a correct international account number leaves as 1."""
+    moved = F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 4))
+    value = F.transform(F.split(moved, ""), lambda c: F.when(c == "", 0).otherwise(F.ascii(c) - F.when(c.rlike("[0-9]"), 48).otherwise(55)))
+    return F.aggregate(value, F.lit(0), lambda a, v: F.pmod(a * F.when(v > 9, 100).otherwise(10) + v, F.lit(97)))
+
+
+def secret_value(m: Column) -> Column:
+    """What is assigned, without the name before it."""
+    return F.regexp_extract(m, rf"^(?:(?i:{SECRET_NAMES})[\"']?[ \t]*[:=][ \t]*[\"']?)?([^\s\"']+)$", 1)
+
+
 def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
         part = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?|(?<=0))"
@@ -74,6 +99,11 @@ def _valid(kind: str, m: Column) -> Column:
         return F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(F.regexp_replace(m, "[^0-9]", "")).between(9, 15)
+    if kind == "iban":
+        return mod97(F.regexp_replace(m, " ", "")) == 1
+    if kind == "secret":  # a value with letters and digits, or one of eight or more characters that is assigned to a secret's name
+        value = secret_value(m)
+        return F.length(value).between(8, 4096) & ((value.rlike("[0-9]") & value.rlike("[A-Za-z]")) | (value != m))
     return F.lit(True)
 
 
@@ -110,6 +140,8 @@ def candidates(df: DataFrame) -> DataFrame:
         ("ip", False): F.col("_digit") & F.contains(text, F.lit(":")),
         ("card", False): F.col("_digit"),
         ("phone", False): F.col("_digit"),
+        ("secret", False): text.rlike(rf"(?i:{SECRET_NAMES})[\"']?[ \t]{{0,3}}[:=]|\b(?:{SECRET_HEADS})|[A-Za-z0-9_-]{{32}}"),
+        ("iban", False): F.col("_digit") & text.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
     }
     for (kind, base), gate in gates.items():
         pattern = (PATTERNS if base else WIDER)[kind]
@@ -118,11 +150,15 @@ def candidates(df: DataFrame) -> DataFrame:
         spans = _places(F.col(found), F.split(text, pattern, -1), KINDS.index(kind), base)
         # The pieces are cut only where there is a match.
         df = df.withColumn(found, F.when(F.size(found) > 0, spans))
-        if (base and kind != "email") or kind == "card":
+        if (base and kind != "email") or kind in ("card", "secret", "iban"):
             df = df.withColumn(found, F.when(F.col(found).isNotNull(), F.filter(found, _rule(kind))))
-    both = lambda base: F.concat(*[F.coalesce(F.col(f"_{k}{int(base)}"), none) for k in KINDS])
+        if kind == "secret":
+            own = lambda x: F.struct((x["e"] - F.length(secret_value(x["m"]))).alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["base"].alias("base"), secret_value(x["m"]).alias("m"))
+            df = df.withColumn(found, F.when(F.col(found).isNotNull(), F.transform(found, own)))
+    both = lambda base: F.concat(*[F.coalesce(F.col(f"_{k}{int(base)}"), none) for k in (BASE_KINDS if base else KINDS)])
     df = df.select(*rest, F.sort_array(both(True)).alias("_base"), both(False).alias("_more"))
-    clear = lambda x: ~F.exists("_base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+    inside = lambda x, y: (x["k"] >= len(BASE_KINDS)) & (y["s"] >= x["s"]) & (y["e"] <= x["e"]) & (y["e"] - y["s"] < x["e"] - x["s"])
+    clear = lambda x: ~F.exists("_base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]) & ~inside(x, y))
     return df.withColumn("_more", F.when(F.size("_more") > 0, F.sort_array(F.filter("_more", clear))).otherwise(F.col("_more")))
 
 
@@ -143,13 +179,15 @@ def voted(spans: DataFrame) -> DataFrame:
     only_yes = lambda c: F.when(c, 1).otherwise(-1)
     digits = F.regexp_replace(m, "[^0-9]", "")
     votes = {
-        "strict": yes(F.col("base")),
+        "strict": only_yes(F.col("base")),
         "structure": _by_kind(
             {
                 "email": yes(m.rlike("[A-Za-z]{2,}$")),
                 "ip": yes(~m.rlike(r"(^|\.)0[0-9]")),
                 "card": yes(digits.rlike("^[2-6]")),
                 "phone": F.when(m.rlike(r"\([01]"), 0).when(F.length(digits).between(10, 13), 1).otherwise(-1),
+                "secret": F.when(m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.length(m) >= 16), 1).when(m.rlike("^[A-Za-z]+$"), 0).otherwise(-1),
+                "iban": F.when(F.length(F.regexp_replace(m, " ", "")).between(15, 34), 1).otherwise(0),
             }
         ),
         "gazetteer": _by_kind(
@@ -158,6 +196,8 @@ def voted(spans: DataFrame) -> DataFrame:
                 "ip": F.when(m.rlike(f"^{UNROUTED}"), 0).otherwise(1),
                 "card": yes(digits.rlike(f"^({CARD_PREFIXES})")),
                 "phone": F.when(m.startswith("+"), yes(digits.rlike(f"^({COUNTRY_CODES})"))).otherwise(-1),
+                "secret": F.when(m.rlike(f"^(?:{SECRET_HEADS})"), 1).when(m.rlike("[A-Za-z]{2,}[-_][A-Za-z]{2,}[-_][A-Za-z]{2,}"), 0).otherwise(-1),
+                "iban": yes(m.rlike(f"^(?:{IBAN_COUNTRIES})")),
             }
         ),
         "context_for": _by_kind({kind: only_yes(left.rlike(pattern)) for kind, pattern in FOR.items()}),
@@ -197,7 +237,7 @@ def _logit(params: dict) -> Column:
 def reliabilities(patterns: DataFrame, rounds: int = EM_ROUNDS) -> dict:
     """kind -> (prior, P(yes | personal data), P(yes | not)) of each labeler, by EM over the vote patterns (k, v_..., n)."""
     params = {k: (0.5, dict.fromkeys(LABELERS, 0.8), dict.fromkeys(LABELERS, 0.2)) for k in KINDS}
-    patterns = patterns.coalesce(1)  # at most 4 * 3^6 rows
+    patterns = patterns.coalesce(1)  # at most 6 * 3^6 rows
     for _ in range(rounds):
         weighed = patterns.withColumn("p", 1 / (1 + F.exp(-_logit(params)))).withColumn("yes", F.col("n") * F.col("p")).withColumn("no", F.col("n") * (1 - F.col("p")))
         sums = [F.sum("yes").alias("p"), F.sum("n").alias("n")]
@@ -224,7 +264,7 @@ def classifier(spans: DataFrame, params: dict) -> Column:
     counted = spans.groupBy("k", *[f"v_{n}" for n in LABELERS], *[f"f_{n}" for n in FEATURES]).agg(F.count("*").alias("n"))
     p = 1 / (1 + F.exp(-_logit(params)))
     rows = counted.select("k", (F.col("n") * p).alias("yes"), (F.col("n") * (1 - p)).alias("no"), F.explode(F.array(*[F.concat_ws("|", F.lit(n), f"f_{n}") for n in FEATURES])).alias("f"))
-    model = rows.groupBy("k", "f").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()  # 4 kinds times a fixed number of buckets
+    model = rows.groupBy("k", "f").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()  # 6 kinds times a fixed number of buckets
     totals = {k: [sum(r[x] for r in model if r["k"] == k) / len(FEATURES) for x in ("yes", "no")] for k in range(len(KINDS))}
     weights = {}
     for r in model:
@@ -278,10 +318,12 @@ def _joined(spans: str) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added (spans beside the base ones) and n_secret of every row."""
     t = located(docs, ["doc_id"], False)
     count = lambda k: F.size(F.filter("_base", lambda x: x["k"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return t.select("_row.doc_id", *[count(k) for k in KINDS], F.sha2(_joined("_base"), 256).alias("base_sha256"), _joined("_all").alias("spans"))
+    added = (F.size("_all") - F.size("_base")).cast("long").alias("n_added")
+    secrets = F.size(F.filter("_all", lambda x: x["k"] == KINDS.index("secret"))).cast("long").alias("n_secret")
+    return t.select("_row.doc_id", *[count(k) for k in BASE_KINDS], F.sha2(_joined("_base"), 256).alias("base_sha256"), _joined("_all").alias("spans"), added, secrets)
 
 
 def redacted(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The queries of the operators on the smallest tables, whole, against plain Python or against their SQL."""
 
 import hashlib
+import html
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -150,6 +151,18 @@ def test_sql(spark, name):
     assert sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr) == want
 
 
+def test_html_text(spark):
+    """These pages have one article without furniture inside, so plain cutting tells its text."""
+    pages = {r.page_id: r for r in table(spark, SF, "pages").collect()}
+    got = QUERIES["op2_html_text"](spark, SF).collect()
+    assert {r.page_id for r in got} == set(pages)
+    for r in got:
+        article = re.search("<article>(.*?)</article>", pages[r.page_id].html or "", re.S)
+        blocks = re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", article[1] if article else "")
+        lines = [" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
+        assert r.text == "\n".join(x for x in lines if x) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
 def test_token_files(spark, texts):
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op5_token_files"](spark, SF).collect()}
     at, want = 0, {}

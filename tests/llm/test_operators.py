@@ -2,7 +2,9 @@
 
 import gzip
 import hashlib
+import pathlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,21 @@ def test_quality(docs):
     assert quality.verdicts(docs.where("false")).isEmpty()
 
 
+def test_quality_thresholds_follow_the_source(spark):
+    """What is usual in one source is too much in another; a document is judged by its own group."""
+    plain = [("plain", " ".join(WORDS[i : i + 40])) for i in range(100)]
+    priced = [("priced", " ".join(f"{w} $" if k % 4 == i % 3 else w for k, w in enumerate(WORDS[i : i + 40]))) for i in range(100)]
+    rows = [*plain, *priced, ("plain", priced[0][1])]
+    d = spark.createDataFrame([(i, t, "en", s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    gone = {r.doc_id for r in quality.verdicts(d, prior_docs=5).where("not kept").collect()}
+    assert gone == {200}
+    limits = {r.source: r for r in quality.thresholds(quality.sketch(quality.measured(d, "text").select("lang", "source", "_m")), 5).collect()}
+    assert limits["priced"].symbol_ppm > 2 * limits["plain"].symbol_ppm
+    lone = quality.thresholds(quality.sketch(quality.measured(d.where("doc_id < 101"), "text").select("lang", "source", "_m"))).collect()
+    few = {r.source: r.symbol_ppm for r in lone}
+    assert few["plain"] <= few["priced"] < limits["priced"].symbol_ppm  # one document leans on its language
+
+
 def test_decontaminate(spark):
     item = " ".join(WORDS[:40])
     near = " ".join([*WORDS[:20], "changed", *WORDS[21:40]])
@@ -72,9 +89,23 @@ def test_decontaminate(spark):
     got = {(r.doc_id, r.item_id): (r.start_word, round(r.similarity, 2)) for r in decontaminate.contaminated(d, bench).collect()}
     assert got[1, 1] == (3, 1.0) and (1, 5) in got and got[2, 1][1] > 0.75 and (5, 4) in got and {k[0] for k in got} == {1, 2, 5}
     assert sorted(r.doc_id for r in decontaminate.clean(d, bench).collect()) == [3, 4, 6]
+    twice = spark.createDataFrame([(None, item), (None, "a clean text of no item at all"), (7, item), (7, "another clean text with an id that repeats"), (8, None)], "doc_id long, text string")
+    assert sorted(r.text or "" for r in decontaminate.clean(twice, bench).collect()) == ["", "a clean text of no item at all", "another clean text with an id that repeats"]
     assert decontaminate.contaminated(d, bench.where("false")).isEmpty() and decontaminate.contaminated(d.where("false"), bench).isEmpty()
 
 
+def test_decontaminate_in_blocks(spark, monkeypatch):
+    """A benchmark of many blocks gives what one block gives; items of equal text are each reported."""
+    texts = [" ".join(f"i{i}w{j}" for j in range(30)) for i in range(40)]
+    bench = spark.createDataFrame([*enumerate(texts), (100, texts[3]), (101, texts[3])], "item_id long, text string")
+    d = spark.createDataFrame([(i, f"before it {t} and after") for i, t in enumerate(texts[::2] + texts[3:4])], "doc_id long, text string")
+    rows = lambda: sorted((r.doc_id, r.item_id, r.start_word, r.similarity) for r in decontaminate.contaminated(d, bench).collect())
+    once = rows()
+    assert len(once) == 23 and {r[1] for r in once if r[0] == 20} == {3, 100, 101}
+    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", 400)
+    assert rows() == once
+
+
 def test_pii(docs):
     got = {r.doc_id: r for r in pii.report(docs).collect()}
     assert got[9].n_email == 30 and got[9].n_phone == 1 and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
@@ -89,6 +120,54 @@ def test_pii_gate_of_wider_email(spark):
     assert {r._text: [x.m for x in r._more] for r in rows} == {t: [t] for t in texts}
 
 
+def test_pii_secrets_and_accounts(spark):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = {1: f'see token = "{key}" there', 2: "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI7K7MDENGbPxRfiCY", 3: "pay to DE89 3704 0044 0532 0130 00 now", 4: "DE88 3704 0044 0532 0130 00", 5: "the token of love: none", 6: None, 7: "", 8: "password: 4111111111111111x", 9: "a" * 100_000}
+    rows = spark.createDataFrame(list(texts.items()) * 2, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(rows).collect()}
+    assert {d: r.spans for d, r in got.items() if r.n_added} == {1: "secret:13:53", 2: "secret:22:51", 3: "iban:7:34", 8: "card:10:26,secret:10:27"}
+    assert [got[d].n_secret for d in (1, 3, 6, 9)] == [1, 0, 0, 0]
+    out = {r.doc_id: r.text for r in pii.redacted(rows).collect()}
+    assert out[1] == 'see token = "[SECRET]" there' and key not in out[1] and out[8] == "password: [CARD]" and out[6] is None
+
+
+def test_pii_model_equals_numpy(spark):
+    """EM over vote patterns and the naive Bayes weights, told again with numpy."""
+    rng = np.random.default_rng(3)
+    names = [f"v_{n}" for n in pii.LABELERS]
+    feats = [f"f_{n}" for n in pii.FEATURES]
+    rows = []
+    for _ in range(400):
+        true = rng.random() < 0.4
+        votes = [int(x) if rng.random() < 0.7 else -1 for x in (rng.random(len(names)) < (0.85 if true else 0.25))]
+        rows.append((4, *votes, *[str(int(x)) for x in rng.integers(0, 3, len(feats)) + (1 if true else 0)]))
+    spans = spark.createDataFrame(rows, "k int, " + ", ".join(f"{n} int" for n in names) + ", " + ", ".join(f"{n} string" for n in feats))
+    params = pii.reliabilities(spans.groupBy("k", *names).agg(F.count("*").cast("double").alias("n")))
+    v = np.array([r[1 : 1 + len(names)] for r in rows])
+    prior, alpha, beta = 0.5, np.full(len(names), 0.8), np.full(len(names), 0.2)
+
+    def posterior():
+        odds = np.log(prior / (1 - prior)) + np.where(v == 1, np.log(alpha / beta), np.where(v == 0, np.log((1 - alpha) / (1 - beta)), 0)).sum(1)
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(pii.EM_ROUNDS):
+        p = posterior()[:, None]
+        prior = min(0.99, max(0.01, (p.sum() + 1) / (len(v) + 2)))
+        alpha = ((p * (v == 1)).sum(0) + 8) / ((p * (v >= 0)).sum(0) + 10)
+        beta = (((1 - p) * (v == 1)).sum(0) + 2) / (((1 - p) * (v >= 0)).sum(0) + 10)
+    got = params["secret"]
+    assert got[0] == pytest.approx(prior) and [got[1][n] for n in pii.LABELERS] == pytest.approx(list(alpha)) and [got[2][n] for n in pii.LABELERS] == pytest.approx(list(beta))
+    p = posterior()
+    f = np.array([r[1 + len(names) :] for r in rows])
+    score = np.full(len(v), np.log((p.sum() + 1) / ((1 - p).sum() + 1)))
+    for j in range(len(feats)):
+        for x in set(f[:, j]):
+            own = f[:, j] == x
+            score[own] += np.log((p[own].sum() + 0.5) / (p.sum() + 4)) - np.log(((1 - p)[own].sum() + 0.5) / ((1 - p).sum() + 4))
+    told = [r.score for r in spans.withColumn("i", F.monotonically_increasing_id()).withColumn("score", pii.classifier(spans, params)).orderBy("i").collect()]
+    assert told == pytest.approx(list(score))
+
+
 def test_warc(spark):
     rows = [(3, "http://a", "same"), (1, "http://b", "same"), (2, None, None), (5, "u", ""), (6, "u", "é" * 1000), (None, "n", "same")]
     path = new_path(spark, "w")
@@ -96,6 +175,17 @@ def test_warc(spark):
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(spark, path).collect()}
     assert got == {1: (4, "response", None), 3: (4, "revisit", 1), None: (4, "revisit", 1), 2: (0, "response", None), 5: (0, "revisit", 2), 6: (2000, "response", None)}
     assert gzip.decompress(warc.page_record(1, "u", b"x", None, None)).startswith(b"WARC/1.1\r\nWARC-Type: response")
+    big = [(i // 3 if i % 2 else None, f"http://{i}", f"page {i % 50} " * (i % 40)) for i in range(600)] + [(7, "http://same", "x" * 900)] * 200
+    frame = spark.createDataFrame(big, "page_id long, url string, html string")
+
+    def files(df, n):
+        path = new_path(spark, "w")
+        warc.write_warc(df, path, roll_bytes=2000, shards=n, shard_bytes=9000)
+        assert warc.read_warc(spark, path).count() == len(big)
+        return {f.name: f.read_bytes() for f in pathlib.Path(path.removeprefix("file://")).glob("*.warc.gz")}
+
+    once = files(frame.repartition(3), 2)
+    assert len(once) > 20 and once == files(frame.orderBy(F.desc("url")).repartition(11), 7) == files(frame.coalesce(1), 5)
     other = new_path(spark, "w")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), other)
     assert warc.read_warc(spark, other).isEmpty()
@@ -109,6 +199,22 @@ def test_html(spark):
     assert htmltext.extract(rows.where("false")).isEmpty()
 
 
+def test_html_broken_markup():
+    tree = htmltext.grow(*htmltext.labelled_rows())
+    text = lambda body: htmltext.main_text(f"<article><p>{' '.join(WORDS[:9])}</p>{body}</article><footer><p>foot</p></footer>", tree).split("\n")[1:]
+    a, b = " ".join(WORDS[10:22]), " ".join(WORDS[30:44])
+    for broken in ("<svg/>", "<svg>", "<select>", "<iframe src=x>", "<a href=y>", "<canvas>", "<video>", "<math>", "</svg>", "<span class='note'>"):
+        assert text(f"<p>{a} {broken}</p><p>{b}</p>") == [a, b], broken
+    assert text(f"<p>{a} <svg><text>no</text></svg></p><p>{b} <iframe>no</iframe><iframe>no</iframe>") == [a, b]
+    assert text(f"<p>{a} <span class=ad>buy now</span> {b}</p>") == [f"{a} {b}"]
+    assert text(f"<ul><li>{a}<li>{b}</ul><script>if (a < b) '</p>'") == [a, b]
+    assert text(f"<p>{a}<div hidden>secret words</div><p>{b}") == [a, b]
+    plain = htmltext.main_text(f"<ul><li><a href=x>home</a><li><a href=y>news</a></ul><p>{' '.join(WORDS[:70])}<p>{b}<p>{a} {a}<p>top", tree)
+    assert plain.split("\n") == [" ".join(WORDS[:70]), b, f"{a} {a}"]
+    assert htmltext.main_text("<svg>" * 50_000 + "<p>" + "<a>" * 50_000 + "x" * 200_000, tree) == ""
+    assert len(htmltext.main_text("<article>" + f"<p>{a} <svg/>" * 20_000, tree).split("\n")) == 20_000
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", "yo"), (2, 0, "system", "x"), (None, None, None, "n")]
     out = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

@@ -38,7 +38,7 @@ ROLL_BYTES = 64 << 20
 #: Least payload bytes of a shard; a corpus of more than ``MOST_SHARDS`` such shards gets larger ones.
 SHARD_BYTES = 16 << 20
 MOST_SHARDS = 1 << 16
-BUCKETS = 1 << 18
+BUCKETS = 1 << 12
 SUB = 256
 MIN_REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -158,8 +158,7 @@ def shard_bounds(keys: DataFrame, shard_bytes: int | None = None) -> tuple[DataF
     """(b, s1, subs) for each range b of page ids, the least page_id and the width of a range.
 
     s1 numbers the shards; a range of more than ``shard_bytes`` has the shards (s1, 1), (s1, 2), ... instead of (s1, 0), and ``subs``
-    tells which one each of its ``SUB`` parts goes to. The table has at most ``BUCKETS`` + 1 rows, and less than ``MOST_SHARDS`` of
-    them have ``subs``.
+    tells which one each of its ``SUB`` parts goes to. The table has at most ``BUCKETS`` + 1 rows of ``SUB`` entries at most.
     """
     lo, hi, total = keys.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
     lo, hi = lo or 0, hi or 0

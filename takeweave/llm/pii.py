@@ -140,7 +140,8 @@ def candidates(df: DataFrame) -> DataFrame:
         ("ip", False): F.col("_digit") & F.contains(text, F.lit(":")),
         ("card", False): F.col("_digit"),
         ("phone", False): F.col("_digit"),
-        ("secret", False): text.rlike(rf"(?i:{SECRET_NAMES})[\"']?[ \t]{{0,3}}[:=]|\b(?:{SECRET_HEADS})|[A-Za-z0-9_-]{{32}}"),
+        # Assignments have a colon or an equals sign; the other forms count only with a digit, in a run of fifteen characters or more.
+        ("secret", False): F.contains(text, F.lit(":")) | F.contains(text, F.lit("=")) | (F.col("_digit") & text.rlike("(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]{15}")),
         ("iban", False): F.col("_digit") & text.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
     }
     for (kind, base), gate in gates.items():

@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Accented letters and the plain ones they are compared as.
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿß"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyys"
+BLOCK_WORDS = 256
+
+
 def folded_words(c: Column) -> Column:
-    """ASCII words in lower case (both engines then agree on characters and bytes)."""
-    return F.split(F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, "[^ -~]", " ")), "[^a-z0-9]+", " ")), " ")
+    """Words of letters and digits in lower case without accents; letters of other scripts stay."""
+    return F.split(F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), "[^\\p{L}\\p{N}]+", " ")), " ")
 
 
 def word_grams(df: DataFrame, key: str, n: int = 3) -> DataFrame:
@@ -18,31 +24,74 @@ def word_grams(df: DataFrame, key: str, n: int = 3) -> DataFrame:
     return df.select(key, F.posexplode(F.when(size >= n, grams)).alias("pos", "gram"))
 
 
-def anchors(lines: DataFrame, stream: DataFrame, n: int = 3, cap: int = 200) -> DataFrame:
-    """(item_id, doc_id, start, hits): windows where a line may begin in a stream, by shared n-grams, at most ``cap`` a pair, best first.
+def anchors(lines: DataFrame, stream: DataFrame, n: int = 3, cap: int | None = None) -> DataFrame:
+    """(item_id, doc_id, start, hits): windows where a line may begin in a stream, by shared n-grams (M03, J07); all, or the best ``cap`` a pair.
 
     lines(item_id, words), stream(doc_id, words). A gram at offset o of the line and position p of the stream puts the window at p - o.
     """
     a = word_grams(lines, "item_id", n).withColumnRenamed("pos", "o")
     b = word_grams(stream, "doc_id", n)
     w = a.join(b, "gram").groupBy("item_id", "doc_id", F.greatest(F.col("pos") - F.col("o"), F.lit(0)).alias("start")).agg(F.count("*").alias("hits"))
+    if cap is None:
+        return w
     best = F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy(F.desc("hits"), F.desc("start")))
     return w.withColumn("_r", best).where(F.col("_r") <= cap).drop("_r")
 
 
-def match_lines(lines: DataFrame, stream: DataFrame, n: int = 3, cap: int = 200, ratio: float = 0.35) -> DataFrame:
+def stream_blocks(stream: DataFrame, key: str, reach: int) -> DataFrame:
+    """(key, _b, _ws): ``stream(key, words)`` in blocks of ``BLOCK_WORDS`` words, each with ``reach`` words more."""
+    places = F.sequence(F.lit(0), F.floor(F.greatest(F.size("words") - 1, F.lit(0)) / BLOCK_WORDS).cast("int"))
+    return stream.select(key, "words", F.explode(places).alias("_b")).select(key, "_b", F.slice("words", F.col("_b") * BLOCK_WORDS + 1, F.lit(BLOCK_WORDS + reach)).alias("_ws"))
+
+
+def windows_text(windows: DataFrame, lines: DataFrame, stream: DataFrame) -> DataFrame:
+    """``windows(item_id, doc_id, start, ...)`` with a, the line's text, and b, the text of as many words of the stream.
+
+    Streams are cut into overlapping blocks of ``BLOCK_WORDS`` words and the longest line, so that a window meets one block, not a whole document.
+    """
+    longest = lines.agg(F.max(F.size("words"))).first()[0] or 0
+    blocks = stream_blocks(stream, "doc_id", longest)
+    w = windows.withColumn("_b", F.floor(F.col("start") / BLOCK_WORDS).cast("int")).join(lines, "item_id").join(blocks, ["doc_id", "_b"])
+    part = F.slice("_ws", F.col("start") - F.col("_b") * BLOCK_WORDS + 1, F.size("words"))
+    return w.select(*windows.columns, F.array_join("words", " ").alias("a"), F.array_join(part, " ").alias("b"))
+
+
+def match_lines(lines: DataFrame, stream: DataFrame, n: int = 3, cap: int | None = None, ratio: float = 0.35) -> DataFrame:
     """(item_id, doc_id, start, dist, hits): the window of each pair with the lowest edit distance, then the latest.
 
-    The window is as long as the line in words; the distance in characters must not exceed ``ratio`` of the longer text.
+    The window is as long as the line in words; the distance in characters must not exceed ``ratio`` of the longer text. Windows
+    whose length alone says more are not compared.
     """
-    w = anchors(lines, stream, n, cap).join(lines, "item_id").join(stream.withColumnRenamed("words", "sw"), "doc_id")
-    a, b = F.array_join("words", " "), F.array_join(F.slice("sw", F.col("start") + 1, F.size("words")), " ")
-    w = w.select("item_id", "doc_id", "start", "hits", a.alias("a"), b.alias("b")).withColumn("longer", F.greatest(F.length("a"), F.length("b")))
+    w = windows_text(anchors(lines, stream, n, cap), lines, stream).withColumn("longer", F.greatest(F.length("a"), F.length("b")))
+    w = w.where(F.abs(F.length("a") - F.length("b")) <= F.col("longer") * ratio)
     w = w.withColumn("dist", F.levenshtein("a", "b")).where(F.col("dist") <= F.col("longer") * ratio)
     best = F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy("dist", F.desc("start")))
     return w.withColumn("_r", best).where("_r = 1").select("item_id", "doc_id", "start", "dist", "hits")
 
 
+def weighted_distance(a: Column, b: Column, table: tuple[str, str]) -> Column:
+    """Edit distance in which letters of one class cost a quarter (M07): ``table`` maps letters to the first of their class."""
+    keyed = lambda c: F.translate(c, *table)
+    return 0.25 * F.levenshtein(a, b) + 0.75 * F.levenshtein(keyed(a), keyed(b))
+
+
+def backward_sweep(lines: DataFrame, stream: DataFrame, n: int = 3, ratio: float = 0.35) -> DataFrame:
+    """(rec_id, no, start, dist): of windows stepped back from the end of the own recording, the latest that is near enough.
+
+    lines(rec_id, no, words) are those without another match, stream(rec_id, words). Windows have max(size of the line, 2n) words and
+    step by half of that; the window that ends the recording comes first.
+    """
+    longest = lines.agg(F.max(F.size("words"))).first()[0] or 0
+    w = lines.withColumn("size", F.greatest(F.size("words"), F.lit(2 * n))).join(stream.select("rec_id", F.size("words").alias("have")), "rec_id")
+    last = F.greatest(F.col("have") - F.col("size"), F.lit(0))
+    w = w.select("rec_id", "no", "size", F.array_join("words", " ").alias("a"), F.explode(F.sequence(last, F.lit(0), -F.floor(F.col("size") / 2).cast("int"))).alias("start"))
+    w = w.withColumn("_b", F.floor(F.col("start") / BLOCK_WORDS).cast("int")).join(stream_blocks(stream, "rec_id", max(longest, 2 * n)), ["rec_id", "_b"])
+    w = w.select("rec_id", "no", "start", "a", F.array_join(F.slice("_ws", F.col("start") - F.col("_b") * BLOCK_WORDS + 1, F.col("size")), " ").alias("b"))
+    w = w.withColumn("most", F.greatest(F.length("a"), F.length("b")) * ratio).where(F.abs(F.length("a") - F.length("b")) <= F.col("most"))
+    w = w.withColumn("dist", F.levenshtein("a", "b")).where(F.col("dist") <= F.col("most"))
+    return w.groupBy("rec_id", "no").agg(F.max(F.struct("start", "dist")).alias("x")).select("rec_id", "no", "x.*")
+
+
 def gram_jaccard(lines: DataFrame, stream: DataFrame, n: int = 3, least: float = 0.12) -> DataFrame:
     """(item_id, doc_id, inter, jaccard): multiset Jaccard of n-grams from ``least`` on."""
     a = word_grams(lines, "item_id", n).groupBy("item_id", "gram").agg(F.count("*").alias("ca"))
@@ -56,3 +105,10 @@ def missing_grams(lines: DataFrame, stream: DataFrame, n: int = 3) -> DataFrame:
     """(item_id, missing): how many n-grams of a line stand in no document."""
     a = word_grams(lines, "item_id", n)
     return a.join(word_grams(stream, "doc_id", n).select("gram").distinct(), "gram", "left_anti").groupBy("item_id").agg(F.count("*").alias("missing"))
+
+
+def top_missing_grams(lines: DataFrame, stream: DataFrame, n: int = 3, top: int = 20) -> DataFrame:
+    """(gram, lines): the ``top`` n-grams that most lines have and no document, ties in the order of the gram."""
+    a = word_grams(lines, "item_id", n).select("item_id", "gram").distinct()
+    gone = a.join(word_grams(stream, "doc_id", n).select("gram").distinct(), "gram", "left_anti").groupBy("gram").agg(F.count("*").alias("lines"))
+    return gone.orderBy(F.desc("lines"), "gram").limit(top)

@@ -79,8 +79,16 @@ def split_long(iv: DataFrame, max_ms: int) -> DataFrame:
 
 
 def folded(iv: DataFrame, min_ms: int) -> DataFrame:
-    """Fold intervals shorter than ``min_ms`` into the one before, or the next when they come first (I11): an ordered fold over one recording's array."""
-    arrays = iv.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("s_ms", "e_ms"))).alias("xs"))
+    """Fold intervals shorter than ``min_ms`` into the one before, or the next when they come first.
+
+    Between two intervals of ``min_ms`` or more nothing is ever folded, so the ordered fold runs over the short runs between such
+    places, not over a whole recording.
+    """
+    order = Window.partitionBy("rec_id").orderBy("s_ms", "e_ms")
+    long = F.col("e_ms") - F.col("s_ms") >= min_ms
+    parted = iv.select("rec_id", "s_ms", "e_ms", long.alias("_long")).withColumn("_new", F.when(F.col("_long") & F.lag("_long").over(order), 1).otherwise(0))
+    parted = parted.withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    arrays = parted.groupBy("rec_id", "_g").agg(F.sort_array(F.collect_list(F.struct("s_ms", "e_ms"))).alias("xs"))
     empty = F.expr("cast(array() as array<struct<s_ms:bigint,e_ms:bigint>>)")
 
     def step(acc: Column, x: Column) -> Column:
@@ -92,6 +100,36 @@ def folded(iv: DataFrame, min_ms: int) -> DataFrame:
     return arrays.select("rec_id", F.explode(F.aggregate("xs", empty, step)).alias("x")).select("rec_id", "x.s_ms", "x.e_ms")
 
 
+def union_merged(a: DataFrame, b: DataFrame, totals: DataFrame) -> DataFrame:
+    """(rec_id, s_ms, e_ms): both interval tables together, cut to [0, total_ms] of ``totals`` and merged (U01). Recordings without a total go."""
+    both = a.select("rec_id", "s_ms", "e_ms").unionByName(b.select("rec_id", "s_ms", "e_ms")).join(totals, "rec_id")
+    cut = both.select("rec_id", F.greatest("s_ms", F.lit(0).cast("long")).alias("s_ms"), F.least("e_ms", "total_ms").alias("e_ms")).where("e_ms > s_ms")
+    return merge(cut).select("rec_id", "s_ms", "e_ms")
+
+
+def split_at_boundaries(iv: DataFrame, boundaries: DataFrame, max_ms: int = 20_000) -> DataFrame:
+    """(rec_id, s_ms, e_ms): intervals cut to pieces of at most ``max_ms`` at the last boundary that is in reach, else at the limit.
+
+    ``iv(rec_id, id, s_ms, e_ms)``, ``boundaries(rec_id, b)``. Cuts keep a distance (a quarter of ``max_ms``, 400 to 1500 ms) from both ends
+    of what is left. Intervals meet the boundaries in cells of ``max_ms``, and each is folded with its own boundaries alone.
+    """
+    far = max(400, min(max_ms // 4, 1500))
+    cells = iv.where(F.col("e_ms") - F.col("s_ms") > max_ms).select("rec_id", "id", "s_ms", "e_ms", F.explode(F.sequence(F.floor(F.col("s_ms") / max_ms), F.floor(F.col("e_ms") / max_ms))).alias("cell"))
+    points = boundaries.select("rec_id", "b", F.floor(F.col("b") / max_ms).alias("cell")).distinct()
+    met = cells.join(points, ["rec_id", "cell"], "left").groupBy("rec_id", "id", "s_ms", "e_ms").agg(F.collect_set("b").alias("ps"))
+
+    def step(acc: Column, _: Column) -> Column:
+        at = acc["at"]
+        cut = F.coalesce(F.array_max(F.filter("ps", lambda p: (p >= at + far) & (p <= F.least(F.col("e_ms") - far, at + max_ms)))), at + max_ms)
+        return F.when(F.col("e_ms") - at <= max_ms, acc).otherwise(F.struct(cut.alias("at"), F.concat(acc["out"], F.array(cut)).alias("out")))
+
+    most = F.size("ps") + F.floor((F.col("e_ms") - F.col("s_ms")) / max_ms).cast("int") + 1
+    cuts = F.aggregate(F.sequence(F.lit(1), most), F.struct(F.col("s_ms").alias("at"), F.array().cast("array<bigint>").alias("out")), step)["out"]
+    edges = met.select("rec_id", F.concat(F.array("s_ms"), cuts, F.array("e_ms")).alias("x"))
+    pieces = edges.select("rec_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("x") - 2), lambda i: F.struct(F.get("x", i).alias("s_ms"), F.get("x", i + 1).alias("e_ms")))).alias("p")).select("rec_id", "p.*")
+    return pieces.unionByName(iv.where((F.col("e_ms") - F.col("s_ms") <= max_ms) & (F.col("e_ms") > F.col("s_ms"))).select("rec_id", "s_ms", "e_ms"))
+
+
 def keeps_of_edit_list(segments: DataFrame, totals: DataFrame) -> DataFrame:
     """Keep intervals of ``segments(rec_id, s_ms, e_ms, action)``: explicit keeps win, else the complement of the cuts."""
     explicit = segments.where("action = 'keep'")

@@ -36,10 +36,10 @@ def alias_hits(docs: DataFrame, key: str, aliases: dict[str, list[str]]) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
-def fast_candidates(lines: DataFrame, stream: DataFrame, most: int = 5, least: int = 3, limit: int = 200) -> DataFrame:
+def fast_candidates(lines: DataFrame, stream: DataFrame, most: int = 5, least: int = 3, limit: int | None = None) -> DataFrame:
     """(item_id, doc_id, start, k, hits): windows by the longest word runs, ``most`` down to ``least``, that meet at all.
 
-    lines(item_id, words), stream(doc_id, words). Only the first ``limit`` windows of a line and stream by hits, then place, stay.
+    lines(item_id, words), stream(doc_id, words). With ``limit``, only so many windows of a line and stream stay, by hits, then place.
     """
     levels = []
     for k in range(least, most + 1):
@@ -47,7 +47,8 @@ def fast_candidates(lines: DataFrame, stream: DataFrame, most: int = 5, least: i
         levels.append(a.join(b, "gram").groupBy("item_id", "doc_id", F.greatest(F.col("pos") - F.col("o"), F.lit(0)).alias("start")).agg(F.count("*").alias("hits")).withColumn("k", F.lit(k)))
     own = Window.partitionBy("item_id", "doc_id")
     w = reduce(DataFrame.unionByName, levels).withColumn("_top", F.max("k").over(own)).where("k = _top")
-    return w.withColumn("_r", F.row_number().over(own.orderBy(F.desc("hits"), "start"))).where(F.col("_r") <= limit).select("item_id", "doc_id", "start", "k", "hits")
+    w = w.select("item_id", "doc_id", "start", "k", "hits")
+    return w if limit is None else w.withColumn("_r", F.row_number().over(own.orderBy(F.desc("hits"), "start"))).where(F.col("_r") <= limit).drop("_r")
 
 
 def partial_matches(lines: DataFrame, stream: DataFrame, n: int = 3, percent: int = 50) -> DataFrame:
@@ -144,3 +145,16 @@ def sentence_edit_list(lines: DataFrame, totals: DataFrame, low: float = 0.5) ->
     keep = lines.where(F.col("t0").isNotNull() & (F.col("score") >= low)).select("rec_id", F.col("t0").alias("s_ms"), F.col("t1").alias("e_ms"))
     rest = totals.join(keep.select("rec_id").distinct(), "rec_id", "left_anti").select("rec_id", F.lit(0).cast("long").alias("s_ms"), F.col("total_ms").alias("e_ms"))
     return keep.unionByName(rest)
+
+
+def tokens_of_spans(spans: DataFrame, tokens: DataFrame, cell: int = 256) -> DataFrame:
+    """(rec_id, id, first_idx, last_idx): the tokens that character spans touch.
+
+    spans(rec_id, id, lo, hi), tokens(rec_id, idx, lo, hi), ends exclusive. Both meet in cells of ``cell`` characters, so no recording
+    is compared as a whole. Empty spans and spans outside the text have no row.
+    """
+    cells = lambda df: F.explode(F.sequence(F.floor(df["lo"] / cell), F.floor((df["hi"] - 1) / cell)))
+    s = spans.where("hi > lo").select("rec_id", "id", "lo", "hi", cells(spans).alias("cell"))
+    t = tokens.where("hi > lo").select("rec_id", "idx", F.col("lo").alias("tlo"), F.col("hi").alias("thi"), cells(tokens).alias("cell"))
+    met = s.join(t, ["rec_id", "cell"]).where("tlo < hi and thi > lo")
+    return met.groupBy("rec_id", "id").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))

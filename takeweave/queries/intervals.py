@@ -38,14 +38,6 @@ def _segments(s, d):
     return takes(s, d).select("rec_id", F.col("t0").alias("s_ms"), F.col("t1").alias("e_ms"), a.alias("action")).where("action is not null")
 
 
-def _refined(s, d):
-    kept = rt.keep_last(takes(s, d), DAY).select("rec_id", "cand_id", "t0", "t1", "score")
-    mono = rt.monotonic(kept).select("rec_id", F.col("t0").alias("s_ms"), F.col("t1").alias("e_ms"))
-    merged = iv.merge(iv.pad(mono), GAP).select("rec_id", "s_ms", "e_ms")
-    everything = takes(s, d).select("rec_id", F.col("t0").alias("s_ms"), F.col("t1").alias("e_ms"))
-    return rt.keep_ratio(merged, everything)
-
-
 QUERIES = {
     "w01_word_gaps": lambda s, d: iv.word_gaps(words(s, d)),
     "w02_char_offsets": lambda s, d: words(s, d).select("rec_id", "idx", F.sum(F.length("text")).over(Window.partitionBy("rec_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)).alias("ch_hi")),
@@ -62,14 +54,11 @@ QUERIES = {
     "i07_snap": lambda s, d: iv.snap(_iv(s, d), _b(s, d), HOUR, SHORT),
     "i09_pad": lambda s, d: iv.pad(_iv(s, d)),
     "i10_merge_padded": lambda s, d: iv.merge(iv.pad(_iv(s, d)), GAP),
-    "i11_fold_short": lambda s, d: iv.folded(_iv(s, d), SHORT),
     "i12_split_long": lambda s, d: iv.split_long(_iv(s, d), HOUR),
     "j09_active_at": lambda s, d: iv.active_at(_b(s, d).select("rec_id", F.monotonically_increasing_id().alias("id"), F.col("b").alias("x")), _iv(s, d)).groupBy("rec_id").agg(F.count("*").alias("n"), F.sum("iv_id").alias("sum_iv")),
-    "d04_best_path": lambda s, d: rt.best_path(takes(s, d)).select("rec_id", F.size("path").alias("n"), F.round("value", 6).alias("value")),
     "d07_monotonic": lambda s, d: rt.monotonic(takes(s, d)).select("rec_id", "cand_id"),
     "d08_adjacent_spans": lambda s, d: rt.adjacent_spans(takes(s, d), HOUR),
     "d09_merged_cuts": lambda s, d: iv.merge(_cuts(s, d)).groupBy("rec_id").agg(F.count("*").alias("n_cuts"), F.sum(F.col("e_ms") - F.col("s_ms")).alias("cut_ms")),
-    "d10_keep_last_pipeline": _refined,
     "a15_region_summary": lambda s, d: takes(s, d).groupBy("rec_id").agg(F.count("*").alias("total"), F.count_if(F.col("k") != "click").alias("n_keep"), F.sum(F.when(F.col("k") != "click", F.col("t1") - F.col("t0")).otherwise(0)).alias("keep_ms")),
     "p03_regions": lambda s, d: takes(s, d).where("t1 > t0").select("rec_id", "cand_id", F.when(F.col("k").isin("click", "error"), "delete").when(F.col("k") == "view", "undecided").otherwise("keep").alias("state")),
     "p10_times": lambda s, d: takes(s, d).select("cand_id", F.format_string("%02d:%02d:%02d,%03d", F.expr("t1 div 3600000"), F.expr("t1 div 60000 % 60"), F.expr("t1 div 1000 % 60"), F.expr("t1 % 1000")).alias("srt")),
@@ -108,7 +97,6 @@ ORACLES = {
     "d07_monotonic": f"WITH RECURSIVE {T}, {_MONO.format(src='t')} SELECT rec_id, cand_id FROM mono WHERE ok",
     "d08_adjacent_spans": f"WITH {T}, a AS (SELECT *, CASE WHEN t0 - lag(t1) OVER (PARTITION BY rec_id ORDER BY t0, t1, cand_id) > {HOUR} THEN 1 ELSE 0 END AS f FROM t), b AS (SELECT *, sum(f) OVER (PARTITION BY rec_id ORDER BY t0, t1, cand_id ROWS UNBOUNDED PRECEDING) AS span FROM a) SELECT rec_id, CAST(span AS BIGINT) AS span, min(t0) AS s_ms, max(t1) AS e_ms, string_agg(CAST(cand_id AS VARCHAR), ',' ORDER BY t0, t1, cand_id) AS ids, array_to_string(list_slice(list(CAST(cand_id AS VARCHAR) ORDER BY t0, t1, cand_id), 1, 3), '/') AS preview FROM b GROUP BY rec_id, span",
     "d09_merged_cuts": f"WITH {T}, x AS (SELECT rec_id, t0 AS s_ms, t1 AS e_ms FROM t WHERE k = 'click'), {_M.format(gap=0)} SELECT rec_id, count(*) AS n_cuts, CAST(sum(e_ms - s_ms) AS BIGINT) AS cut_ms FROM m GROUP BY rec_id",
-    "d10_keep_last_pipeline": "WITH RECURSIVE " + _CL.removeprefix("WITH ") + f", kl AS (SELECT * FROM r WHERE is_last), {_MONO.format(src='kl')}, x AS (SELECT rec_id, greatest(t0 - 80, 0) AS s_ms, t1 + 120 AS e_ms FROM mono WHERE ok), {_M.format(gap=GAP)}, kk AS (SELECT rec_id, CAST(sum(e_ms - s_ms) AS BIGINT) AS keep_ms FROM m GROUP BY rec_id), tt AS (SELECT rec_id, max(t1) - min(t0) AS total_ms FROM t GROUP BY rec_id) SELECT tt.rec_id, coalesce(keep_ms, 0) AS keep_ms, total_ms, CASE WHEN total_ms > 0 THEN greatest(0.0, least(1.0, 1 - keep_ms / total_ms)) ELSE 0.0 END AS cut_ratio FROM tt LEFT JOIN kk USING (rec_id)",
     "a15_region_summary": f"WITH {T} SELECT rec_id, count(*) AS total, count(*) FILTER (WHERE k <> 'click') AS n_keep, CAST(sum(CASE WHEN k <> 'click' THEN t1 - t0 ELSE 0 END) AS BIGINT) AS keep_ms FROM t GROUP BY rec_id",
     "p03_regions": f"WITH {T} SELECT rec_id, cand_id, CASE WHEN k IN ('click', 'error') THEN 'delete' WHEN k = 'view' THEN 'undecided' ELSE 'keep' END AS state FROM t WHERE t1 > t0",
     "p10_times": f"WITH {T} SELECT cand_id, printf('%02d:%02d:%02d,%03d', t1 // 3600000, t1 // 60000 % 60, t1 // 1000 % 60, t1 % 1000) AS srt FROM t",

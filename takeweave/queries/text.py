@@ -101,13 +101,13 @@ _CLOSE = "\"''\\)\\]}”’」』）】》"
 _FW = "(SELECT string_agg(chr(CAST(c AS INTEGER)), '' ORDER BY c) || chr(12288) FROM range(65281, 65375) r(c))"
 _HW = "(SELECT string_agg(chr(CAST(c AS INTEGER)), '' ORDER BY c) || ' ' FROM range(33, 127) r(c))"
 _SP = "[ \\t\\r\\n\\x0b\\f 　   ]+"
-_FOLD = "string_split(trim(regexp_replace(lower(regexp_replace(text, '[^ -~]', ' ', 'g')), '[^a-z0-9]+', ' ', 'g')), ' ')"
+_FOLD = f"string_split(trim(regexp_replace(translate(lower(text), '{align.ACCENTED}', '{align.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
 _GRAMS = (
     f"l AS (SELECT item_id, {_FOLD} AS ws FROM benchmark), st AS (SELECT doc_id, {_FOLD} AS ws FROM documents), "
     "lg AS (SELECT item_id, i AS o, array_to_string(ws[i+1:i+3], ' ') AS gram FROM (SELECT item_id, ws, unnest(range(0, len(ws) - 2)) AS i FROM l WHERE len(ws) >= 3)), "
     "sg AS (SELECT doc_id, i AS pos, array_to_string(ws[i+1:i+3], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 2)) AS i FROM st WHERE len(ws) >= 3)), "
     "an AS (SELECT item_id, doc_id, greatest(pos - o, 0) AS start, count(*) AS hits FROM lg JOIN sg USING (gram) GROUP BY ALL), "
-    "ac AS (SELECT * FROM an QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY hits DESC, start DESC) <= 200)"
+    "ac AS (SELECT * FROM an)"
 )
 _MATCH = _GRAMS + (
     ", mw AS (SELECT ac.*, array_to_string(l.ws, ' ') AS a, array_to_string(st.ws[start+1:start+len(l.ws)], ' ') AS b FROM ac JOIN l USING (item_id) JOIN st USING (doc_id)), "

@@ -1,8 +1,8 @@
 """Shared storage for intermediate tables.
 
 A job that needs to cut its lineage writes a table into the folder all executors share. On a
-cluster that folder is named by ``spark.checkpoint.dir``; only where it is unset (local tests)
-does the library make one of its own.
+cluster that folder is named by ``spark.checkpoint.dir``; only where it is unset and Spark is local
+(tests) does the library make one of its own.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="takeweave-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(_own_dir)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from takeweave.operators.intervals import merge
+
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(rec_id, content): one row a file, the stem in lower case as rec_id; a byte order mark goes."""
@@ -91,10 +93,13 @@ def markers(files: DataFrame) -> DataFrame:
 
 
 def silences(log: DataFrame) -> DataFrame:
-    """(rec_id, s_ms, e_ms) of log(rec_id, line_no, line) with silence_start / silence_end lines; unpaired and inverted ones go."""
+    """(rec_id, s_ms, e_ms) of log(rec_id, line_no, line) with silence_start / silence_end lines.
+
+    Unpaired and inverted ones go, those that touch within a millisecond are merged.
+    """
     t = lambda name: F.regexp_extract("line", f"{name}: *(-?[0-9.]+)", 1).try_cast("double")
     start = F.last(t("silence_start"), ignorenulls=True).over(Window.partitionBy("rec_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    return log.select("rec_id", _ms(start).alias("s_ms"), _ms(t("silence_end")).alias("e_ms")).where("e_ms > s_ms")
+    return merge(log.select("rec_id", _ms(start).alias("s_ms"), _ms(t("silence_end")).alias("e_ms")).where("e_ms > s_ms"), 1).select("rec_id", "s_ms", "e_ms")
 
 
 def mapping(files: DataFrame) -> DataFrame:

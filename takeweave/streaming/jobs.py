@@ -25,6 +25,12 @@ def sessions(events: DataFrame, gap: str = "1 day", late: str = "1 day") -> Data
     return events.withWatermark("ts", late).groupBy("user_id", "event_type", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", "event_type", F.unix_millis("w.start").alias("start_ms"), "n")
 
 
+def last_takes(events: DataFrame, gap: str = "1 day", late: str = "1 day") -> DataFrame:
+    """(user_id, event_type, start_ms, event_id): the last event of each take cluster, ties by the greater id."""
+    g = events.withWatermark("ts", late).groupBy("user_id", "event_type", F.session_window("ts", gap).alias("w")).agg(F.max(F.struct("ts", "event_id")).alias("x"))
+    return g.select("user_id", "event_type", F.unix_millis("w.start").alias("start_ms"), "x.event_id")
+
+
 def distinct_events(events: DataFrame) -> DataFrame:
     """Events once each over the whole stream (T05), however late and in however many batches they come.
 

@@ -154,8 +154,8 @@ def _sub_bucket(lo: int, width: int) -> Column:
     return F.coalesce(by_id, F.conv(F.substring("digest", 1, 2), 16, 10).cast("int"))
 
 
-def shard_bounds(keys: DataFrame, shard_bytes: int | None = None) -> tuple[DataFrame, int, int]:
-    """(b, s1, subs) for each range b of page ids, the least page_id and the width of a range.
+def shard_bounds(keys: DataFrame, shard_bytes: int | None = None) -> tuple[DataFrame, int, int, int]:
+    """(b, s1, subs) for each range b of page ids, the least page_id, the width of a range, and about how many shards there are.
 
     s1 numbers the shards; a range of more than ``shard_bytes`` has the shards (s1, 1), (s1, 2), ... instead of (s1, 0), and ``subs``
     tells which one each of its ``SUB`` parts goes to. The table has at most ``BUCKETS`` + 1 rows of ``SUB`` entries at most.
@@ -170,7 +170,7 @@ def shard_bounds(keys: DataFrame, shard_bytes: int | None = None) -> tuple[DataF
     coarse = fine.groupBy("b").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("u", "_part"))).alias("subs"))
     # One row a range: the prefix sum over all of them is one small task.
     coarse = coarse.withColumn("s1", F.call_function("div", before(Window.orderBy("b")), F.lit(full)).cast("long"))
-    return coarse.select("b", "s1", F.when(F.col("n") > full, F.col("subs")).alias("subs")), lo, width
+    return coarse.select("b", "s1", F.when(F.col("n") > full, F.col("subs")).alias("subs")), lo, width, (total or 0) // full + 1
 
 
 def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, min_revisit_bytes: int = MIN_REVISIT_BYTES, shards: int | None = None, shard_bytes: int | None = None) -> None:
@@ -178,7 +178,6 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, min_re
 
     ``shards`` is the number of tasks that write; it has no influence on the files.
     """
-    spark = pages.sparkSession
     store, top = open_store(path)
     store.create_dir(top, recursive=True)
     text = pages.select(
@@ -195,13 +194,13 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, min_re
     # Reference rows (kind 0) travel with the pages and stand right before those they concern, so the payloads move once.
     refs = revisits.select("page_id", "digest", F.lit(0).alias("kind"), F.col("first.url").alias("url"), F.lit(None).cast("string").alias("html"), F.col("first.page_id").alias("refers_to")).distinct()
     rows = keyed.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to")).union(refs)
-    bounds, lo, width = shard_bounds(keys, shard_bytes)
+    bounds, lo, width, about = shard_bounds(keys, shard_bytes)
     bounds = written(bounds, "warc-bounds")
     placed = rows.withColumn("b", _bucket(lo, width)).join(F.broadcast(bounds), "b")  # at most BUCKETS + 1 rows
     s2 = F.when(F.col("subs").isNull(), 0).otherwise(F.try_element_at("subs", _sub_bucket(lo, width))).cast("long")
     placed = placed.select("s1", s2.alias("s2"), "page_id", "digest", "kind", "url", "html", "refers_to")
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.repartitionByRange(n, "s1", "s2").sortWithinPartitions("s1", "s2", F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
+    n = shards or about  # one shard a task, however large the corpus
+    ordered = placed.repartitionById(n, F.pmod(F.col("s1") + F.col("s2"), F.lit(n)).cast("int")).sortWithinPartitions("s1", "s2", F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
     ordered.mapInArrow(_write_task(path, roll_bytes), MANIFEST).write.parquet(f"{path}/_manifest")
 
 

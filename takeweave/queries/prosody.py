@@ -30,15 +30,20 @@ QUERIES = {"g08_clauses": _clauses, "g10_break_candidates": _candidates, "g11_be
 
 _listed = lambda chars: "(" + ", ".join("'" + c.replace("'", "''") + "'" for c in dict.fromkeys(chars)) + ")"
 _ends_in = lambda phrases, at: " OR ".join(f"array_to_string(list_slice(cs, {at} - {len(p) - 1}, {at}), '') = '{p}'" for p in phrases)
-_PHRASE_LENGTH = " ".join(f"WHEN {_ends_in((p,), 'i')} THEN {len(p)}" for p in PHRASES)
+_LONGEST = max(map(len, PHRASES))
+_TAIL = " || ".join([*[f"lag(c, {k}, '') OVER o" for k in range(_LONGEST - 1, 0, -1)], "c"])
+_PHRASE_LENGTH = " ".join(f"WHEN ends_with(tail, '{p}') THEN {len(p)}" for p in PHRASES)
 
 # Each step finds the next cut from the last one alone: the first mark that is far enough, else the last that came too early, else the bound.
 _CLAUSES = (
-    f"{_SENT}, c0 AS (SELECT doc_id, sent_no, text, string_split(text, '') AS cs, CAST(length(text) AS BIGINT) AS n FROM s2), "
-    f"c1 AS (SELECT * EXCLUDE cs, list_filter([{{'e': i, 't': CASE {_PHRASE_LENGTH} WHEN cs[i] IN {_listed(prosody.SOFT + ';；')} THEN 1 ELSE 0 END}} FOR i IN range(1, n + 1)], lambda x: x.t > 0) AS ms FROM c0), "
-    "c2 AS (SELECT doc_id, sent_no, text, n, ms, 0::BIGINT AS lo, 0::BIGINT AS hi FROM c1 UNION ALL SELECT doc_id, sent_no, text, n, ms, hi, "
+    f"{_SENT}, ch AS (SELECT doc_id, sent_no, generate_subscripts(cs, 1) AS i, unnest(cs) AS c FROM (SELECT doc_id, sent_no, string_split(text, '') AS cs FROM s2)), "
+    f"tl AS (SELECT doc_id, sent_no, i, c, {_TAIL} AS tail FROM ch WINDOW o AS (PARTITION BY doc_id, sent_no ORDER BY i)), "
+    f"mk AS (SELECT doc_id, sent_no, CAST(i AS BIGINT) AS e, CASE {_PHRASE_LENGTH} WHEN c IN {_listed(prosody.SOFT + ';；')} THEN 1 ELSE 0 END AS t FROM tl), "
+    "ml AS (SELECT doc_id, sent_no, list({'e': e, 't': t} ORDER BY e) AS ms FROM mk WHERE t > 0 GROUP BY ALL), "
+    "c1 AS (SELECT doc_id, sent_no, text, CAST(length(text) AS BIGINT) AS n, coalesce(ms, []) AS ms FROM s2 LEFT JOIN ml USING (doc_id, sent_no)), "
+    "c2 AS (SELECT doc_id, sent_no, n, ms, 0::BIGINT AS lo, 0::BIGINT AS hi FROM c1 UNION ALL SELECT doc_id, sent_no, n, ms, hi, "
     f"least(n, coalesce(list_min([x.e FOR x IN ms IF x.e - hi >= {LEAST} AND x.e - x.t <= hi + {MOST - 1}]), CASE WHEN hi + {MOST - 1} >= n THEN n END, list_max([x.e FOR x IN ms IF x.e > hi AND x.e - hi < {LEAST}]), hi + {MOST - 1})) FROM c2 WHERE hi < n), "
-    "c3 AS (SELECT doc_id, sent_no, hi, trim(substr(text, lo + 1, hi - lo)) AS text FROM c2 WHERE hi > 0) "
+    "c3 AS (SELECT doc_id, sent_no, hi, trim(substr(text, lo + 1, hi - lo)) AS text FROM c2 JOIN s2 USING (doc_id, sent_no) WHERE hi > 0) "
     "SELECT doc_id, sent_no, row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY hi) AS clause_no, text FROM c3 WHERE text <> ''"
 )
 

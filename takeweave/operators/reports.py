@@ -129,3 +129,35 @@ def rename_plan(paths: DataFrame, delete: str = "", replace: dict[str, str] | No
     d = paths.select(F.col("path").alias("old"), folder.alias("_f"), F.concat(F.lit(prefix), stem, F.lit(suffix)).alias("_s"), ending.alias("_e"))
     no = F.row_number().over(Window.partitionBy("_f", "_s", "_e").orderBy("old")) - 1
     return d.withColumn("_n", no).select("old", F.concat("_f", "_s", F.when(F.col("_n") > 0, F.format_string("(%d)", "_n")).otherwise(""), "_e").alias("new"))
+
+
+# Marks whose share is compared.
+ALIGN_MARKS = "，。？！：；——…,.?!:;"
+
+
+def alignability(texts: DataFrame, words: DataFrame, marks: str = ALIGN_MARKS) -> DataFrame:
+    """(rec_id, score): how well a text should align with the words heard, 0 to 100.
+
+    texts(rec_id, text) and words(rec_id, text); rows of one rec_id are taken together, white space is left out, pairs of characters do
+    not cross rows. The mean of three shares of the text: characters that the words have too (counted), marks that they have too (1 where
+    the text has none), and pairs of neighbouring characters that stand in the words. A recording without text has score 0; one without
+    text rows has no row. Grams are counted before they meet.
+    """
+
+    def grams(df: DataFrame, side: str) -> DataFrame:
+        cs = F.filter(F.split(F.regexp_replace("text", "\\s+", ""), ""), lambda c: c != "")
+        d = df.select("rec_id", F.coalesce(cs, F.expr("cast(array() as array<string>)")).alias("c"))
+        pairs = F.transform(F.arrays_zip(F.slice("c", F.lit(1), F.greatest(F.size("c") - 1, F.lit(0))).alias("a"), F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0))).alias("b")), lambda p: F.concat(p["a"], p["b"]))
+        g = d.select("rec_id", F.explode(F.concat("c", pairs)).alias("gram")).groupBy("rec_id", "gram").agg(F.count("*").alias("n"))
+        return g.select("rec_id", "gram", *[F.when(F.lit(side == s), F.col("n")).otherwise(0).alias(s) for s in ("t", "w")])
+
+    g = grams(texts, "t").unionByName(grams(words, "w")).groupBy("rec_id", "gram").agg(F.sum("t").alias("t"), F.sum("w").alias("w"))
+    one, mark, met = F.length("gram") == 1, F.contains(F.lit(marks), F.col("gram")), F.least("t", "w")
+    total = lambda value, on: F.coalesce(F.sum(F.when(on, value)), F.lit(0))
+    s = g.groupBy("rec_id").agg(
+        total(F.col("t"), one).alias("n"), total(met, one).alias("chars"), total(F.col("t"), one & mark).alias("marks"), total(met, one & mark).alias("marked"),
+        total(F.col("t"), ~one).alias("pairs"), total(F.when(F.col("w") > 0, F.col("t")).otherwise(0), ~one).alias("paired"),
+    )
+    share = F.col("chars") / F.col("n") + F.when(F.col("marks") > 0, F.col("marked") / F.col("marks")).otherwise(1.0) + F.col("paired") / F.greatest("pairs", F.lit(1))
+    score = F.when(F.col("n") > 0, F.round(share / 3 * 100, 2)).otherwise(0.0)
+    return texts.select("rec_id").distinct().join(s.select("rec_id", score.alias("score")), "rec_id", "left").select("rec_id", F.coalesce("score", F.lit(0.0)).alias("score"))

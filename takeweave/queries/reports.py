@@ -70,7 +70,12 @@ def _settings(s, d):
     return reports.resolved_settings(items, presets, {"window": F.lit(20), "policy": F.lit("last")})
 
 
+def _heard(s, d, role):
+    return table(s, d, "conversations").where(F.col("role") == role).select(F.col("conv_id").alias("rec_id"), "text")
+
+
 QUERIES = {
+    "a11_alignability": lambda s, d: reports.alignability(_heard(s, d, "user"), _heard(s, d, "assistant")),
     "a02_change_counters": lambda s, d: reports.change_counters(_counters(s, d), ["commas", "breaks"]),
     "a08_suspicious": lambda s, d: reports.suspicious(_mixed(s, d)),
     "a14_acceptance": lambda s, d: reports.acceptance(_n_lines(s, d).withColumn("mode", F.when(F.col("doc_id") > 50, "align").otherwise("plain")), 10),
@@ -99,7 +104,14 @@ def _two(ms: int, n: int) -> str:
 
 
 _S1 = f"WITH {T}, {_two(DAY, 1)}"
+_GRAMS_OF = (
+    "cs AS (SELECT conv_id, role, list_filter(string_split(regexp_replace(text, '\\s+', '', 'g'), ''), lambda c: c <> '') AS c FROM conversations WHERE role IN ('user', 'assistant')), "
+    "gr AS (SELECT conv_id, role, unnest(c) AS gram FROM cs UNION ALL SELECT conv_id, role, unnest(list_transform(list_zip(c[1:len(c) - 1], c[2:]), lambda p: p[1] || p[2])) FROM cs WHERE len(c) > 1), "
+    "cn AS (SELECT conv_id, gram, count(*) FILTER (role = 'user') AS t, count(*) FILTER (role = 'assistant') AS w FROM gr GROUP BY ALL), "
+    "sm AS (SELECT conv_id, sum(t) FILTER (length(gram) = 1) AS n, sum(least(t, w)) FILTER (length(gram) = 1) AS chars, sum(t) FILTER (contains('，。？！：；——…,.?!:;', gram) AND length(gram) = 1) AS marks, sum(least(t, w)) FILTER (contains('，。？！：；——…,.?!:;', gram) AND length(gram) = 1) AS marked, coalesce(sum(t) FILTER (length(gram) = 2), 0) AS pairs, coalesce(sum(t) FILTER (length(gram) = 2 AND w > 0), 0) AS paired FROM cn GROUP BY conv_id)"
+)
 ORACLES = {
+    "a11_alignability": f"WITH {_GRAMS_OF} SELECT conv_id AS rec_id, CASE WHEN n > 0 THEN round((chars / n + CASE WHEN marks > 0 THEN marked / marks ELSE 1 END + paired / greatest(pairs, 1)) / 3 * 100, 2) ELSE 0 END AS score FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user') LEFT JOIN sm USING (conv_id)",
     "a02_change_counters": "SELECT count(*) FILTER (lang = 'en') AS n_ok, CAST(coalesce(sum(length(text) - length(replace(text, ',', ''))) FILTER (lang = 'en'), 0) AS BIGINT) AS commas, CAST(coalesce(sum(length(text) - length(replace(text, chr(10), ''))) FILTER (lang = 'en'), 0) AS BIGINT) AS breaks FROM documents",
     "a08_suspicious": f"WITH {_MX}, m AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda w: regexp_matches(w, '\\p{{Han}}') AND regexp_matches(w, '\\p{{Latin}}')) AS m FROM x) SELECT doc_id, CAST(length(regexp_replace(text, '[^\\p{{Cc}}]|[\\n\\t\\r]', '', 'g')) AS INTEGER) AS controls, CAST(length(regexp_replace(text, '[^\\p{{S}}]', '', 'g')) AS INTEGER) AS symbols, CAST(len(m) AS INTEGER) AS mixed, coalesce(array_to_string(list_sort(list_distinct(m))[1:8], ' '), '') AS examples FROM m",
     "a14_acceptance": f"WITH {G}, {_NL}, r AS (SELECT CASE WHEN doc_id <= 50 THEN 'mode' WHEN n_lines < 10 THEN 'lines' ELSE '' END AS reason FROM nl) SELECT CASE WHEN reason = '' THEN 'PASS' ELSE 'FAIL' END AS verdict, reason, count(*) AS n FROM r GROUP BY ALL",

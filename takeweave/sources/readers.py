@@ -83,13 +83,41 @@ def subtitles(files: DataFrame) -> DataFrame:
     return g.select("rec_id", "block", _stamp_ms(F.get(ends, 0)).alias("s_ms"), _stamp_ms(F.get(ends, 1)).alias("e_ms"), F.array_join(F.transform("xs", lambda v: v["line"]), "\n").alias("text"))
 
 
+# Header names of marker tables, in order of preference, and the states a marker may have.
+MARKER_NAMES = {"name": ("name", "marker name", "title"), "start": ("start", "start time", "in"), "duration": ("duration",), "end": ("end", "out"), "note": ("description", "comment", "notes"), "state": ("type", "state")}
+MARKER_STATES = ("keep", "delete", "undecided")
+
+
+def _cells(line: Column) -> Column:
+    """Cells of one CSV line; quoted ones may hold commas and doubled quotes."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    return F.transform(cells, lambda c: F.when(c.rlike('^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
 def markers(files: DataFrame) -> DataFrame:
-    """(rec_id, name, s_ms, e_ms, state) of marker CSV text with a header of the standard names (S05); a missing end is start + duration."""
-    x = files.select("rec_id", F.posexplode(F.split("content", "\r?\n")).alias("p", "line")).where("p > 0 and trim(line) <> ''")
-    c = F.from_csv("line", "name string, start double, end double, duration double, comment string, type string")
-    x = x.select("rec_id", "p", c.alias("c"))
-    state = F.when(F.lower("c.type").isin("keep", "cut", "undecided"), F.lower("c.type")).otherwise("keep")
-    return x.select("rec_id", F.col("c.name").alias("name"), _ms(F.col("c.start")).alias("s_ms"), _ms(F.col("c.end"), F.col("c.start") + F.col("c.duration")).alias("e_ms"), state.alias("state"))
+    """(rec_id, row from 1, name, s_ms, e_ms, note, state) of marker CSV text in files(rec_id, content).
+
+    The first line names the columns, in any order and by any name of ``MARKER_NAMES``; others are ignored. A start that is missing or no
+    number is 0; the end is start + duration, else the end column, never before the start; missing names and notes are empty, an unknown
+    state is keep. Lines of blank cells go but count as rows. A null content has no rows.
+    """
+    lines = F.split(F.regexp_replace("content", "^\ufeff", ""), "\r?\n")
+    head = F.transform(_cells(F.get(lines, F.lit(0))), lambda h: F.lower(F.trim(h)))
+    x = files.select("rec_id", head.alias("head"), F.posexplode(lines).alias("row", "line")).where("row > 0").withColumn("cells", _cells(F.col("line")))
+    x = x.where(F.exists("cells", lambda c: F.trim(c) != ""))
+
+    def cell(field: str) -> Column:
+        at = F.coalesce(*[F.when(F.array_contains("head", n), F.array_position("head", n)) for n in MARKER_NAMES[field]])
+        return F.get("cells", (at - 1).cast("int"))
+
+    number = lambda field: F.trim(cell(field)).try_cast("double")
+    start = F.coalesce(number("start"), F.lit(0.0))
+    length = F.coalesce(number("duration"), F.greatest(number("end") - start, F.lit(0.0)), F.lit(0.0))
+    state = F.lower(F.trim(cell("state")))
+    return x.select(
+        "rec_id", "row", F.coalesce(cell("name"), F.lit("")).alias("name"), _ms(start).alias("s_ms"), _ms(start + length).alias("e_ms"), F.coalesce(cell("note"), F.lit("")).alias("note"),
+        F.when(state.isin(*MARKER_STATES), state).otherwise("keep").alias("state"),
+    )
 
 
 def silences(log: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from takeweave import session
+
 
 def stamp(ms: Column, mark: str = ",") -> Column:
     """HH:MM:SS,mmm (P10)."""
@@ -47,3 +49,31 @@ def cut_markers(cuts: DataFrame) -> DataFrame:
     c = cuts.select("rec_id", "s_ms", "e_ms", n.cast("string").alias("n"))
     row = lambda name, a, b: F.struct(F.concat(F.lit(name), "n").alias("name"), stamp(F.col(a), ".").alias("start"), (F.col(b) - F.col(a)).alias("duration_ms"))
     return c.select("rec_id", F.explode(F.array(row("CUT_", "s_ms", "s_ms"), row("END_", "e_ms", "e_ms"), row("CUTSPAN_", "s_ms", "e_ms"))).alias("x")).select("rec_id", "x.*")
+
+
+AUDIT = ("rec_id", "no", "s_ms", "e_ms", "note")
+
+
+def audit_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """Write the rows ``AUDIT`` of each step of a batch to one table split by kind, and read it back (K09); keys of ``tables`` are the kinds."""
+    rows = None
+    for kind, t in tables.items():
+        t = t.select(*AUDIT, F.lit(kind).alias("kind"))
+        rows = t if rows is None else rows.unionByName(t)
+    path = session.new_path(rows.sparkSession, "audit")
+    rows.write.partitionBy("kind").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def append_report(rows: DataFrame, path: str) -> None:
+    """Add a batch's rows to the report at ``path``, which need not exist yet (K10). A batch that fails adds nothing that readers see."""
+    rows.write.mode("append").parquet(path)
+
+
+def text_variants(lines: DataFrame, variants: dict[str, Column], path: str) -> None:
+    """Write each variant of the lines as text files under ``path``/variant=name, one line a row (K11); a null is an empty line.
+
+    Line breaks inside a variant become spaces, so that rows and lines stay one to one.
+    """
+    forms = F.array(*[F.struct(F.lit(name).alias("variant"), F.regexp_replace(F.coalesce(c, F.lit("")), "[\r\n]+", " ").alias("value")) for name, c in variants.items()])
+    lines.select(F.explode(forms).alias("x")).select("x.variant", "x.value").write.partitionBy("variant").option("lineSep", "\n").text(path)

@@ -156,13 +156,17 @@ def whole_windows(lines: DataFrame, stream: DataFrame, percent: int = 80, short_
     w = cells.join(starts.select("rec_id", "start", F.floor(F.col("lo") / CELL).alias("cell")), ["rec_id", "cell"]).join(l.select("rec_id", "no", "size", "slack", "need", "a"), ["rec_id", "no"])
     # Each of these rows stands for many comparisons: they are spread by number, since their bytes alone would put them into few tasks.
     w = w.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec_id", "no", "start")
-    w = w.withColumn("_b", F.floor(F.col("start") / BLOCK_WORDS).cast("int")).join(stream_blocks(s, "rec_id", longest), ["rec_id", "_b"])
-    off = F.col("start") - F.col("_b") * BLOCK_WORDS
-    counts = F.sequence(F.greatest(F.col("size") - F.col("slack"), F.lit(1)), F.col("size") + F.col("slack"))
-    w = w.withColumn("n_words", F.explode(F.filter(counts, lambda n: off + n <= F.size("_ws"))))
-    w = w.select("rec_id", "no", "start", "n_words", "need", "a", F.array_join(F.slice("_ws", off + 1, F.col("n_words")), "").alias("b"))
+    sums = F.transform(F.sequence(F.lit(0), F.size("_ws")), lambda i: F.length(F.array_join(F.slice("_ws", F.lit(1), i), "")))
+    blocks = stream_blocks(s, "rec_id", longest).select("rec_id", "_b", F.size("_ws").alias("have"), F.array_join("_ws", "").alias("_t"), sums.alias("_cs"))
+    w = w.withColumn("_b", F.floor(F.col("start") / BLOCK_WORDS).cast("int")).join(blocks, ["rec_id", "_b"])
+    w = w.withColumn("off", F.col("start") - F.col("_b") * BLOCK_WORDS).withColumn("la", F.length("a")).withColumn("at", F.get("_cs", F.col("off")))
+    counts = F.sequence(F.greatest(F.col("size") - F.col("slack"), F.lit(1)), F.least(F.col("size") + F.col("slack"), F.col("have") - F.col("off")))
+    runs = F.transform(counts, lambda n: F.struct(n.alias("n"), (F.get("_cs", F.col("off") + n) - F.col("at")).alias("lb")))
+    fits = F.filter(runs, lambda x: 100 * F.abs(x["lb"] - F.col("la")) <= (100 - F.col("need")) * F.greatest(x["lb"], F.col("la")))
+    w = w.where(F.greatest(F.col("size") - F.col("slack"), F.lit(1)) <= F.col("have") - F.col("off")).withColumn("x", F.explode(fits))
+    w = w.select("rec_id", "no", "start", F.col("x.n").alias("n_words"), "need", "a", F.substring("_t", F.col("at") + 1, F.col("x.lb")).alias("b"))
     longer = F.greatest(F.length("a"), F.length("b"))
-    w = w.withColumn("most", F.floor((100 - F.col("need")) * longer / 100).cast("int")).where(F.abs(F.length("a") - F.length("b")) <= F.col("most"))
+    w = w.withColumn("most", F.floor((100 - F.col("need")) * longer / 100).cast("int"))
     w = w.withColumn("d", F.expr("levenshtein(a, b, most)")).where("d >= 0")
     w = w.select("rec_id", "no", "start", "n_words", F.floor(100 * (longer - F.col("d")) / longer).cast("int").alias("percent"), F.struct(F.col("start") + F.col("n_words"), (-F.col("d") / longer), F.col("n_words")).alias("rank"))
     g = w.groupBy("rec_id", "no").agg(F.max(F.struct("rank", "start", "n_words", "percent")).alias("x"), (F.count("*") - 1).alias("earlier"))

@@ -75,7 +75,7 @@ def _turns(s, d):
     return table(s, d, "conversations").select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("no"), align.folded_words(F.col("text")).alias("words"))
 
 
-def _plain(c):
+def _bare_words(c):
     """Words of a text with other letters than a to z as x: the SQL's edit distance counts bytes."""
     return F.transform(align.folded_words(c), lambda w: F.regexp_replace(w, "[^a-z0-9]", "x"))
 
@@ -84,8 +84,8 @@ def _whole(s, d):
     """Sentences of the turns looked for in the words of all turns of their conversation: repeated ones have more matches than one."""
     stops = F.regexp_extract_all("text", F.lit("[^.!?\n]+"), F.lit(0))
     c = table(s, d, "conversations")
-    lines = c.select(F.col("conv_id").alias("rec_id"), "turn", F.posexplode(stops).alias("p", "t")).select("rec_id", (F.col("turn") * 100_000 + F.col("p")).alias("no"), _plain(F.col("t")).alias("words"))
-    turns = c.select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("no"), _plain(F.col("text")).alias("words"))
+    lines = c.select(F.col("conv_id").alias("rec_id"), "turn", F.posexplode(stops).alias("p", "t")).select("rec_id", (F.col("turn") * 100_000 + F.col("p")).alias("no"), _bare_words(F.col("t")).alias("words"))
+    turns = c.select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("no"), _bare_words(F.col("text")).alias("words"))
     stream = turns.groupBy("rec_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("no", "words"))), lambda x: x["words"])).alias("words"))
     return align.whole_windows(lines, stream)
 
@@ -142,10 +142,10 @@ _GATED = _CTES.replace(", a AS (", f", gt AS (SELECT * FROM t WHERE score >= {LO
 _PLAIN = f"regexp_replace(translate(lower(text), '{align.ACCENTED}', '{align.PLAIN}'), '[^ -~]', '?', 'g')"
 _KEYED = f"translate({{c}}, '{CLASSES[0]}', '{CLASSES[1]}')"
 
-_PLAIN = f"list_filter(list_transform({_FOLD}, lambda w: regexp_replace(w, '[^a-z0-9]', 'x', 'g')), lambda w: w <> '')"
+_BARE_WORDS = f"list_filter(list_transform({_FOLD}, lambda w: regexp_replace(w, '[^a-z0-9]', 'x', 'g')), lambda w: w <> '')"
 _WHOLE = (
-    f"tn AS (SELECT conv_id AS rec_id, turn AS no, {_PLAIN} AS ws FROM conversations), sn AS (SELECT conv_id, turn * 100000 + generate_subscripts(ts, 1) - 1 AS no, unnest(ts) AS text FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^.!?\\n]+') AS ts FROM conversations)), "
-    f"l AS (SELECT rec_id, no, len(ws) AS n, array_to_string(ws, '') AS x, CASE WHEN len(ws) <= 6 THEN 2 ELSE greatest(1, CAST(round(len(ws) * 0.2) AS INTEGER)) END AS slack, CASE WHEN len(ws) <= 6 THEN 75 ELSE 80 END AS need FROM (SELECT conv_id AS rec_id, no, {_PLAIN} AS ws FROM sn) WHERE len(ws) > 0), "
+    f"tn AS (SELECT conv_id AS rec_id, turn AS no, {_BARE_WORDS} AS ws FROM conversations), sn AS (SELECT conv_id, turn * 100000 + generate_subscripts(ts, 1) - 1 AS no, unnest(ts) AS text FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^.!?\\n]+') AS ts FROM conversations)), "
+    f"l AS (SELECT rec_id, no, len(ws) AS n, array_to_string(ws, '') AS x, CASE WHEN len(ws) <= 6 THEN 2 ELSE greatest(1, CAST(round(len(ws) * 0.2) AS INTEGER)) END AS slack, CASE WHEN len(ws) <= 6 THEN 75 ELSE 80 END AS need FROM (SELECT conv_id AS rec_id, no, {_BARE_WORDS} AS ws FROM sn) WHERE len(ws) > 0), "
     "sw AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY no, i) - 1 AS idx, w FROM (SELECT rec_id, no, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM tn)), st AS (SELECT rec_id, list(w ORDER BY idx) AS ws FROM sw GROUP BY rec_id), "
     "nn AS (SELECT DISTINCT rec_id, n, slack FROM l), win AS (SELECT rec_id, n, idx AS start, unnest(range(greatest(n - slack, 1), n + slack + 1)) AS k FROM nn JOIN sw USING (rec_id)), "
     "ty AS (SELECT rec_id, n, start, k, array_to_string(ws[start + 1:start + k], '') AS y FROM win JOIN st USING (rec_id) WHERE start + k <= len(ws)), "
@@ -153,7 +153,7 @@ _WHOLE = (
     "ok AS (SELECT *, CASE WHEN 100 * abs(length(x) - length(y)) <= (100 - need) * m THEN levenshtein(x, y) END AS e FROM tx) "
     "SELECT rec_id, no, CAST(start AS INTEGER) AS start, CAST(k AS INTEGER) AS n_words, CAST(100 * (m - e) // m AS INTEGER) AS percent, count(*) OVER (PARTITION BY rec_id, no) - 1 AS earlier FROM ok WHERE 100 * (m - e) >= need * m QUALIFY row_number() OVER (PARTITION BY rec_id, no ORDER BY start + k DESC, e / m, k DESC) = 1"
 )
-#: SQL of m12_whole_windows: every window against every line, too slow for whole tables; the tests hold the query against it on the smallest ones.
+#: SQL of m12_whole_windows: every window against every line, too slow to register; the tests hold the query against plain Python on a fixture.
 WHOLE_SQL = f"WITH {_WHOLE}"
 ORACLES = {
     "d04_best_path": f"WITH RECURSIVE {_CTES}, ord AS (SELECT rec_id, t0, t1, CAST(coalesce(score, 0) + least(0.2, 0.01 * greatest(floor((t1 - t0) / 1000), 0)) + 0.05 * greatest(rank, 1) + CASE WHEN is_last THEN 0 ELSE -0.1 END AS DOUBLE) AS w, row_number() OVER (PARTITION BY rec_id ORDER BY t0, t1, cand_id) AS rn FROM r), "

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from takeweave.llm import chat, decontaminate, histogram, htmltext, neardup, pack, pii, quality, tokenfile, warc
+from takeweave.llm import chat, covertree, decontaminate, histogram, htmltext, neardup, pack, periodic, pii, prefixtrie, quality, tokenfile, warc
 from takeweave.session import new_path
 
 
@@ -58,6 +58,18 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_html_text": op2_html_text,
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pack": op10_pack,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_near_vectors": op13_near_vectors,
 }
 
-ORACLES: dict[str, str] = {"op1_quality": quality.ORACLE, "op3_chat_rotation": chat.ORACLE, "op4_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op1_quality": quality.ORACLE, "op3_chat_rotation": chat.ORACLE, "op4_warc": warc.ORACLE, "op12_prefix_trie": prefixtrie.ORACLE, "op13_near_vectors": covertree.ORACLE}

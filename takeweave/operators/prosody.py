@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeweave.functions import text as tx
+from takeweave.operators import scopes
 
 # Marks behind which a line may break, words that begin a clause, and marks that enclose text.
 SOFT = "，,、：:—"
 CONNECTIVES = ("但是", "不过", "然而", "然后", "而且", "以及", "所以", "因此", "如果", "因为", "还是", "还有", "就是")
-QUOTE_OPENS, QUOTE_CLOSES = "“‘「『【《", "”’」』】》"
+QUOTE_OPENS, QUOTE_CLOSES = '“‘「『【《"', '”’」』】》"'
 BRACKET_OPENS, BRACKET_CLOSES = "([{【「〈（［“", ")]}】」〉）］”"
-STRAIGHT = '"'
 # Weights of a break and of the length of a line.
 WEIGHTS = {"hard": 1.2, "soft": -0.6, "pause": 0.8, "cue": 0.5, "quote": -1.0, "bracket": -0.7, "short": -1.2, "long": -0.9}
 LENGTHS = {"least": 6, "most": 26, "join": 18, "split": 14}
@@ -70,10 +70,12 @@ def break_candidates(words: DataFrame, hard: str = tx.STOPS, soft: str = SOFT, c
 
     words(rec_id, idx, text, start_ms, end_ms). A place behind a hard or soft mark, a cue, or a word that a pause of ``pause_ms`` or more
     follows is one candidate with all its reasons, joined by + in alphabetical order; the ends of the text are none. quotes and brackets
-    tell how deep the place lies inside them: a closing mark without an opening one counts for nothing, the straight double quote opens
-    and closes in turn, the apostrophe is a letter. Words that are null or blank are left out. All windows share one exchange on rec_id.
+    tell how deep the place lies inside them, by one stack each: an opening mark waits for its own closing mark, any other closing mark counts
+    for nothing, the straight double quote opens and closes in turn, the apostrophe is a letter. Words that are null or blank are left
+    out. The windows share one exchange on rec_id; the stacks read the marks alone.
     """
-    marks = hard + soft + QUOTE_OPENS + QUOTE_CLOSES + BRACKET_OPENS + BRACKET_CLOSES + STRAIGHT
+    enclosing = "".join(dict.fromkeys(QUOTE_OPENS + QUOTE_CLOSES + BRACKET_OPENS + BRACKET_CLOSES))
+    marks = hard + soft + enclosing
     by_word = Window.partitionBy("rec_id").orderBy("idx")
     w = words.where("trim(text) <> ''").select(
         "rec_id", "idx", (F.row_number().over(by_word) - 1).alias("_w"), F.greatest(F.lead("start_ms").over(by_word) - F.col("end_ms"), F.lit(0)).alias("_gap"), F.filter(F.split("text", _behind(marks, cues)), lambda x: x != "").alias("_ps")
@@ -82,20 +84,16 @@ def break_candidates(words: DataFrame, hard: str = tx.STOPS, soft: str = SOFT, c
     order = Window.partitionBy("rec_id").orderBy("_w", "_p").rowsBetween(Window.unboundedPreceding, 0)
     ch = F.right("_x", F.lit(1))
     has = lambda chars: F.contains(F.lit(chars), ch)
-    turn = lambda opens, closes: F.when(has(opens), 1).when(has(closes), -1).otherwise(0)
-    p = p.select(
-        "*",
-        (F.sum(F.length("_x")).over(order) + F.col("_w")).alias("pos"),
-        F.sum(turn(QUOTE_OPENS, QUOTE_CLOSES)).over(order).alias("_q"),
-        F.sum(turn(BRACKET_OPENS, BRACKET_CLOSES)).over(order).alias("_b"),
-        (F.count_if(ch == STRAIGHT).over(order) % 2).alias("_s"),
-    )
-    depth = lambda c: F.col(c) - F.least(F.min(c).over(order), F.lit(0))
+    p = p.select("*", (F.sum(F.length("_x")).over(order) + F.col("_w")).alias("pos"))
+    kinds = {"_q": dict(zip(QUOTE_OPENS, QUOTE_CLOSES, strict=True)), "_b": dict(zip(BRACKET_OPENS, BRACKET_CLOSES, strict=True))}
+    at = scopes.depths(p.select("rec_id", "pos", ch.alias("ch")).where(F.contains(F.lit(enclosing), F.col("ch"))), "rec_id", kinds)
+    p = p.join(at, ["rec_id", "pos"], "left")
+    depth = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(order), F.lit(0))
     pause = F.coalesce((F.col("_p") == F.col("_n") - 1) & (F.col("_gap") >= pause_ms), F.lit(False))
     cue = F.col("_x").rlike("(" + "|".join(f"\\Q{c}\\E" for c in cues) + ")$") if cues else F.lit(False)
     p = p.select(
         "rec_id", "pos", F.max("pos").over(Window.partitionBy("rec_id")).alias("_end"), has(hard).alias("hard"), (has(soft) & ~has(hard)).alias("soft"), cue.alias("cue"), pause.alias("pause"),
-        F.when(pause, F.col("_gap")).otherwise(0).cast("long").alias("pause_ms"), (depth("_q") + F.col("_s")).alias("quotes"), depth("_b").alias("brackets"),
+        F.when(pause, F.col("_gap")).otherwise(0).cast("long").alias("pause_ms"), depth("_q").alias("quotes"), depth("_b").alias("brackets"),
     )
     p = p.where("pos < _end and (hard or soft or cue or pause)")
     reasons = F.array_join(F.array_compact(F.array(*[F.when(F.col(r), r) for r in ("cue", "hard", "pause", "soft")])), "+")

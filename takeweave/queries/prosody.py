@@ -47,13 +47,18 @@ _CLAUSES = (
     "SELECT doc_id, sent_no, row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY hi) AS clause_no, text FROM c3 WHERE text <> ''"
 )
 
-_Q = f"CASE WHEN c IN {_listed(prosody.QUOTE_OPENS)} THEN 1 WHEN c IN {_listed(prosody.QUOTE_CLOSES)} THEN -1 ELSE 0 END"
-_B = f"CASE WHEN c IN {_listed(prosody.BRACKET_OPENS)} THEN 1 WHEN c IN {_listed(prosody.BRACKET_CLOSES)} THEN -1 ELSE 0 END"
+_MARKS = dict.fromkeys(prosody.QUOTE_OPENS + prosody.QUOTE_CLOSES + prosody.BRACKET_OPENS + prosody.BRACKET_CLOSES)
+_pushed = lambda opens, closes: "CASE c " + " ".join(f"WHEN '{o}' THEN '{k}'" for o, k in zip(opens, closes, strict=True)) + " ELSE '' END"
+_next = lambda stack, opens, closes: f"CASE WHEN {stack} <> '' AND right({stack}, 1) = c THEN left({stack}, length({stack}) - 1) ELSE {stack} || {_pushed(opens, closes)} END"
 _CAND = (
     f"{W}, h0 AS (SELECT rec_id, idx, string_split(text, '') AS cs, coalesce(greatest(lead(start_ms) OVER (PARTITION BY rec_id ORDER BY idx) - end_ms, 0), 0) AS gap FROM w WHERE trim(text) <> ''), "
     f"h1 AS (SELECT rec_id, idx, i, cs[i] AS c, {_ends_in(CUES, 'i')} AS cue, CASE WHEN i = len(cs) THEN gap ELSE 0 END AS gap FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM h0)), "
-    f"h2 AS (SELECT *, count(*) OVER o + dense_rank() OVER (PARTITION BY rec_id ORDER BY idx) - 1 AS pos, sum({_Q}) OVER o AS q, sum({_B}) OVER o AS b, sum((c = '\"')::INT) OVER o % 2 AS s FROM h1 WINDOW o AS (PARTITION BY rec_id ORDER BY idx, i ROWS UNBOUNDED PRECEDING)), "
-    "h3 AS (SELECT *, q - least(min(q) OVER o, 0) + s AS quotes, b - least(min(b) OVER o, 0) AS brackets, max(pos) OVER (PARTITION BY rec_id) AS n FROM h2 WINDOW o AS (PARTITION BY rec_id ORDER BY idx, i ROWS UNBOUNDED PRECEDING)), "
+    "h2 AS (SELECT *, count(*) OVER o + dense_rank() OVER (PARTITION BY rec_id ORDER BY idx) - 1 AS pos FROM h1 WINDOW o AS (PARTITION BY rec_id ORDER BY idx, i ROWS UNBOUNDED PRECEDING)), "
+    f"k0 AS (SELECT rec_id, pos, c, row_number() OVER (PARTITION BY rec_id ORDER BY pos) AS m FROM h2 WHERE c IN {_listed(_MARKS)}), "
+    "k1 AS (SELECT DISTINCT rec_id, 0::BIGINT AS m, 0::BIGINT AS pos, '' AS q, '' AS b FROM k0 UNION ALL SELECT k0.rec_id, k0.m, k0.pos, "
+    f"{_next('q', prosody.QUOTE_OPENS, prosody.QUOTE_CLOSES)}, {_next('b', prosody.BRACKET_OPENS, prosody.BRACKET_CLOSES)} FROM k1 JOIN k0 ON k0.rec_id = k1.rec_id AND k0.m = k1.m + 1), "
+    "h3 AS (SELECT h2.*, coalesce(last_value(length(k1.q) IGNORE NULLS) OVER o, 0) AS quotes, coalesce(last_value(length(k1.b) IGNORE NULLS) OVER o, 0) AS brackets, max(h2.pos) OVER (PARTITION BY h2.rec_id) AS n FROM h2 LEFT JOIN k1 ON k1.rec_id = h2.rec_id AND k1.pos = h2.pos AND k1.m > 0 "
+    "WINDOW o AS (PARTITION BY h2.rec_id ORDER BY h2.pos ROWS UNBOUNDED PRECEDING)), "
     f"h4 AS (SELECT *, c IN {_listed(_STOP)} AS hard, c IN {_listed(prosody.SOFT)} AS soft, gap >= 160 AS pause FROM h3), "
     "ca AS (SELECT rec_id, CAST(pos AS BIGINT) AS pos, concat_ws('+', CASE WHEN cue THEN 'cue' END, CASE WHEN hard THEN 'hard' END, CASE WHEN pause THEN 'pause' END, CASE WHEN soft THEN 'soft' END) AS reasons, CAST(CASE WHEN pause THEN gap ELSE 0 END AS BIGINT) AS pause_ms, CAST(quotes AS BIGINT) AS quotes, CAST(brackets AS BIGINT) AS brackets, "
     "round((CASE WHEN hard THEN 1.2 ELSE -0.6 END + CASE WHEN pause THEN 0.8 * (0.5 + 0.5 * least(gap / 160, 3)) ELSE 0 END + CASE WHEN cue THEN 0.5 ELSE 0 END - CASE WHEN quotes > 0 THEN 1.0 ELSE 0 END - CASE WHEN brackets > 0 THEN 0.7 ELSE 0 END)::DOUBLE, 6) AS score "
@@ -75,6 +80,6 @@ _BEST = (
 
 ORACLES = {
     "g08_clauses": f"WITH RECURSIVE {_CLAUSES}",
-    "g10_break_candidates": f"WITH {_CAND} SELECT * FROM ca",
+    "g10_break_candidates": f"WITH RECURSIVE {_CAND} SELECT * FROM ca",
     "g11_best_breaks": f"WITH RECURSIVE {_BEST}",
 }

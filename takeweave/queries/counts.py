@@ -96,7 +96,7 @@ _ALIAS, _LAST = _alias_steps("a4")
 _NEW, _COUNT = _styled("en")
 _LINES = "string_split(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
 _FULL = (
-    f"{_X}, a0 AS (SELECT doc_id, text AS t, length(text) AS len_before FROM x), a1 AS (SELECT doc_id, len_before, regexp_replace(t, '^\\x{feff}+', '') AS t, CASE WHEN starts_with(t, chr(65279)) THEN 1 ELSE 0 END AS bom_removed FROM a0), "
+    f"{_X}, a0 AS (SELECT doc_id, text AS t, length(text) AS len_before FROM x), a1 AS (SELECT doc_id, len_before, regexp_replace(t, '^\\x{{feff}}+', '') AS t, CASE WHEN starts_with(t, chr(65279)) THEN 1 ELSE 0 END AS bom_removed FROM a0), "
     f"a2 AS (SELECT * REPLACE (regexp_replace(t, '{_ZW}', '', 'g') AS t), length(t) - length(regexp_replace(t, '{_ZW}', '', 'g')) AS removed_zw FROM a1), a3 AS (SELECT * REPLACE (translate(t, '*#', '') AS t), length(t) - length(translate(t, '*#', '')) AS deleted FROM a2), "
     f"a4 AS (SELECT * REPLACE ({_MAPPED.format(t='t')} AS t), length(t) - length(translate(t, '|&$—', '')) AS mapped, 0::BIGINT AS alias_hits FROM a3), {_ALIAS}, "
     f"a5 AS (SELECT * REPLACE ({_NEW} AS t), {_COUNT} AS punct_changes FROM {_LAST}), a6 AS (SELECT * REPLACE ({_SINGLES.format(t='t')} AS t), length(t) - length({_SINGLES.format(t='t')}) AS repeats_removed FROM a5), "

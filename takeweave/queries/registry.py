@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("intervals", "text", "files", "records", "matching", "reports", "layout", "composed", "prosody", "rules", "script", "counts")
+MODULES = ("intervals", "text", "files", "records", "matching", "reports", "layout", "composed", "prosody", "rules", "script", "counts", "health")
 
 
 def _all(name: str) -> dict:

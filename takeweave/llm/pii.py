@@ -22,6 +22,7 @@ their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ def _valid(kind: str, m: Column) -> Column:
         return mod97(F.regexp_replace(m, " ", "")) == 1
     if kind == "secret":  # a value with letters and digits, or one of eight or more characters that is assigned to a secret's name
         value = secret_value(m)
-        return F.length(value).between(8, 4096) & ((value.rlike("[0-9]") & value.rlike("[A-Za-z]")) | (value != m))
+        return (F.length(value) >= 8) & ((value.rlike("[0-9]") & value.rlike("[A-Za-z]")) | (value != m))
     return F.lit(True)
 
 
@@ -111,18 +112,42 @@ def _rule(kind: str):
     return lambda x: _valid(kind, x["m"])
 
 
+_SPAN = "struct<s:int,k:int,e:int,base:boolean,m:string>"
+#: Spans that one fold takes, and code points of the pieces that contexts are read from: a long text costs little more than its length.
+FOLD = 128
+WINDOW = 4096
+
+
+def _let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` computed once: what stands in a lambda would be computed again for each element."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def _blocks(a: Column) -> Column:
+    """The elements of an array in arrays of at most ``FOLD``; none for an empty one."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / FOLD).cast("int") - 1), lambda b: F.slice(a, b * FOLD + 1, F.lit(FOLD)))
+
+
+def _before(sums: Column) -> Column:
+    """For each number the sum of those before it."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sums, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+
 def _places(matches: Column, pieces: Column, k: int, base: bool) -> Column:
-    """Spans from the matches of a pattern and the pieces between them."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int,base:boolean,m:string>>").alias("out"))
-
-    def step(acc, i):
-        m = F.get(matches, i)
-        begin = acc["at"] + F.length(F.get(pieces, i))
-        end = begin + F.length(m)
-        span = F.struct(begin.alias("s"), F.lit(k).alias("k"), end.alias("e"), F.lit(base).alias("base"), m.alias("m"))
+    """Spans from the matches of a pattern and the pieces between them, of which there is one at least."""
+
+    def step(acc, x):
+        begin = acc["at"] + x["gap"]
+        end = begin + F.length(x["m"])
+        span = F.struct(begin.alias("s"), F.lit(k).alias("k"), end.alias("e"), F.lit(base).alias("base"), x["m"].alias("m"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step)["out"]
+    fold = lambda xs, at: F.aggregate(xs, F.struct(at.alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")), step)["out"]
+    length = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["m"]))
+    zipped = F.zip_with(matches, F.transform(pieces, lambda p: F.length(p)), lambda m, gap: F.struct(gap.alias("gap"), m.alias("m")))
+    placed = lambda bs: _let(_before(F.transform(bs, length)), lambda at: F.flatten(F.zip_with(bs, at, fold)))
+    return _let(zipped, lambda xs: _let(_blocks(F.filter(xs, lambda x: x["m"].isNotNull())), placed))
 
 
 def candidates(df: DataFrame) -> DataFrame:
@@ -159,8 +184,12 @@ def candidates(df: DataFrame) -> DataFrame:
     both = lambda base: F.concat(*[F.coalesce(F.col(f"_{k}{int(base)}"), none) for k in (BASE_KINDS if base else KINDS)])
     df = df.select(*rest, F.sort_array(both(True)).alias("_base"), both(False).alias("_more"))
     inside = lambda x, y: (x["k"] >= len(BASE_KINDS)) & (y["s"] >= x["s"]) & (y["e"] <= x["e"]) & (y["e"] - y["s"] < x["e"] - x["s"])
-    clear = lambda x: ~F.exists("_base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]) & ~inside(x, y))
-    return df.withColumn("_more", F.when(F.size("_more") > 0, F.sort_array(F.filter("_more", clear))).otherwise(F.col("_more")))
+    hit = lambda x, y: (y["s"] < x["e"]) & (x["s"] < y["e"])
+    # Base spans in blocks with their reach: an added span is compared with those of the blocks it meets.
+    reach = lambda ys: F.struct(F.get(ys, F.lit(0))["s"].alias("s"), F.array_max(F.transform(ys, lambda y: y["e"])).alias("e"), ys.alias("ys"))
+    clear = lambda bs: lambda x: ~F.exists(bs, lambda b: hit(x, b) & F.exists(b["ys"], lambda y: hit(x, y) & ~inside(x, y)))
+    kept = _let(F.transform(_blocks(F.col("_base")), reach), lambda bs: F.filter("_more", clear(bs)))
+    return df.withColumn("_more", F.when((F.size("_more") > 0) & (F.size("_base") > 0), F.sort_array(kept)).otherwise(F.sort_array("_more")))
 
 
 def _by_kind(values: dict[str, Column]) -> Column:
@@ -283,7 +312,7 @@ def located(docs: DataFrame, columns: list[str], keep_text: bool) -> DataFrame:
     """``_row`` (the named columns), ``_base`` and ``_all`` span arrays (s, k, e), and ``_text`` when asked for."""
     base = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"))
     found = candidates(base)
-    around = lambda a: F.transform(
+    around = lambda a, cs: F.transform(
         a,
         lambda x: F.struct(
             x["s"].alias("s"),
@@ -291,13 +320,22 @@ def located(docs: DataFrame, columns: list[str], keep_text: bool) -> DataFrame:
             x["e"].alias("e"),
             x["base"].alias("base"),
             x["m"].alias("m"),
-            F.substring(F.col("_text"), F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT))).alias("left"),
-            F.substring(F.col("_text"), x["e"] + 1, F.lit(CONTEXT)).alias("right"),
+            near(cs, x["s"] - CONTEXT, x["s"]).alias("left"),
+            near(cs, x["e"], x["e"] + CONTEXT).alias("right"),
         ),
     )
+    # Places of a string are counted from its start, so contexts are read from overlapping pieces of the text.
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length("_text") / WINDOW).cast("int")), lambda b: F.substring(F.col("_text"), b * WINDOW + 1, F.lit(WINDOW + CONTEXT)))
+
+    def near(pieces: Column, begin: Column, end: Column) -> Column:
+        begin = F.greatest(begin, F.lit(0))
+        b = F.floor(begin / WINDOW).cast("int")
+        return F.substring(F.get(pieces, b), begin - b * WINDOW + 1, end - begin)
+
     found = found.withColumn("_spans", F.concat("_base", "_more"))
+    near_spans = F.when(F.size("_spans") > 0, _let(cut, lambda cs: around(F.col("_spans"), cs))).otherwise(around(F.col("_spans"), F.array(F.lit(""))))
     staged = written(
-        found.select("_row", *(["_text"] if keep_text else []), F.monotonically_increasing_id().alias("_r"), around(F.col("_spans")).alias("_spans")),
+        found.select("_row", *(["_text"] if keep_text else []), F.monotonically_increasing_id().alias("_r"), near_spans.alias("_spans")),
         "spans",
     )
     short = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
@@ -335,12 +373,27 @@ def redacted(docs: DataFrame) -> DataFrame:
     t = located(docs, docs.columns, True)
     tag = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def step(acc, x):
-        piece = F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, x["s"] - acc["at"]), F.get(tag, x["k"]))
-        free = x["s"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(free, piece).otherwise(acc["out"]).alias("out"))
+    def joined(xs: Column, at: Column) -> Column:
+        """The text from ``at`` to the end of a block of spans, read from the whole text once."""
+
+        def step(region: Column):
+            def one(acc, x):
+                piece = F.concat(F.substring(region, acc["at"] - at + 1, x["s"] - acc["at"]), F.get(tag, x["k"]))
+                free = x["s"] >= acc["at"]
+                return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(free, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+
+            return one
+
+        zero = F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
+        region = F.substring(F.col("_text"), at + 1, F.array_max(F.transform(xs, lambda x: x["e"])) - at)
+        return _let(region, lambda r: F.array_join(F.aggregate(xs, zero, step(r))["out"], ""))
 
-    done = F.aggregate("_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
+    # A block of spans begins at the greatest end before it.
+    ends = lambda bs: F.transform(bs, lambda xs: F.array_max(F.transform(xs, lambda x: x["e"])))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = lambda bs: F.aggregate(ends(bs), zero, lambda acc, e: F.struct(F.greatest(acc["at"], e).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+    text = lambda bs: _let(starts(bs), lambda st: F.concat(F.array_join(F.zip_with(bs, st["out"], joined), ""), F.substring(F.col("_text"), st["at"] + 1, F.length("_text"))))
+    done = _let(_blocks(F.col("_all")), text)
     t = t.withColumn("_new", F.when(F.size("_all") > 0, done))
     new = {"text": F.coalesce(F.col("_new"), F.col("_row.text"))}
     if "n_chars" in docs.columns:

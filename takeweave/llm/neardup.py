@@ -3,15 +3,18 @@
 1. One pass over the texts gives each document's shingle-set size, a 128-bit digest of the set and a MinHash
    signature of ``COORDINATES`` values. Documents with the same set form a class, named by its least doc_id.
 2. Each class is posted under its (coordinate, value) pairs. Two sets at the similarity sought agree in at
-   least ``MATCHES`` coordinates but for a chance of about 1e-5 a pair, so values that occur once and classes with fewer
+   least ``MATCHES`` coordinates but for a chance of about 2e-10 a pair, so values that occur once and classes with fewer
    than ``MATCHES`` shared values are skipped, and a class is posted only under the rarest
    ``n - MATCHES + 1`` of its n shared values (prefix): any pair with enough collisions meets there. Values
    that very many documents share (a common passage) thus stay out of the lists unless a document has little else.
 3. In each list, every class is first paired with the list's most central class alone. Pairs are kept when their sizes allow the similarity and their signatures collide
    often enough, and are confirmed on the full sets. Classes already joined need no further pairs; those that
    still meet classes of other components are posted once more, now under the rarest of their shingles as an exact
-   prefix filter, and what meets there across components is compared, so that no link between components is lost.
+   prefix filter, and what meets there across components is compared on the full sets whatever the signatures say.
 4. Links are joined to components; each document is labelled with the least doc_id of its component.
+
+Very long texts are read whole. Columns beside doc_id and text are not read; :func:`deduplicated` keeps them as they are, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from takeweave.llm.components import components
 from takeweave.llm.shinglesets import COORDINATES, SHINGLE, ShingleSets
 from takeweave.session import discard, written
 
-#: Of 48 coordinates two sets of similarity 0.75 agree in 36 on average with deviation 3; fewer than 23 agree in one of about 80,000 such pairs.
-MATCHES = 23
+#: Of 48 coordinates two sets of similarity 0.75 agree in 36 on average with deviation 3; fewer than 16 agree in one of about 4,000,000,000 such pairs.
+MATCHES = 16
 PERCENT = 75
 #: Rounds that pair the members of long lists with few others each, before what is left is compared in full.
 NEIGHBOUR_ROUNDS = 1
@@ -123,17 +126,25 @@ class _Join:
         return (100 + self.percent) * F.least(left1, left2) >= self.percent * (n1 + n2)
 
     def rest(self, lists: DataFrame) -> DataFrame:
-        """Pairs of classes that meet in a list, lie in different components and can still be similar."""
-        other = lists.select("token", F.col("node").alias("n2"), F.col("component").alias("c2"), F.col("n").alias("s2"), F.col("left").alias("l2"))
+        """Pairs of classes that meet in a list, lie in different components and can still be similar.
+
+        Long lists are dealt into buckets of about ``BUCKET`` members, each of which is joined with the whole list on a key of its own.
+        """
+        size = F.ceil(F.col("members") / BUCKET)
+        other = lists.select("token", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("bucket"), F.col("node").alias("n2"), F.col("component").alias("c2"), F.col("n").alias("s2"), F.col("left").alias("l2"))
         able = self.reachable(F.col("n"), F.col("left"), F.col("s2"), F.col("l2"))
-        return lists.join(other, "token").where((F.col("component") < F.col("c2")) & able).select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct()
+        return lists.withColumn("bucket", F.pmod(F.xxhash64("node"), size)).join(other, ["token", "bucket"]).where((F.col("component") < F.col("c2")) & able).select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct()
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that the sizes, the signatures and at last the full sets confirm."""
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs that met under signature values: those that sizes and the number of collisions allow."""
         sig = self.signatures
         left = pairs.join(sig.toDF("a", "na", "sa"), "a").join(sig.toDF("b", "nb", "sb"), "b")
         sized = (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")) & (collisions(F.col("sa"), F.col("sb")) >= self.matches)
-        kept = written(left.where(sized).select("a", "b"), "pairs")
+        return left.where(sized).select("a", "b")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that the full sets confirm."""
+        kept = written(pairs, "pairs")
         full = kept.join(self.sets.toDF("a", "xa"), "a").join(self.sets.toDF("b", "xb"), "b")
         both = F.size(F.array_intersect("xa", "xb"))
         return full.where(100 * both >= self.percent * (F.size("xa") + F.size("xb") - both)).select("a", "b")
@@ -168,7 +179,7 @@ def near_duplicates(docs: DataFrame, matches: int = MATCHES, percent: int = PERC
     join = _Join(plain.where("doc_id is not null"), classes, matches, percent, k)
     links = written(_same_document(full, classes), "own")
     lists = written(_spanning(join.postings.withColumn("component", F.col("node"))), "lists")
-    links = links.union(written(join.links(join.pivots(lists)), "found"))
+    links = links.union(written(join.links(join.alike(join.pivots(lists))), "found"))
     discard(lists)
     labels = written(components(links), "labels")
     named = lambda postings: postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -189,12 +200,14 @@ def near_duplicates(docs: DataFrame, matches: int = MATCHES, percent: int = PERC
 
 
 def deduplicated(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component, and one row of each doc_id; all columns as they were.
+    """The rows of ``docs`` that stay: one of each group of rows whose texts are linked, that of the least doc_id; all columns as they were.
 
-    Rows with a null doc_id stay.
+    A row goes by its own text: rows that share a doc_id but not a text are told apart, and of equal texts under one doc_id one row
+    stays. Rows without words and rows with a null doc_id stay.
     """
-    keep = near_duplicates(docs, **params).where("kept and doc_id is not null").select(F.col("doc_id").alias("_keep")).distinct()
-    row = docs.select(docs["doc_id"].cast("long").alias("_keep"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    first = Window.partitionBy("_keep").orderBy(F.xxhash64("_row"))
-    with_id = row.where("_keep is not null").join(keep, "_keep", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return with_id.select("_row.*").unionByName(row.where("_keep is null").select("_row.*"))
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_n"), docs["doc_id"].cast("long").alias("_id"), F.struct(*[docs[c] for c in docs.columns]).alias("_row")), "rows")
+    named = rows.where("_id is not null")
+    labels = near_duplicates(named.select(F.col("_n").alias("doc_id"), F.col("_row").getField("text").alias("text")), **params).where("n_shingles > 0").select(F.col("doc_id").alias("_n"), "component_id")
+    first = labels.join(named.select("_n", "_id"), "_n").groupBy("component_id").agg(F.min(F.struct("_id", "_n")).alias("x")).select(F.col("x._n").alias("_n"))
+    gone = written(labels.select("_n").join(first, "_n", "left_anti"), "gone")
+    return rows.join(gone, "_n", "left_anti").select("_row.*")

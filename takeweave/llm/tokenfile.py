@@ -6,8 +6,10 @@ is written under a temporary name and renamed when whole. The list of shards wit
 committed as a manifest table. ``read_tokens`` reads the manifest, gives each shard its first id's place in
 the corpus by prefix sums, and decodes the shards in parallel.
 
-Null text is an empty text. Null ``doc_id`` values sort first and are stored as the least int64. Rows
-with equal ``doc_id`` keep one order (by text). An empty table gives a manifest without shards.
+Null text is an empty text. Null ``doc_id`` values sort first; the manifest counts them for each shard, so every int64 is an
+id of its own. Rows with equal or null ``doc_id`` keep one order (by a hash of the text, then the text) and are ranged by that hash
+too, so that an id of very many rows is many tasks' work. Very long texts are encoded whole, piece by piece. Columns beside
+doc_id and text are not read. An empty table gives a manifest without shards.
 """
 
 from __future__ import annotations
@@ -24,9 +26,8 @@ from pyspark.sql import functions as F
 from takeweave.llm.simple8b import BLOCK, ShardWriter, read_shard
 from takeweave.llm.tokens import END_ID, TOKENIZER, chunks, encoder
 
-NULL_DOC = -(1 << 63)
 SHARD_IDS = 1 << 24
-MANIFEST = "part long, number long, file string, docs long, ids long, bytes long"
+MANIFEST = "part long, number long, file string, docs long, ids long, bytes long, nulls long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -43,16 +44,17 @@ class _Roller:
     def __init__(self, path: str, part: int, shard_ids: int, block: int):
         self.store, self.top = open_store(path)
         self.part, self.shard_ids, self.block, self.number = part, shard_ids, block, 0
-        self.writer, self.rows = ShardWriter(block), []
+        self.writer, self.rows, self.nulls = ShardWriter(block), [], 0
 
-    def add(self, docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, docs: np.ndarray, null: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         at = 0
         while len(docs):
             fill = np.cumsum(sizes)
             k = min(len(docs), int(np.searchsorted(fill, self.shard_ids - self.writer.held)) + 1)
             n = int(fill[k - 1])
             self.writer.add(docs[:k], sizes[:k], ids[at : at + n])
-            docs, sizes, at = docs[k:], sizes[k:], at + n
+            self.nulls += int(null[:k].sum())
+            docs, null, sizes, at = docs[k:], null[k:], sizes[k:], at + n
             if self.writer.held >= self.shard_ids:
                 self.close()
 
@@ -64,8 +66,8 @@ class _Roller:
                 self.writer.write(out)
             size = self.store.get_file_info(temp).size
             self.store.move(temp, f"{self.top}/{name}")  # a second attempt of the task writes the same bytes
-            self.rows.append((self.part, self.number, name, self.writer.documents, self.writer.ids, size))
-            self.number, self.writer = self.number + 1, ShardWriter(self.block)
+            self.rows.append((self.part, self.number, name, self.writer.documents, self.writer.ids, size, self.nulls))
+            self.number, self.writer, self.nulls = self.number + 1, ShardWriter(self.block), 0
 
 
 def _write_task(path: str, tokenizer: str, end_id: int, block: int, shard_ids: int):
@@ -74,14 +76,15 @@ def _write_task(path: str, tokenizer: str, end_id: int, block: int, shard_ids: i
 
         words, roller = encoder(tokenizer), _Roller(path, TaskContext.get().partitionId(), shard_ids, block)
         for batch in batches:
-            docs = batch.column(0).fill_null(NULL_DOC).to_numpy(zero_copy_only=False)
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            docs = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             for a, b, texts in chunks(batch.column(1)):
                 ids, sizes = words.encode(texts, end_id)
-                roller.add(docs[a:b], sizes, ids)
+                roller.add(docs[a:b], null[a:b], sizes, ids)
         roller.close()
         if roller.rows:
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*roller.rows, strict=True), kinds, strict=True)], names=["part", "number", "file", "docs", "ids", "bytes"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*roller.rows, strict=True), kinds, strict=True)], names=["part", "number", "file", "docs", "ids", "bytes", "nulls"])
 
     return run
 
@@ -93,14 +96,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     store.create_dir(top, recursive=True)
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = plain.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()
+    ordered = plain.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(_write_task(path, tokenizer, end_id, block, shard_ids), MANIFEST).write.parquet(f"{path}/_manifest")
 
 
 def _read_task(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, first in zip(batch.column("file").to_pylist(), batch.column("first").to_pylist(), strict=True):
+            for name, nulls, first in zip(*(batch.column(c).to_pylist() for c in ("file", "nulls", "first")), strict=True):
                 store, top = open_store(path)
                 with store.open_input_stream(f"{top}/{name}") as f:
                     for docs, sizes, ids in read_shard(f):
@@ -109,13 +113,14 @@ def _read_task(path: str):
                         crc = [zlib.crc32(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                         yield pa.RecordBatch.from_pydict(
                             {
-                                "doc_id": pa.array(docs, mask=docs == NULL_DOC),
+                                "doc_id": pa.array(docs, mask=np.arange(len(docs)) < nulls),
                                 "start": pa.array(first + begins // 4, pa.int64()),
                                 "n_tokens": pa.array(sizes, pa.int64()),
                                 "ids_crc32": pa.array(crc, pa.int64()),
                             }
                         )
                         first += int(sizes.sum())
+                        nulls -= min(nulls, len(docs))
 
     return run
 
@@ -131,6 +136,6 @@ def placed_shards(manifest: DataFrame) -> DataFrame:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the shard files of the manifest."""
-    shards = placed_shards(spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")).select("file", "first")
+    shards = placed_shards(spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")).select("file", "nulls", "first")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, as the list of files is too small to be left to adaptive coalescing
     return shards.repartition(n, "file").mapInArrow(_read_task(path), READ)

@@ -31,6 +31,36 @@ def test_near_duplicates(docs):
     assert neardup.near_duplicates(docs.where("false")).isEmpty()
 
 
+def test_deduplicated_tells_rows_of_one_id_apart(spark):
+    text = lambda a: " ".join(f"v{i}" for i in range(a, a + 40))
+    near = text(0).replace("v20", "other").split()
+    rows = [(1, text(0), 1), (1, text(100), 2), (1, text(100), 3), (5, " ".join(["new", *text(200).split()]), 4), (5, text(300), 5), (4, text(200), 6), (6, "", 7), (6, None, 8), (None, text(0), 9), (0, " ".join(near[:19] + near[21:]), 10)]
+    kept = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, _n long"), percent=60)
+    left = sorted(r["_n"] for r in kept.collect())
+    assert left in ([2, 5, 6, 7, 8, 9, 10], [3, 5, 6, 7, 8, 9, 10])
+
+
+def test_near_duplicates_without_signatures(spark):
+    """Pairs that meet on their shingles are told by the full sets, however few coordinates agree; long lists are dealt out."""
+    text = lambda a, n: " ".join(f"v{i}" for i in range(a, a + n))
+    rows = [(i, f"{text(0, 60)} {text(1000 + 100 * i, 12)}") for i in range(1500)] + [(2000, text(0, 60))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neighbour_rounds=0).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, 0) for i, _ in rows}
+
+
+def test_token_files_ids(spark):
+    """The least int64 is an id, nulls are counted apart, and an id of very many rows is spread over tasks."""
+    low = -(1 << 63)
+    rows = [(None, f"text {i}") for i in range(300)] + [(low, "low")] + [(3, f"other {i}") for i in range(300)] + [(9, None)]
+    path = new_path(spark, "t")
+    tokenfile.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, parts=6, shard_ids=64)
+    got = sorted(tokenfile.read_tokens(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 300 + [low] + [3] * 300 + [9]
+    assert got[-1].n_tokens == 1 and all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
+    manifest = spark.read.parquet(f"{path}/_manifest")
+    assert manifest.groupBy("part").agg(F.sum("docs").alias("n")).agg(F.max("n")).first()[0] < 300
+
+
 def test_pack_and_tokens(docs, spark):
     pieces = pack.pack(docs, window=64).collect()
     by_seq = {}

@@ -1,8 +1,9 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page is cut into flat text blocks at block-level tags. Each block has its word count and link density, those of
-its neighbours, and what markup says of its place: inside an article, inside an element for menus, footers, asides or forms, or
-inside one whose class or id has a name of page furniture. Names of layout (sidebar, header, related) are a weak sign and names of
+its neighbours, the longest plain text before and after it and the plain text of its container against that of the page's fullest, so that
+short headings, lines of dialogue and paragraphs of one link go by the text around them. Then there is what markup says of its place:
+inside an article, inside an element for menus, footers, asides or forms, or inside one whose class or id has a name of page furniture. Names of layout (sidebar, header, related) are a weak sign and names of
 adverts, notices and reader comments a stronger one. A decision tree on these features, trained here on the labelled pages below,
 tells main text from the rest.
 
@@ -46,11 +47,12 @@ FOREIGN_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "comment comments commentlist disqus reply replies respond discussion hidden".split()
 )
+CONTAINER_TAGS = frozenset("html body div section article main center td header footer aside nav form".split())
 _SPLIT = re.compile(r"[^a-z]+")
 
 
 class Block:
-    __slots__ = ("text", "words", "links", "article", "outside", "named", "heading", "item")
+    __slots__ = ("text", "words", "links", "article", "outside", "named", "heading", "item", "container")
 
 
 def _named(attrs: str) -> int:
@@ -72,7 +74,8 @@ class _Reader:
 
     def __init__(self):
         self.out: list[Block] = []
-        self.stack: list[tuple[str, bool, int, bool, bool]] = []  # tag, outside, named, in an article, inline and foreign
+        self.stack: list[tuple[str, bool, int, bool, int, bool]] = []  # tag, outside, named, in an article, container, inline and foreign
+        self.containers = 0
         self.parts: list[str] = []
         self.linked: list[str] = []
         self.foreign: list[str] = []  # text of inline adverts and the like, which stand inside a block without being part of it
@@ -90,6 +93,7 @@ class _Reader:
             b.links = min(b.words, len(html.unescape(" ".join(linked)).split()))
             b.outside, own, b.article = self.place()
             b.named = max(own, named)
+            b.container = self.stack[-1][4] if self.stack else 0
             b.heading, b.item = self.own[0] == "h" and self.own[1:].isdigit(), self.own in ("li", "dt", "dd", "td", "th")
             self.out.append(b)
 
@@ -158,7 +162,12 @@ class _Reader:
         self.anchors += tag == "a"
         self.inline += inline
         outside = outside or tag in OUTSIDE_TAGS or tag == "header" and not article
-        self.stack.append((tag, outside, max(named, own), article or inside, inline))
+        if tag in CONTAINER_TAGS and not (article and not max(named, own) and not outside):  # an article is one container with all its sections
+            self.containers += 1
+            container = self.containers
+        else:
+            container = self.stack[-1][4] if self.stack else 0
+        self.stack.append((tag, outside, max(named, own), article or inside, container, inline))
 
 
 def blocks(page: str) -> list[Block]:
@@ -212,19 +221,29 @@ def _next(text: str, what: str, at: int, known: dict[str, int]) -> int:
     return known[what]
 
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "outside", "named", "heading", "item", "page_has_article")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "heading", "item", "page_has_article", "text_before", "text_after", "share")
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """One row of ``FEATURES`` a block: its words and link density, those of the blocks before and after, and its place."""
+    """One row of ``FEATURES`` a block: its words and link density, those of the blocks before and after, its place and its share.
+
+    Plain text are the words outside links of blocks that markup does not call furniture. The place is 0 in furniture by its tag or a
+    strong name, 1 under a name of layout, 2 under none of them and 3 in an article without them.
+    """
     n = len(found)
     x = np.zeros((n, len(FEATURES)))
     for k, b in enumerate(found):
         x[k, 0], x[k, 1] = b.words, b.links / b.words
-        x[k, 6:11] = b.article, b.outside, b.named, b.heading, b.item
+        x[k, 6:9] = 0 if b.outside or b.named == 2 else 1 if b.named else 2 + b.article, b.heading, b.item
     x[1:, 2:4] = x[:-1, 0:2]
     x[:-1, 4:6] = x[1:, 0:2]
-    x[:, 11] = x[:, 6].any() if n else 0
+    if n:
+        x[:, 9] = any(b.article for b in found)
+        plain = np.array([(b.words - b.links) * (not b.outside and not b.named) for b in found])
+        x[1:, 10] = np.maximum.accumulate(plain)[:-1]
+        x[:-1, 11] = np.maximum.accumulate(plain[::-1])[::-1][1:]
+        held = np.bincount([b.container for b in found], plain)
+        x[:, 12] = held[[b.container for b in found]] / max(1, held.max())
     return x
 
 
@@ -236,7 +255,7 @@ LABELLED = [
     f"<head><title>{{6}}</title></head>{_MENU}<div class=ad><p>{{12}}</p></div><article><h1>@{{4}}</h1><p>@{{1}}<p>@{{120}}<ul><li>@{{5}}<li>@{{7}}<li>@{{2}} [2]</ul></article>{_FOOT}",
     f"<header><p>{{5}}</p></header>{_MENU}<article><p>@{{40}}<p>@{{2}}<div class=share>[1] [1] [2]</div></article><aside><p>{{30}} [6]</p></aside><div class=comments><p>{{45}}</p><p>{{8}}</p></div>{_FOOT}",
     f"<div class='cookie notice'><p>{{20}} [2]</p></div>{_MENU}<main><h1>@{{8}}</h1><p>@{{50}} [3]<p>@{{15}} [15]<p>@{{25}}</main><div class=sidebar><p>{{18}}</p><p>[3]</p></div><form><p>{{6}}</p></form>",
-    "<ul><li>[1]<li>[2]<li>[1]</ul><h1>@{7}</h1><p>@{55}<p>@{80} [2]<p>@{22} [3]<p>@{14}<p>@{61}<p>{4}<p>{1} [4]",
+    "<ul><li>[1]<li>[2]<li>[1]</ul><h1>@{7}</h1><p>@{55}<p>@{80} [2]<p>@{22} [3]<p>@{14}<p>@{61}<p>{1}",
     "<div><a href=x>{3}</a> {1}</div><div>[4]</div><div>@{70}</div><div>@{14}</div><div>@{90}</div><div>@{9}</div><div>@{64}</div><ul><li>[3]<li>[3]</ul><div>{2}</div>",
     f"{_MENU}<div class=newsletter><p>{{40}}</p></div><div class=content><h2>@{{5}}</h2><p>@{{45}} [5]<p>@{{20}}<p>@{{33}}</div><div class=related><ul><li>[9]<li>[8]<li>[7]</ul></div>{_FOOT}",
     "<article><p>@{2}<p>@[4]<p>@{1}</article><footer><p>{40}</p></footer>",
@@ -250,22 +269,66 @@ LABELLED = [
     f"{_MENU}<article><h1>@{{5}}</h1><section class='related work'><h2>@{{2}}</h2><p>@{{80}}</p><p>@{{66}} [3]</p></section><section id=header-format><p>@{{70}}</p><p>@{{52}}</p></section></article><div class='footer links'><p>{{8}}</p><p>[2] [2]</p></div>",
     "<div class=header><p>{4}</p><p>[2] [2]</p></div><h1>@{9}</h1><p>@{35}<p>@{12}<p>@{8}<p>@{40}<p>@{28}<div class=footer><p>{12}</p></div>",
     "<div class=sidebar><p>{35}</p><p>{22} [4]</p></div><div><p>@{52}</p><p>@{24}</p><p>@{31}</p></div><div class=menu><p>[1] [1]</p></div><div class=promo><p>{26}</p></div>",
+    f"<head><title>{{6}}</title></head><body>{_MENU}<div class=content><h1>@{{4}}</h1><p>@{{55}}</p><h2>@{{2}}</h2><p>@{{60}}</p><p>@{{3}}</p><p>@{{58}}</p><p>@[10]</p><p>@{{50}}</p><p>@{{2}}</p></div>{_FOOT}",
+    "<div id=top><p>[2] [2] [1]</p></div><div id=text><h1>@{3}</h1><p>@{2}</p><p>@{4}</p><p>@{6}</p><p>@{48}</p><p>@{5}</p><p>@{3}</p><p>@{70}</p><p>@{4}</p></div><div><p>{5}</p><p>[2] [1]</p></div>",
+    f"{_MENU}<section><h1>@{{7}}</h1><h3>@{{2}}</h3><p>@{{52}}</p><ul><li>@{{3}}<li>@{{2}}<li>@{{9}}<li>@[5]</ul><p>@{{57}}</p><blockquote>@{{6}}</blockquote><p>@{{1}}</p></section><div class=sidebar><p>[4]</p><p>{{5}}</p></div>{_FOOT}",
+    "<table><tr><td><p>[1]</p><p>[2]</p><p>[1]</p><p>[3]</p></td><td><h2>@{5}</h2><p>@{66}</p><p>@{3}</p><p>@{59} [2]</p><p>@[9]</p><p>@{44}</p></td><td><p>{12} [3]</p><p>[4]</p></td></tr></table>",
+    f"{_MENU}<article><h1>@{{5}}</h1><p>@{{50}}</p><p>@[10]</p><p>@[14]</p><p>@{{3}}</p><ul><li>@[7]<li>@[12]</ul><p>@{{61}}</p><div class=related><ul><li>[9]<li>[12]</ul></div></article>{_FOOT}",
+    "<ul><li>[1]<li>[1]<li>[2]</ul><h1>@{5}</h1><p>@{60}</p><h2>@{3}</h2><p>@{52}</p><p>@{4}</p><p>@{55}</p><p>@{2}</p><hr><div>{6} [2]</div><div>[1] [1]</div>",
+    "<p>@{60}<p>@{33}<p>{1}", "<h1>@{4}</h1><p>@{75}<p>@{20}<p>{1}", "<ul><li>[1]<li>[1]</ul><p>@{90}<p>@{44}<p>{1}", "<p>@{50}<p>@{20}<p>@{40}<p>{1}",
+    "<p>@{12}</p>", "<div><p>@{4}</p><p>@{30}</p></div>", "<h1>@{3}</h1><p>@{18}</p><p>@{2}</p>",
+    "<div><div>[1] [2]</div><div>{3}</div></div><div><div>@{50}</div><div>@{4}</div><div>@{65}</div><div>@{2}</div><div>@[8]</div><div>@{58}</div></div><div><div>{7}</div><div>[1] [2] [1]</div></div>",
+    "<div class=header>{3}</div><div><h2>@{6}</h2><p>@{25}</p><p>@{8}</p><p>@{31}</p></div><div class=related><p>[7]</p><p>[6]</p></div><div class=comments><p>{40}</p><p>{3}</p></div><div class=footer><p>{6}</p></div>",
 ]
 
 
-def _rendered(page: str) -> str:
-    page = re.sub(r"\[(\d+)\]", lambda m: "<a href=x>" + " ".join(["w"] * int(m[1])) + "</a>", page)
-    return re.sub(r"\{(\d+)\}", lambda m: " ".join(["w"] * int(m[1])), page)
+# Parts of labelled pages: furniture before and after the main text, the main text, and what holds it.
+BEFORE = ["", _MENU, "<ul><li>[2]<li>[1]<li>[1]</ul>", "<div id=top><p>[2] [2] [1]</p></div>", "<div class='cookie notice'><p>{20} [2]</p></div>", "<div class=ad><p>{14}</p></div>", "<div class=ad>{60}</div>", "<header><p>{5}</p></header>", "<div class=sidebar><h3>{2}</h3><p>{35}</p><p>{22} [4]</p><ul><li>[3]</ul></div>"]
+AFTER = ["", _FOOT, "<div class=comments><h3>{2}</h3><p>{45}</p><p>{4}</p><p>{50}</p></div>", "<div class=related><h3>{2}</h3><ul><li>[9]<li>[8]</ul></div>", "<aside><h3>{3}</h3><p>{25}</p><p>[3]</p></aside>", "<div>{4}</div><div>[1] [1]</div>", "<p>{1}", "<form><p>{6}</p></form>", "<footer>{12}</footer>", "<div class=sponsor><p>{60}</p></div>", "<div class=sidebar><h3>{2}</h3><p>{24}</p><ul><li>[4]<li>[3]</ul></div>"]
+BODIES = [
+    "<h1>@{5}</h1><p>@{55}<h2>@{2}</h2><p>@{60}<p>@{3}<p>@{58}<p>@[10]<p>@{50}<p>@{3}",
+    "<h1>@{3}</h1><p>@{40}<p>@{4}<p>@{2}<p>@{6}<p>@{1}<p>@{48}<p>@{5}<p>@{3}",
+    "<h1>@{6}</h1><p>@{70}<p>@{12}<p>@{66}<blockquote>@{5}</blockquote><p>@{59}",
+    "<h2>@{4}</h2><p>@{64}<ul><li>@{3}<li>@{8}<li>@[4]<li>@{2}</ul><p>@{2}<p>@{49}",
+    "<p>@{250}<p>@{3}<p>@{400}<p>@[6]<p>@{90}",
+    "<h1>@{7}</h1><p>@{35}<h3>@{1}</h3><p>@{42}<p>@{6}",
+    "<h1>@{4}</h1><p>@{44}<div class=ad><p>{20}</p></div><p>@{3}<p>@{51}<div class=share>[1] [1]</div><p>@{47}",
+    "<div><h2>@{4}</h2><p>@{30}<p>@{25}</div><div><h2>@{2}</h2><p>@{62}<p>@{3}<p>@{9}</div><div><p>@{58}<h3>@{1}</h3><p>@{40}</div>",
+    "<h1>@{2}</h1><div class=lead>@{22}</div><section><h2>@{4}</h2><p>@{33}</section><section><h2>@{3}</h2><p>@{71}<p>@{20}<p>@{4}</section>",
+]
+SMALL = ["<p>@{9}", "<h1>@{3}</h1><p>@{6}<p>@[9]", "<p>@[7]<p>@[15]<p>@{5}", "<h1>@{2}</h1><p>@[5]<p>@{11}<p>@[20]<p>@[3]", "<h1>@{8}</h1><p>@{140}<p>@{90}<p>@{1}", "<p>@{300}<p>@{1}<p>@{200}<p>@[3]<p>@{2}", "<p>@{80}<p>@{45}<p>@[4]<p>@{1}", "<h1>@{2}</h1><p>@{7}<p>@[12]", "<h1>@{3}</h1><p>@{5}<p>@{1}<div class=comments><p>{1}</p><p>{6}</p></div>", "<p>@{9}<p>@{12}<div hidden>{2}</div><p>@{14}<span class=ad>{3}</span><p>@{2}", "<h1>@{4}</h1><p>@{8}<div class=ad>{12}</div><p>@{6}<aside>{3}</aside><p>@{3}"]  # in articles only
+HOLDERS = ["<article>%s</article>", "<main>%s</main>", "<div>%s</div>", "<div class=content>%s</div>", "<section>%s</section>", "%s"]
+COMPOSED, SCALES = 360, (0.7, 1.0, 1.5)
+
+
+def composed_pages() -> list[str]:
+    """``COMPOSED`` labelled pages put together from the parts above; the same ones each time."""
+    rng = np.random.default_rng(5)
+    one = lambda parts: parts[rng.integers(len(parts))]
+    held = lambda i: HOLDERS[i % len(HOLDERS)].replace("%s", one(SMALL if i % len(HOLDERS) == 0 and one((True, False)) else BODIES))
+    return [one(BEFORE) + one(BEFORE) + held(i) + (one(AFTER) + one(AFTER) if one((True, True, False)) else "") for i in range(COMPOSED)]
+
+
+def _rendered(page: str, scale: float) -> str:
+    words = lambda m: " ".join(["w"] * max(1, round(int(m[1]) * scale)))
+    page = re.sub(r"\[(\d+)\]", lambda m: f"<a href=x>{words(m)}</a>", page)
+    return re.sub(r"\{(\d+)\}", words, page)
 
 
 def labelled_rows() -> tuple[np.ndarray, np.ndarray]:
-    """Features of all blocks of the labelled pages and 1 for main text."""
-    found = [blocks(_rendered(p)) for p in LABELLED]
+    """Features of all blocks of the labelled pages, each as it is and with shorter and longer texts, and 1 for main text."""
+    found = [blocks(_rendered(p, scale)) for p in LABELLED for scale in SCALES]
+    found += [blocks(_rendered(p, SCALES[i % len(SCALES)])) for i, p in enumerate(composed_pages())]
     return np.concatenate([features(f) for f in found]), np.array([int(b.text.startswith("@")) for f in found for b in f])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
-    """A Gini decision tree as nested tuples (feature, threshold, low side, high side), leaves 0 or 1."""
+def _disorder(n: int, ones: int) -> float:
+    """Entropy of ``n`` labels, summed over them."""
+    return sum(k * float(np.log2(n / k)) for k in (ones, n - ones) if k)
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 4):
+    """A decision tree by entropy as nested tuples (feature, threshold, low side, high side), leaves 0 or 1."""
     vote = int(2 * y.sum() >= len(y))
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
         return vote
@@ -275,7 +338,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
         for t in (values[1:] + values[:-1]) / 2:
             low = x[:, f] <= t
             if least <= low.sum() <= len(y) - least:
-                score = sum(s.sum() * (1 - (y[s].mean() ** 2 + (1 - y[s].mean()) ** 2)) for s in (low, ~low))
+                score = sum(_disorder(len(s), int(s.sum())) for s in (y[low], y[~low]))
                 if best is None or score < best[0] - 1e-12:
                     best = (score, f, float(t), low)
     if best is None:

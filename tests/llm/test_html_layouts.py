@@ -1,4 +1,7 @@
-"""Main text of layouts that the tree was not trained on, marked by hand; short headings, dialogue and link paragraphs included."""
+"""Main text of layouts outside the labelled pages, marked by hand; the features and labels were tuned in sight of them.
+
+Short headings, dialogue and link paragraphs are included.
+"""
 
 import itertools
 import random

@@ -9,6 +9,8 @@ from takeweave.session import discard, written
 
 
 BLOCK = 128
+#: Recordings of up to so many keys and characters in them compare all keys.
+FEW, SHORT = 512, 50_000
 
 
 def initials(c: Column, table: tuple[str, str]) -> Column:
@@ -35,15 +37,39 @@ def near_pairs(keys: DataFrame, percent: int = 15) -> DataFrame:
     """(rec_id, e, l): pairs of keys of a recording whose edit distance is at most ``percent`` of the longer one; e is seen before l.
 
     keys(rec_id, n, key) has each key of a recording once, n its first place; e and l are (n, digest of the key), so that long keys
-    don't travel with each of their pieces. A key of length m that is at most k edits away
-    from a longer one leaves at least one of any k + 1 of its pieces whole, at most k characters off its place. So each key posts
-    the k + 1 pieces that are rarest in its recording, and only keys that hold one there are compared.
+    don't travel with each of their pieces. Keys of recordings of up to ``FEW`` keys and ``SHORT`` characters meet each other
+    inside the join, which writes no pair but the near ones and costs each key a bounded number of comparisons; those of larger recordings
+    meet by their pieces.
+    """
+    held = keys.groupBy("rec_id").agg(F.count("*").alias("held"), F.sum(F.length("key")).alias("chars")).where("held > 1")
+    counted = keys.join(held.hint("merge"), "rec_id")
+    few = (F.col("held") <= FEW) & (F.col("chars") <= SHORT)
+    met = _met_by_length(counted.where(few).drop("held", "chars"), percent)
+    return met.unionByName(_met_by_pieces(counted.where(~few).drop("held", "chars"), percent))
+
+
+def _near(percent: int) -> Column:
+    return F.expr(f"levenshtein(ke, kl, cast(floor({percent} * greatest(length(ke), length(kl)) / 100) as int)) >= 0")
+
+
+def _met_by_length(keys: DataFrame, percent: int) -> DataFrame:
+    a = keys.select("rec_id", _place().alias("e"), F.col("key").alias("ke"), F.length("key").alias("le"))
+    b = keys.select(F.col("rec_id").alias("r"), _place().alias("l"), F.col("key").alias("kl"), F.length("key").alias("ll"))
+    alike = (100 - percent) * F.greatest("le", "ll") <= 100 * F.least("le", "ll")
+    return a.hint("merge").join(b, (F.col("rec_id") == F.col("r")) & (F.col("e") < F.col("l")) & alike & _near(percent)).select("rec_id", "e", "l")
+
+
+def _met_by_pieces(keys: DataFrame, percent: int) -> DataFrame:
+    """A key of length m that is at most k edits away from a longer one leaves at least one of any k + 1 of its pieces whole, at most k
+    characters off its place. So each key posts the k + 1 pieces that are rarest in its recording, and only keys that hold one there
+    are compared. Pieces travel as digests; they outnumber the keys by far, which size estimates don't see, so no join may broadcast them.
     """
     at = keys.select("rec_id", _place().alias("x"), "key", F.length("key").alias("len"))
     q, k = _piece(F.col("len"), percent), _edits(F.col("len"), percent)
     pieces = at.withColumn("q", q).withColumn("k", k)
-    cut = F.regexp_extract_all("key", F.concat(F.lit(".{"), F.col("q").cast("string"), F.lit("}")), F.lit(0))
-    pieces = pieces.select("rec_id", "x", "len", "q", "k", F.posexplode(cut).alias("i", "gram")).select("rec_id", "x", "len", "q", "k", (F.col("i") * F.col("q")).alias("o"), "gram")
+    digest = lambda gram: F.xxhash64("rec_id", "q", gram)
+    cut = F.regexp_extract_all("key", F.concat(F.lit("(?s).{"), F.col("q").cast("string"), F.lit("}")), F.lit(0))
+    pieces = pieces.select("rec_id", "x", "len", "q", "k", F.posexplode(cut).alias("i", "gram")).select("rec_id", "x", "len", "k", (F.col("i") * F.col("q")).alias("o"), digest(F.col("gram")).alias("h"))
     shorter = F.sequence(F.ceil(F.col("len") * (100 - percent) / 100).cast("int"), F.col("len"))
     sizes = F.array_distinct(F.transform(shorter, lambda n: _piece(n, percent)))
     probes = at.select("rec_id", "x", "key", "len", F.explode(sizes).alias("q")).where("q > 0 and q <= len")
@@ -51,16 +77,15 @@ def near_pairs(keys: DataFrame, percent: int = 15) -> DataFrame:
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.col("len") - F.col("q")) / BLOCK).cast("int")), lambda b: F.struct((b * BLOCK).alias("at"), F.substring("key", b * BLOCK + 1, F.lit(BLOCK - 1) + F.col("q")).alias("t")))
     probes = probes.select("rec_id", "x", "len", "q", F.explode(blocks).alias("b"))
     grams = F.transform(F.sequence(F.lit(0), F.length("b.t") - F.col("q")), lambda p: F.struct((F.col("b.at") + p).alias("p"), F.substring(F.col("b.t"), p + 1, F.col("q")).alias("gram")))
-    probes = probes.select("rec_id", F.col("x").alias("y"), F.col("len").alias("len2"), "q", F.explode(grams).alias("g")).select("rec_id", "y", "len2", "q", "g.p", "g.gram")
-    often = probes.groupBy("rec_id", "q", "gram").agg(F.count("*").alias("df"))
-    rare = pieces.join(often, ["rec_id", "q", "gram"]).groupBy("rec_id", "x", "len", "q", "k").agg(F.sort_array(F.collect_list(F.struct("df", "o", "gram"))).alias("ps"))
-    posted = rare.select("rec_id", "x", "len", "q", "k", F.explode(F.slice("ps", F.lit(1), F.col("k") + 1)).alias("p1")).where("p1.df > 1").select("rec_id", "x", "len", "q", "k", "p1.o", "p1.gram")
-    met = posted.join(probes, ["rec_id", "q", "gram"]).where((F.abs(F.col("p") - F.col("o")) <= F.col("k")) & (F.col("len2") >= F.col("len")) & ((100 - percent) * F.col("len2") <= 100 * F.col("len")) & (F.col("x") != F.col("y")))
+    probes = probes.select("rec_id", F.col("x").alias("y"), F.col("len").alias("len2"), "q", F.explode(grams).alias("g")).select("y", "len2", "g.p", digest(F.col("g.gram")).alias("h"))
+    often = probes.groupBy("h").agg(F.count("*").alias("df"))
+    rare = pieces.join(often.hint("merge"), "h").groupBy("rec_id", "x", "len", "k").agg(F.sort_array(F.collect_list(F.struct("df", "o", "h"))).alias("ps"))
+    posted = rare.select("rec_id", "x", "len", "k", F.explode(F.slice("ps", F.lit(1), F.col("k") + 1)).alias("p1")).where("p1.df > 1").select("rec_id", "x", "len", "k", "p1.o", "p1.h")
+    met = posted.hint("merge").join(probes, "h").where((F.abs(F.col("p") - F.col("o")) <= F.col("k")) & (F.col("len2") >= F.col("len")) & ((100 - percent) * F.col("len2") <= 100 * F.col("len")) & (F.col("x") != F.col("y")))
     pairs = met.select("rec_id", F.least("x", "y").alias("e"), F.greatest("x", "y").alias("l")).distinct()
     text = keys.select("rec_id", _place().alias("x"), "key")
-    full = pairs.join(text.toDF("rec_id", "e", "ke"), ["rec_id", "e"]).join(text.toDF("rec_id", "l", "kl"), ["rec_id", "l"])
-    full = full.withColumn("most", F.floor(percent * F.greatest(F.length("ke"), F.length("kl")) / 100).cast("int"))
-    return full.where(F.expr("levenshtein(ke, kl, most) >= 0")).select("rec_id", "e", "l")
+    full = pairs.hint("merge").join(text.toDF("rec_id", "e", "ke"), ["rec_id", "e"]).hint("merge").join(text.toDF("rec_id", "l", "kl"), ["rec_id", "l"])
+    return full.where(_near(percent)).select("rec_id", "e", "l")
 
 
 def leaders(pairs: DataFrame) -> DataFrame:
@@ -73,17 +98,17 @@ def leaders(pairs: DataFrame) -> DataFrame:
     pairs = left = written(pairs, "near-pairs")
     followers = None
     while not left.isEmpty():
-        heads = left.select("rec_id", F.col("e").alias("x")).join(left.select("rec_id", F.col("l").alias("x")), ["rec_id", "x"], "left_anti").distinct()
-        new = written(left.join(heads.withColumnRenamed("x", "e"), ["rec_id", "e"]).select("rec_id", F.col("l").alias("x")).distinct(), "followers")
-        rest = left.join(heads.withColumnRenamed("x", "e"), ["rec_id", "e"], "left_anti")
-        rest = rest.join(new.withColumnRenamed("x", "l"), ["rec_id", "l"], "left_anti").join(new.withColumnRenamed("x", "e"), ["rec_id", "e"], "left_anti")
+        heads = left.select("rec_id", F.col("e").alias("x")).hint("merge").join(left.select("rec_id", F.col("l").alias("x")), ["rec_id", "x"], "left_anti").distinct()
+        new = written(left.hint("merge").join(heads.withColumnRenamed("x", "e"), ["rec_id", "e"]).select("rec_id", F.col("l").alias("x")).distinct(), "followers")
+        rest = left.hint("merge").join(heads.withColumnRenamed("x", "e"), ["rec_id", "e"], "left_anti")
+        rest = rest.hint("merge").join(new.withColumnRenamed("x", "l"), ["rec_id", "l"], "left_anti").hint("merge").join(new.withColumnRenamed("x", "e"), ["rec_id", "e"], "left_anti")
         old, left = left, written(rest.select("rec_id", "e", "l"), "near-left")
         if old is not pairs:
             discard(old)
         followers = new if followers is None else followers.union(new)
     if followers is None:
         return pairs.select("rec_id", "l", "e")
-    followed = pairs.join(followers.withColumnRenamed("x", "e"), ["rec_id", "e"], "left_anti")
+    followed = pairs.hint("merge").join(followers.withColumnRenamed("x", "e"), ["rec_id", "e"], "left_anti")
     return followed.groupBy("rec_id", "l").agg(F.min("e").alias("e"))
 
 
@@ -103,6 +128,6 @@ def line_keys(lines: DataFrame, percent: int = 15) -> DataFrame:
     keys = written(keys.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec_id", "key"), "line-keys")
     to = leaders(near_pairs(keys, percent)).toDF("rec_id", "x", "e")
     heads = keys.select("rec_id", _place().alias("e"), F.col("key").alias("line_key"))
-    named = keys.select("rec_id", "key", _place().alias("x")).join(to, ["rec_id", "x"], "left").withColumn("e", F.coalesce("e", "x")).join(heads, ["rec_id", "e"])
+    named = keys.select("rec_id", "key", _place().alias("x")).hint("merge").join(to, ["rec_id", "x"], "left").withColumn("e", F.coalesce("e", "x")).hint("merge").join(heads, ["rec_id", "e"])
     named = named.select("rec_id", "key", "line_key", F.col("e.n").alias("first"))
-    return lines.join(named, ["rec_id", "key"]).select("rec_id", "n", "key", "line_key", "first")
+    return lines.hint("merge").join(named, ["rec_id", "key"]).select("rec_id", "n", "key", "line_key", "first")

@@ -47,6 +47,19 @@ def test_line_keys_follow_the_first_seen(spark):
     assert sum(k != v[0] for (_, k), v in want.items()) > 50
 
 
+def test_near_pairs_of_small_and_large_recordings_agree_and_broadcast_nothing(spark, monkeypatch):
+    rng = random.Random(5)
+    bases = ["".join(rng.choice("abcd\n") for _ in range(n)) for n in (7, 9, 14, 30, 30)]
+    keys = {(rec, b[:at] + rng.choice("x\n") + b[at + rng.randint(0, 1) :]) for rec in range(3) for b in bases for at in rng.sample(range(len(b)), 6)}
+    df = spark.createDataFrame([(rec, n, key) for n, (rec, key) in enumerate(sorted(keys))], "rec_id long, n long, key string")
+    want = sum(100 * distance(a, b) <= 15 * max(len(a), len(b)) for r, a in keys for s, b in keys if r == s and a < b)
+    small = nearkeys.near_pairs(df)
+    assert "BroadcastExchange" not in small._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(nearkeys, "FEW", 0)
+    assert sorted(small.collect()) == sorted(nearkeys.near_pairs(df).collect())
+    assert small.count() == want > 10
+
+
 def test_line_keys_of_empty_and_repeated_lines(spark):
     df = spark.createDataFrame([(1, 1, None), (1, 2, ""), (1, 3, "_"), (1, 4, "abcdefghij"), (1, 5, "abcdefghix"), (1, 5, "abcdefghix"), (2, 9, "abcdefghix"), (None, 1, "q")], "rec_id long, n long, key string")
     got = sorted(tuple(r) for r in nearkeys.line_keys(df, 5).collect())

@@ -48,9 +48,9 @@ def nearest(points: DataFrame, boundaries: DataFrame, radius: int) -> DataFrame:
     cell = lambda c: F.floor(c / radius)
     p = points.select("rec_id", "id", "x", F.explode(F.sequence(cell(F.col("x")) - 1, cell(F.col("x")) + 1)).alias("cell"))
     b = boundaries.select(F.col("rec_id").alias("r"), F.col("b"), cell(F.col("b")).alias("c")).distinct()
-    near = p.join(b, (p.rec_id == b.r) & (p.cell == b.c)).where(F.abs(F.col("b") - F.col("x")) <= radius)
+    near = p.hint("merge").join(b, (p.rec_id == b.r) & (p.cell == b.c)).where(F.abs(F.col("b") - F.col("x")) <= radius)
     best = near.groupBy("rec_id", "id").agg(F.min_by("b", F.struct(F.abs(F.col("b") - F.col("x")), "b")).alias("b"))
-    return points.join(best, ["rec_id", "id"], "left").select("rec_id", "id", "x", "b")
+    return points.hint("merge").join(best, ["rec_id", "id"], "left").select("rec_id", "id", "x", "b")
 
 
 def snap(iv: DataFrame, boundaries: DataFrame, radius: int, min_ms: int = 0) -> DataFrame:
@@ -152,7 +152,7 @@ def snap_inside(iv: DataFrame, boundaries: DataFrame, radius: int = 200) -> Data
     """``iv(rec_id, id, s_ms, e_ms)`` with ends moved to the nearest boundary within ``radius`` that lies inside the interval."""
     s = nearest(iv.select("rec_id", "id", F.col("s_ms").alias("x")), boundaries, radius).select("rec_id", "id", F.col("b").alias("sb"))
     e = nearest(iv.select("rec_id", "id", F.col("e_ms").alias("x")), boundaries, radius).select("rec_id", "id", F.col("b").alias("eb"))
-    j = iv.join(s, ["rec_id", "id"]).join(e, ["rec_id", "id"])
+    j = iv.hint("merge").join(s, ["rec_id", "id"]).hint("merge").join(e, ["rec_id", "id"])
     a = F.when(F.col("sb").between(F.col("s_ms"), F.col("e_ms")), F.col("sb")).otherwise(F.col("s_ms"))
     z = F.when(F.col("eb").between(F.col("s_ms"), F.col("e_ms")), F.col("eb")).otherwise(F.col("e_ms"))
     return j.select("rec_id", "id", a.alias("s_ms"), F.greatest(a, z).alias("e_ms"))

@@ -132,3 +132,9 @@ def test_chains_against_the_fold(spark):
     assert overlaps.chains(df.limit(0)).collect() == []
     with_null = spark.createDataFrame([(None, 1, "a", 0, 1, 1), (1, 1, "a", None, 1, 1)], df.schema)
     assert overlaps.chains(with_null).collect() == []
+
+
+def test_no_step_of_own_matches_broadcasts_what_explode_made(spark):
+    lines = spark.createDataFrame([(1, 1, ["a", "b", "c"])], LINES)
+    blocks = ownmatch.word_blocks(spark.createDataFrame([(1, i, w, i, i + 1) for i, w in enumerate("abcd")], "rec_id long, idx long, text string, start_ms long, end_ms long"), 3)
+    assert "BroadcastExchange" not in ownmatch._best_windows(lines, blocks, 3, 0.35)._jdf.queryExecution().executedPlan().toString()

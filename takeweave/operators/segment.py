@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeweave.functions import text as tx
 
+OPENERS, CLOSERS = "([{（【", ")]}）】"
+#: Texts that are walked at once.
+ROWS = 256
+
 
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sent_no, text) by hard stops, trimmed, blanks dropped."""
@@ -27,14 +35,29 @@ def packed_pieces(docs: DataFrame, soft: str = ",，、;；", max_chars: int = 2
 
 
 def depth_split(docs: DataFrame, marks: str = ",;，；。") -> DataFrame:
-    """(doc_id, piece_no, text): split after marks outside brackets (G04). Depth is a running sum over the document's characters."""
-    ch = docs.select("doc_id", F.posexplode(F.split("text", "")).alias("p", "c")).where("c <> ''")
-    order = Window.partitionBy("doc_id").orderBy("p")
-    depth = F.sum(F.when(F.col("c").isin(*"([{（【"), 1).when(F.col("c").isin(*")]}）】"), -1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ch = ch.withColumn("cut", F.when(F.col("c").isin(*marks) & (depth <= 0), 1).otherwise(0))
-    ch = ch.withColumn("piece_no", F.coalesce(F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = ch.groupBy("doc_id", "piece_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "c"))), lambda x: x["c"]), "").alias("text"))
-    return out.select("doc_id", F.col("piece_no").cast("long").alias("piece_no"), "text")
+    """(doc_id, piece_no, text): split after marks outside brackets (G04). Depth is a running count over the brackets of one text, which is a row and is walked where it lies."""
+    stops = re.compile(f"[{re.escape(marks + OPENERS + CLOSERS)}]")
+
+    def pieces(t: str) -> Iterator[str]:
+        depth, at = 0, 0
+        for m in stops.finditer(t):
+            c = m.group()
+            depth += (c in OPENERS) - (c in CLOSERS)
+            if c in marks and depth <= 0:
+                yield t[at : m.end()]
+                at = m.end()
+        if at < len(t):
+            yield t[at:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                cut = pa.array([None if t is None else list(pieces(t)) for t in some.column("text").to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), cut], names=["doc_id", "xs"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    cut = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, xs array<string>")
+    return cut.select("doc_id", F.posexplode("xs").alias("p", "text")).select("doc_id", F.col("p").cast("long").alias("piece_no"), "text")
 
 
 def merged_wraps(lines: DataFrame) -> DataFrame:

@@ -82,13 +82,19 @@ def backward_sweep(lines: DataFrame, stream: DataFrame, n: int = 3, ratio: float
     step by half of that; the window that ends the recording comes first.
     """
     longest = lines.agg(F.max(F.size("words"))).first()[0] or 0
-    w = lines.withColumn("size", F.greatest(F.size("words"), F.lit(2 * n))).join(stream.select("rec_id", F.size("words").alias("have")), "rec_id")
-    last = F.greatest(F.col("have") - F.col("size"), F.lit(0))
-    w = w.select("rec_id", "no", "size", F.array_join("words", " ").alias("a"), F.explode(F.sequence(last, F.lit(0), -F.floor(F.col("size") / 2).cast("int"))).alias("start"))
-    w = w.withColumn("_b", F.floor(F.col("start") / BLOCK_WORDS).cast("int")).join(stream_blocks(stream, "rec_id", max(longest, 2 * n)), ["rec_id", "_b"])
-    w = w.select("rec_id", "no", "start", "a", F.array_join(F.slice("_ws", F.col("start") - F.col("_b") * BLOCK_WORDS + 1, F.col("size")), " ").alias("b"))
-    w = w.withColumn("most", F.greatest(F.length("a"), F.length("b")) * ratio).where(F.abs(F.length("a") - F.length("b")) <= F.col("most"))
-    w = w.withColumn("dist", F.levenshtein("a", "b")).where(F.col("dist") <= F.col("most"))
+    w = lines.withColumn("size", F.greatest(F.size("words"), F.lit(2 * n))).hint("merge").join(stream.select("rec_id", F.size("words").alias("have")), "rec_id")
+    w = w.withColumn("last", F.greatest(F.col("have") - F.col("size"), F.lit(0))).withColumn("by", F.floor(F.col("size") / 2).cast("int"))
+    w = w.select("rec_id", "no", "size", "last", "by", F.array_join("words", " ").alias("a"), F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / BLOCK_WORDS).cast("int"))).alias("_b"))
+    # A line meets a block once and its windows there are made behind the join. Each row stands for many comparisons: rows are spread by
+    # number, since their bytes alone would put them into few tasks.
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = w.repartition(parts, "rec_id", "_b").hint("merge").join(stream_blocks(stream, "rec_id", max(longest, 2 * n)).repartition(parts, "rec_id", "_b"), ["rec_id", "_b"])
+    low = F.col("_b") * BLOCK_WORDS
+    top = F.col("last") - F.ceil(F.greatest(F.col("last") - low - (BLOCK_WORDS - 1), F.lit(0)) / F.col("by")).cast("int") * F.col("by")
+    w = w.withColumn("top", top).where(F.col("top") >= low).select("rec_id", "no", "a", "_b", "_ws", "size", F.explode(F.sequence("top", low, -F.col("by"))).alias("start"))
+    w = w.select("rec_id", "no", "start", "a", F.array_join(F.slice("_ws", F.col("start") - low + 1, F.col("size")), " ").alias("b"))
+    w = w.withColumn("most", F.floor(F.greatest(F.length("a"), F.length("b")) * ratio).cast("int")).where(F.abs(F.length("a") - F.length("b")) <= F.col("most"))
+    w = w.withColumn("dist", F.expr("levenshtein(a, b, most)")).where("dist >= 0")
     return w.groupBy("rec_id", "no").agg(F.max(F.struct("start", "dist")).alias("x")).select("rec_id", "no", "x.*")
 
 

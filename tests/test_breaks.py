@@ -109,3 +109,18 @@ def test_text_variants_keep_one_line_a_row(spark, tmp_path):
     path = str(tmp_path / "v")
     sinks.text_variants(lines, {"own": lines["line"]}, path)
     assert sorted(r[0] for r in spark.read.text(path + "/variant=own").collect()) == ["", "", "a b"]
+
+
+def test_backward_sweep_deals_its_comparisons_by_number(spark):
+    words = [f"w{i % 37}" for i in range(700)]
+    lines = spark.createDataFrame([(1, no, words[at : at + n]) for no, (at, n) in enumerate([(0, 3), (255, 9), (511, 20), (690, 10)])], "rec_id long, no long, words array<string>")
+    got = align.backward_sweep(lines, spark.createDataFrame([(1, words)], "rec_id long, words array<string>"))
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for no, (at, n) in enumerate([(0, 3), (255, 9), (511, 20), (690, 10)]):
+        line, size = words[at : at + n], max(len(words[at : at + n]), 6)
+        for s in range(max(700 - size, 0), -1, -(size // 2)):
+            a, b = " ".join(line), " ".join(words[s : s + size])
+            if no not in want and distance(a, b) <= 0.35 * max(len(a), len(b)):
+                want[no] = (s, distance(a, b))
+    assert {r["no"]: (r["start"], r["dist"]) for r in got.collect()} == want

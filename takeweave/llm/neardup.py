@@ -194,6 +194,8 @@ def near_duplicates(docs: DataFrame, matches: int = MATCHES, percent: int = PERC
         if not new.isEmpty():
             links = links.union(new)
             labels = written(components(links), "labels")
+    for done in (exact, join.postings, join.signatures, join.sets):  # what follows reads the labels alone
+        discard(done)
     classed = signed.join(classes.select("n_shingles", "d1", "d2", "node"), ["n_shingles", "d1", "d2"], "left")
     out = classed.join(labels, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

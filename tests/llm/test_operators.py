@@ -286,3 +286,19 @@ def test_pipeline_keeps_clean_documents(spark, docs):
         out = stage(spark, d, "/root/testdata/sf0.001")
         assert out.columns == d.columns
     assert out.where(F.col("doc_id") == 0).count() == 1
+
+
+def test_near_duplicates_leave_no_sets_behind(spark):
+    from pathlib import Path
+
+    from takeweave import session
+    from takeweave.llm import neardup
+
+    top = Path(session.shared_dir(spark).removeprefix("file:")) / "takeweave"
+    old = set(top.glob("*")) if top.exists() else set()
+    words = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(words[:50] + [f"x{i}"])) for i in range(6)] + [(9, "a b c d e f")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == {i: 0 for i in range(6)} | {9: 9}
+    left = {p.name.rsplit("-", 1)[0] for p in set(top.glob("*")) - old}
+    assert left and not left & {"sets", "signatures", "postings", "exact-lists"}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from takeweave.functions import nearends
 
 # Accented letters and the plain ones they are compared as.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿß"
@@ -120,9 +121,6 @@ def top_missing_grams(lines: DataFrame, stream: DataFrame, n: int = 3, top: int
     return gone.orderBy(F.desc("lines"), "gram").limit(top)
 
 
-CELL = 64
-
-
 def whole_windows(lines: DataFrame, stream: DataFrame, percent: int = 80, short_percent: int = 75) -> DataFrame:
     """(rec_id, no, start, n_words, percent, earlier): the last window of the own recording that is near enough to each line.
 
@@ -131,49 +129,29 @@ def whole_windows(lines: DataFrame, stream: DataFrame, percent: int = 80, short_
     ``short_percent`` for the short lines. The match that ends last is kept, among equal ends the nearest, then the longest; earlier
     counts the others. Lines without a match, and lines or streams that are null or without words, have no row.
 
-    No match is lost to blocking: a match of at most k edits holds one of k + 1 pieces of the line unchanged and at most k characters
-    off its place, so only windows that begin in the cells of ``CELL`` characters around such a place are compared.
+    A match is at most k edits away, k by the line's length. Lines meet the blocks of their own recording, and ``nearends.near_windows`` tells the
+    windows of at most k edits with their distance: all windows that end at one word are compared in one scan, and only where some near part ends.
     """
     clean = F.filter("words", lambda w: w != "")
     short = F.col("size") <= 6
     l = lines.select("rec_id", "no", clean.alias("w")).where("size(w) > 0").select("rec_id", "no", F.size("w").alias("size"), F.array_join("w", "").alias("a"))
     slack = F.when(short, 2).otherwise(F.greatest(F.lit(1), F.round(F.col("size") * 0.2).cast("int")))
     l = l.withColumn("slack", slack).withColumn("need", F.when(short, min(percent, short_percent)).otherwise(percent))
-    edits = F.floor(F.length("a") * (100 - F.col("need")) / F.col("need")).cast("int")
-    l = l.withColumn("k", edits).withColumn("q", F.floor(F.length("a") / (F.col("k") + 1)).cast("int"))
-
-    s = stream.select("rec_id", clean.alias("words"))
-    at = F.sum(F.length("t")).over(Window.partitionBy("rec_id").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)) - F.length("t")
-    starts = s.select("rec_id", F.posexplode("words").alias("start", "t")).select("rec_id", "start", "t", at.alias("lo"))
-
-    pieces = l.select("rec_id", "no", "k", "q", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), "a").select("rec_id", "no", "k", "q", (F.col("i") * F.col("q")).alias("o"), F.substring("a", F.col("i") * F.col("q") + 1, F.col("q")).alias("gram"))
-    lengths = [r[0] for r in l.select("q").distinct().collect()]
-    text = F.filter(F.split(F.array_join("words", ""), ""), lambda c: c != "")
-    grams = None
-    for q in sorted(lengths):  # a handful: pieces of a near match are as long as 100 / (100 - percent), short lines' ones less
-        g = word_grams(s.select("rec_id", text.alias("words")), "rec_id", q).select("rec_id", F.lit(q).alias("q"), F.col("pos").alias("p"), F.replace("gram", F.lit(" "), F.lit("")).alias("gram"))
-        grams = g if grams is None else grams.unionByName(g)
-    if grams is None:
-        grams = s.select("rec_id", F.lit(0).alias("q"), F.lit(0).alias("p"), F.lit("").alias("gram")).where("false")
-    begin = F.col("p") - F.col("o")
-    near = F.sequence(F.floor(F.greatest(begin - F.col("k"), F.lit(0)) / CELL), F.floor(F.greatest(begin + F.col("k"), F.lit(0)) / CELL))
-    cells = pieces.join(grams, ["rec_id", "q", "gram"]).select("rec_id", "no", F.explode(near).alias("cell")).distinct()
+    l = l.withColumn("k", F.floor(F.length("a") * (100 - F.col("need")) / F.col("need")).cast("int"))
     longest = l.agg(F.max(F.col("size") + F.col("slack"))).first()[0] or 0
-    w = cells.join(starts.select("rec_id", "start", F.floor(F.col("lo") / CELL).alias("cell")), ["rec_id", "cell"]).join(l.select("rec_id", "no", "size", "slack", "need", "a"), ["rec_id", "no"])
-    # Each of these rows stands for many comparisons: they are spread by number, since their bytes alone would put them into few tasks.
-    w = w.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec_id", "no", "start")
-    sums = F.transform(F.sequence(F.lit(0), F.size("_ws")), lambda i: F.length(F.array_join(F.slice("_ws", F.lit(1), i), "")))
-    blocks = stream_blocks(s, "rec_id", longest).select("rec_id", "_b", F.size("_ws").alias("have"), F.array_join("_ws", "").alias("_t"), sums.alias("_cs"))
-    w = w.withColumn("_b", F.floor(F.col("start") / BLOCK_WORDS).cast("int")).join(blocks, ["rec_id", "_b"])
-    w = w.withColumn("off", F.col("start") - F.col("_b") * BLOCK_WORDS).withColumn("la", F.length("a")).withColumn("at", F.get("_cs", F.col("off")))
-    counts = F.sequence(F.greatest(F.col("size") - F.col("slack"), F.lit(1)), F.least(F.col("size") + F.col("slack"), F.col("have") - F.col("off")))
-    runs = F.transform(counts, lambda n: F.struct(n.alias("n"), (F.get("_cs", F.col("off") + n) - F.col("at")).alias("lb")))
-    fits = F.filter(runs, lambda x: 100 * F.abs(x["lb"] - F.col("la")) <= (100 - F.col("need")) * F.greatest(x["lb"], F.col("la")))
-    w = w.where(F.greatest(F.col("size") - F.col("slack"), F.lit(1)) <= F.col("have") - F.col("off")).withColumn("x", F.explode(fits))
-    w = w.select("rec_id", "no", "start", F.col("x.n").alias("n_words"), "need", "a", F.substring("_t", F.col("at") + 1, F.col("x.lb")).alias("b"))
-    longer = F.greatest(F.length("a"), F.length("b"))
-    w = w.withColumn("most", F.floor((100 - F.col("need")) * longer / 100).cast("int"))
-    w = w.withColumn("d", F.expr("levenshtein(a, b, most)")).where("d >= 0")
+
+    s = stream.select("rec_id", clean.alias("words")).where("size(words) > 0")
+    places = F.sequence(F.lit(0), F.floor((F.col("have") - 1) / BLOCK_WORDS).cast("int"))
+    w = l.hint("merge").join(s.select("rec_id", F.size("words").alias("have")), "rec_id").withColumn("_b", F.explode(places)).drop("have")
+    # Each row stands for many comparisons: rows are spread by number, since their bytes alone would put them into few tasks.
+    parts = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = w.repartition(parts, "rec_id", "_b").hint("merge").join(stream_blocks(s, "rec_id", longest).repartition(parts, "rec_id", "_b"), ["rec_id", "_b"])
+    near = nearends.near_windows(F.col("a"), F.array_join("_ws", nearends.GAP), F.lit(BLOCK_WORDS), F.col("k"))
+    w = w.select("rec_id", "no", "_b", "size", "slack", "need", F.length("a").alias("la"), F.explode(near).alias("x"))
+    at = lambda i: F.get("x", F.lit(i))
+    w = w.select("rec_id", "no", "size", "slack", "need", (F.col("_b") * BLOCK_WORDS + at(0)).alias("start"), at(1).alias("n_words"), F.greatest("la", at(2)).alias("longer"), at(3).alias("d"))
+    longer = F.col("longer")
+    w = w.where((F.abs(F.col("n_words") - F.col("size")) <= F.col("slack")) & (F.col("d") <= F.floor((100 - F.col("need")) * longer / 100)))
     w = w.select("rec_id", "no", "start", "n_words", F.floor(100 * (longer - F.col("d")) / longer).cast("int").alias("percent"), F.struct(F.col("start") + F.col("n_words"), (-F.col("d") / longer), F.col("n_words")).alias("rank"))
     g = w.groupBy("rec_id", "no").agg(F.max(F.struct("rank", "start", "n_words", "percent")).alias("x"), (F.count("*") - 1).alias("earlier"))
     return g.select("rec_id", "no", "x.start", "x.n_words", "x.percent", "earlier")

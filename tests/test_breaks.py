@@ -1,5 +1,7 @@
 """Line breaks, whole-window alignment, marker tables and text shares on small cases: nulls, empty tables, ties, brute force."""
 
+from pyspark.sql import functions as F
+
 from takeweave.operators import align, prosody, reports
 from takeweave.sources import readers, sinks
 
@@ -124,3 +126,38 @@ def test_backward_sweep_deals_its_comparisons_by_number(spark):
             if no not in want and distance(a, b) <= 0.35 * max(len(a), len(b)):
                 want[no] = (s, distance(a, b))
     assert {r["no"]: (r["start"], r["dist"]) for r in got.collect()} == want
+
+
+def test_near_windows_equal_all_windows_for_lines_of_several_words(spark):
+    import random
+
+    from takeweave.functions import nearends
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abé中") for _ in range(r.randint(1, 5)))
+    data = []
+    for i, size in enumerate((1, 2, 9, 30, 50, 3)):
+        text = [word() for _ in range(60)]
+        line = "".join(text[7 : 7 + size])[:150]
+        data.append((i, line[: len(line) // 2] + "b" + line[len(line) // 2 + 1 :], text, len(line) // 5))
+    df = spark.createDataFrame(data, "i long, a string, ws array<string>, k int")
+    got = df.select("i", nearends.near_windows(df["a"], F.array_join("ws", nearends.GAP), F.lit(20), df["k"]).alias("x"))
+    for i, found in rows(got, "i", "x"):
+        _, a, ws, k = data[i]
+        want = []
+        for s in range(20):
+            for n in range(1, len(ws) - s + 1):
+                b = "".join(ws[s : s + n])
+                if abs(len(a) - len(b)) <= k and (d := distance(a, b)) <= k:
+                    want.append([s, n, len(b), d])
+        assert sorted(found) == sorted(want) != []
+    assert max(len(a) for _, a, _, _ in data) > 128
+
+
+def test_whole_windows_compare_only_what_may_match(spark):
+    # two letters: each line shares short pieces with nearly every window, and is near to few
+    words = ["ab"[i * i % 7 % 2] + "ba"[i * i % 11 % 2] + "ab"[i * i % 13 % 2] + f"{i * i % 997 % 3}" for i in range(900)]
+    lines = spark.createDataFrame([(1, no, words[no : no + 14]) for no in range(0, 880, 44)], "rec_id long, no long, words array<string>")
+    got = align.whole_windows(lines, spark.createDataFrame([(1, words)], "rec_id long, words array<string>"))
+    assert "rec_id#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "gram" not in plan and "levenshtein" not in plan
+    assert {no for (no,) in rows(got.where("start >= no"), "no")} == set(range(0, 880, 44))

@@ -64,8 +64,8 @@ def match_lines(lines: DataFrame, stream: DataFrame, n: int = 3, cap: int | None
     whose length alone says more are not compared.
     """
     w = windows_text(anchors(lines, stream, n, cap), lines, stream).withColumn("longer", F.greatest(F.length("a"), F.length("b")))
-    w = w.where(F.abs(F.length("a") - F.length("b")) <= F.col("longer") * ratio)
-    w = w.withColumn("dist", F.levenshtein("a", "b")).where(F.col("dist") <= F.col("longer") * ratio)
+    w = w.withColumn("most", F.floor(F.col("longer") * ratio).cast("int")).where(F.abs(F.length("a") - F.length("b")) <= F.col("most"))
+    w = w.withColumn("dist", F.expr("levenshtein(a, b, most)")).where("dist >= 0")
     best = F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy("dist", F.desc("start")))
     return w.withColumn("_r", best).where("_r = 1").select("item_id", "doc_id", "start", "dist", "hits")
 

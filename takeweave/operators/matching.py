@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from takeweave.operators.align import match_lines, word_grams
 from takeweave.operators.records import occurrences
+from takeweave.session import written
 
 
 def token_stream(words: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
@@ -98,7 +99,7 @@ def relaxed_matches(lines: DataFrame, stream: DataFrame, ladder: tuple[tuple[int
     """match_lines with ``stage``: each step of (n, ratio) tries the lines that no earlier one found."""
     found, rest = None, lines
     for stage, (n, ratio) in enumerate(ladder, 1):
-        m = match_lines(rest, stream, n=n, ratio=ratio).withColumn("stage", F.lit(stage))
+        m = written(match_lines(rest, stream, n=n, ratio=ratio).withColumn("stage", F.lit(stage)), "relaxed-matches")  # read twice: as the result and by the next step
         found = m if found is None else found.unionByName(m)
         rest = rest.join(m.select("item_id").distinct(), "item_id", "left_anti")
     return found

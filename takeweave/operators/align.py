@@ -102,8 +102,10 @@ def backward_sweep(lines: DataFrame, stream: DataFrame, n: int = 3, ratio: float
 def gram_jaccard(lines: DataFrame, stream: DataFrame, n: int = 3, least: float = 0.12) -> DataFrame:
     """(item_id, doc_id, inter, jaccard): multiset Jaccard of n-grams from ``least`` on."""
     a = word_grams(lines, "item_id", n).groupBy("item_id", "gram").agg(F.count("*").alias("ca"))
-    b = word_grams(stream, "doc_id", n).groupBy("doc_id", "gram").agg(F.count("*").alias("cb"))
-    na, nb = a.groupBy("item_id").agg(F.sum("ca").alias("na")), b.groupBy("doc_id").agg(F.sum("cb").alias("nb"))
+    # Only n-grams that some line has are grouped; how many a text has in all is known from its words.
+    b = word_grams(stream, "doc_id", n).join(a.select("gram").distinct(), "gram", "left_semi").groupBy("doc_id", "gram").agg(F.count("*").alias("cb"))
+    total = lambda df, key, name: df.where(F.size("words") >= n).groupBy(key).agg(F.sum(F.size("words") - (n - 1)).alias(name))
+    na, nb = total(lines, "item_id", "na"), total(stream, "doc_id", "nb")
     j = a.join(b, "gram").groupBy("item_id", "doc_id").agg(F.sum(F.least("ca", "cb")).alias("inter")).join(na, "item_id").join(nb, "doc_id")
     return j.select("item_id", "doc_id", "inter", F.round(F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter")), 9).alias("jaccard")).where(F.col("jaccard") >= least)
 

@@ -7,6 +7,15 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_gram_jaccard_groups_shared_grams_only(spark):
+    lines = spark.createDataFrame([(1, "a b c d".split()), (2, "x y".split()), (3, None), (4, "a b c a b c".split())], "item_id long, words array<string>")
+    stream = spark.createDataFrame([(1, "a b c a b c q".split()), (1, "a b c".split()), (2, ["z"]), (3, None), (4, "k l m n".split())], "doc_id long, words array<string>")
+    got = align.gram_jaccard(lines, stream, least=0.01)
+    assert "LeftSemi" in plan(got)  # before the n-grams of all texts were grouped
+    # doc 1 has abc three times, bca, cab, bcq once: six in all, its rows together
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1, round(1 / 7, 9)), (4, 1, 4, round(4 / 6, 9))]
+
+
 def test_relaxed_matches_run_each_step_once(spark):
     lines = spark.createDataFrame([(1, "one two three four five six".split()), (2, "red green blue grey".split()), (3, "up down left".split()), (4, "no such words here".split())], "item_id long, words array<string>")
     stream = spark.createDataFrame([(1, "zero one two three four five six seven red green blue grey up down left up".split())], "doc_id long, words array<string>")

@@ -110,16 +110,21 @@ def gram_jaccard(lines: DataFrame, stream: DataFrame, n: int = 3, least: float =
     return j.select("item_id", "doc_id", "inter", F.round(F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter")), 9).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def _met_grams(a: DataFrame, stream: DataFrame, n: int) -> DataFrame:
+    """(gram): the n-grams of ``a`` that a text has; the others of the texts are dropped before anything is grouped."""
+    return word_grams(stream, "doc_id", n).select("gram").join(a.select("gram").distinct(), "gram", "left_semi").distinct()
+
+
 def missing_grams(lines: DataFrame, stream: DataFrame, n: int = 3) -> DataFrame:
     """(item_id, missing): how many n-grams of a line stand in no document."""
     a = word_grams(lines, "item_id", n)
-    return a.join(word_grams(stream, "doc_id", n).select("gram").distinct(), "gram", "left_anti").groupBy("item_id").agg(F.count("*").alias("missing"))
+    return a.join(_met_grams(a, stream, n), "gram", "left_anti").groupBy("item_id").agg(F.count("*").alias("missing"))
 
 
 def top_missing_grams(lines: DataFrame, stream: DataFrame, n: int = 3, top: int = 20) -> DataFrame:
     """(gram, lines): the ``top`` n-grams that most lines have and no document, ties in the order of the gram."""
     a = word_grams(lines, "item_id", n).select("item_id", "gram").distinct()
-    gone = a.join(word_grams(stream, "doc_id", n).select("gram").distinct(), "gram", "left_anti").groupBy("gram").agg(F.count("*").alias("lines"))
+    gone = a.join(_met_grams(a, stream, n), "gram", "left_anti").groupBy("gram").agg(F.count("*").alias("lines"))
     return gone.orderBy(F.desc("lines"), "gram").limit(top)
 
 

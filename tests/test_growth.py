@@ -30,3 +30,11 @@ def test_match_lines_bounds_the_distance(spark):
     got = align.match_lines(lines, stream, ratio=0.35)
     assert [tuple(r) for r in got.collect()] == [(1, 1, 4, 3, 1)]
     assert "most#" in plan(got) or "Some(" in plan(got)
+
+
+def test_missing_grams_group_those_of_the_lines_only(spark):
+    lines = spark.createDataFrame([(1, "a b c d".split()), (2, "x y z".split()), (3, None)], "item_id long, words array<string>")
+    stream = spark.createDataFrame([(1, "q a b c".split()), (2, None), (3, "p q r s t".split())], "doc_id long, words array<string>")
+    for got, want in ((align.missing_grams(lines, stream), [(1, 1), (2, 1)]), (align.top_missing_grams(lines, stream), [("b c d", 1), ("x y z", 1)])):
+        assert "LeftSemi" in plan(got)  # before the n-grams of all texts were made distinct
+        assert sorted(map(tuple, got.collect())) == want

@@ -23,18 +23,20 @@ def token_stream(words: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
 
 
 def alias_hits(docs: DataFrame, key: str, aliases: dict[str, list[str]]) -> DataFrame:
-    """(key, canonical, variant, n) of variants found in ``docs(key, words)`` (J13): an equi-join on runs of as many words as a variant has."""
-    spark = docs.sparkSession
-    by_size: dict[int, list[tuple[str, str]]] = {}
-    for canonical, variants in aliases.items():
-        for v in variants:
-            by_size.setdefault(len(v.split()), []).append((canonical, " ".join(v.split())))
-    parts = []
-    for size, pairs in sorted(by_size.items()):
-        table = spark.createDataFrame(pairs, "canonical string, variant string")
-        grams = word_grams(docs, key, size).select(key, F.col("gram").alias("variant"))
-        parts.append(grams.join(table, "variant").groupBy(key, "canonical", "variant").agg(F.count("*").alias("n")))
-    return reduce(DataFrame.unionByName, parts)
+    """(key, canonical, variant, n) of variants found in ``docs(key, words)`` (J13): an equi-join on runs of as many words as a variant has, all sizes in one pass."""
+    pairs = [(canonical, " ".join(v.split()), len(v.split())) for canonical, variants in aliases.items() for v in variants]
+    table = docs.sparkSession.createDataFrame(pairs, "canonical string, variant string, size int")
+    size = F.size("words")
+
+    def runs(n: int, known: list[str]) -> Column:
+        """Runs of ``n`` words that are variants: the others are dropped before they become rows."""
+        at = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.array_join(F.slice("words", i + 1, n), " "))
+        at = F.filter(F.col("words") if n == 1 else at, lambda x: x.isin(known))
+        return F.when(size >= n, F.transform(at, lambda x: F.struct(x.alias("variant"), F.lit(n).alias("size")))).otherwise(F.expr("cast(array() as array<struct<variant:string,size:int>>)"))
+
+    found = F.concat(*[runs(n, [v for _, v, k in pairs if k == n]) for n in sorted({k for _, _, k in pairs})])
+    one = docs.select(key, F.explode(found).alias("x")).groupBy(key, "x.variant", "x.size").agg(F.count("*").alias("n"))
+    return one.join(table, ["variant", "size"]).groupBy(key, "canonical", "variant").agg(F.sum("n").alias("n"))
 
 
 def fast_candidates(lines: DataFrame, stream: DataFrame, most: int = 5, least: int = 3, limit: int | None = None) -> DataFrame:

@@ -38,3 +38,10 @@ def test_missing_grams_group_those_of_the_lines_only(spark):
     for got, want in ((align.missing_grams(lines, stream), [(1, 1), (2, 1)]), (align.top_missing_grams(lines, stream), [("b c d", 1), ("x y z", 1)])):
         assert "LeftSemi" in plan(got)  # before the n-grams of all texts were made distinct
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_alias_hits_read_the_texts_once(spark):
+    docs = spark.createDataFrame([(1, "of the of the the this".split()), (2, ["of"]), (3, None), (4, [])], "doc_id long, words array<string>")
+    got = matching.alias_hits(docs, "doc_id", {"we": ["the", "of the"], "it": ["this"], "us": ["the"]})
+    assert sorted(map(tuple, got.collect())) == [(1, "it", "this", 1), (1, "us", "the", 3), (1, "we", "of the", 2), (1, "we", "the", 3)]
+    assert plan(got).count("Generate") == 1  # before: once a size

@@ -44,12 +44,16 @@ def fast_candidates(lines: DataFrame, stream: DataFrame, most: int = 5, least: i
 
     lines(item_id, words), stream(doc_id, words). With ``limit``, only so many windows of a line and stream stay, by hits, then place.
     """
-    levels = []
-    for k in range(least, most + 1):
-        a, b = word_grams(lines, "item_id", k).withColumnRenamed("pos", "o"), word_grams(stream, "doc_id", k)
-        levels.append(a.join(b, "gram").groupBy("item_id", "doc_id", F.greatest(F.col("pos") - F.col("o"), F.lit(0)).alias("start")).agg(F.count("*").alias("hits")).withColumn("k", F.lit(k)))
+    # Rows are told apart by a number, so that runs of two texts with one key don't join. A run of k words is k - least + 1 shorter ones in a row on one diagonal.
+    a = word_grams(lines.withColumn("_l", F.monotonically_increasing_id()).select(F.struct("item_id", "_l").alias("l"), "words"), "l", least).withColumnRenamed("pos", "o")
+    b = word_grams(stream.withColumn("_s", F.monotonically_increasing_id()).select(F.struct("doc_id", "_s").alias("s"), "words"), "s", least)
+    met = a.join(b, "gram").select("l", "s", "o", "pos", (F.col("pos") - F.col("o")).alias("d"))
+    run = Window.partitionBy("l", "s", "d").orderBy("o")
+    longer = [F.when(F.lead("o", k - least).over(run) == F.col("o") + k - least, F.lit(k)) for k in range(least + 1, most + 1)]
+    met = met.withColumn("_ks", F.array_compact(F.array(F.lit(least), *longer))).withColumn("k", F.explode("_ks"))
+    hits = met.groupBy(F.col("l.item_id").alias("item_id"), F.col("s.doc_id").alias("doc_id"), "k", F.greatest("d", F.lit(0)).alias("start")).agg(F.count("*").alias("hits"))
     own = Window.partitionBy("item_id", "doc_id")
-    w = reduce(DataFrame.unionByName, levels).withColumn("_top", F.max("k").over(own)).where("k = _top")
+    w = hits.withColumn("_top", F.max("k").over(own)).where("k = _top")
     w = w.select("item_id", "doc_id", "start", "k", "hits")
     return w if limit is None else w.withColumn("_r", F.row_number().over(own.orderBy(F.desc("hits"), "start"))).where(F.col("_r") <= limit).drop("_r")
 

@@ -40,6 +40,26 @@ def test_missing_grams_group_those_of_the_lines_only(spark):
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_fast_candidates_equal_runs_of_each_length_in_one_pass(spark):
+    lines = [(1, "a a a a a b".split()), (2, "x y z".split()), (2, "p q r s".split()), (3, None), (4, "k l m n o".split())]
+    texts = [(1, "b a a a a a a b x y z".split()), (1, "x y z p q r s".split()), (2, "k l m n x k l m n o".split()), (3, None)]
+    want = {}
+    for k in (3, 4, 5):
+        for item, ws in lines:
+            for doc, ts in texts:
+                for o in range(len(ws or []) - k + 1):
+                    for p in range(len(ts or []) - k + 1):
+                        if ws[o : o + k] == ts[p : p + k]:
+                            key = (item, doc, max(p - o, 0), k)
+                            want[key] = want.get(key, 0) + 1
+    top = {}
+    for item, doc, _, k in want:
+        top[item, doc] = max(top.get((item, doc), 0), k)
+    got = matching.fast_candidates(spark.createDataFrame(lines, "item_id long, words array<string>"), spark.createDataFrame(texts, "doc_id long, words array<string>"))
+    assert sorted(tuple(r[c] for c in ("item_id", "doc_id", "start", "k", "hits")) for r in got.collect()) == sorted((*key, n) for key, n in want.items() if top[key[:2]] == key[3])
+    assert plan(got).count("Generate posexplode") == 2  # before: once a length on both sides
+
+
 def test_alias_hits_read_the_texts_once(spark):
     docs = spark.createDataFrame([(1, "of the of the the this".split()), (2, ["of"]), (3, None), (4, [])], "doc_id long, words array<string>")
     got = matching.alias_hits(docs, "doc_id", {"we": ["the", "of the"], "it": ["this"], "us": ["the"]})

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeweave.functions import text as tx
-from takeweave.operators import scopes
+from takeweave.operators import segment
 
 # Openers and closers of the splitter, marks that end a line and marks behind which a long one may be cut.
 PAIRS = dict(zip("（〔［【《〈「『“‘([{", "）〕］】》〉」』”’)]}", strict=True))
@@ -24,29 +25,46 @@ def _class(chars: str) -> str:
     return "[" + "".join("\\" + c if c in "\\[]^-&" else c for c in dict.fromkeys(chars)) + "]"
 
 
+def _layers(t: str, hard: str, kind: dict[str, str], marks: re.Pattern) -> Iterator[str]:
+    """The layers of one text: a stack of the closers that it waits for, from mark to mark; the cut behind a hard mark waits for the closers behind it."""
+    closers, stack, lo, at, ended = frozenset(kind.values()), [], 0, 0, False
+    for m in marks.finditer(t):
+        i, c = m.start(), m.group()
+        if ended and (i > at or c not in closers):
+            yield t[lo:at]
+            lo, ended = at, False
+        if stack and stack[-1] == c:
+            stack.pop()
+        elif c in kind:
+            stack.append(kind[c])
+        if c not in closers:
+            ended = c in hard and not stack
+        at = i + 1
+    if ended and at < len(t):
+        yield t[lo:at]
+        lo = at
+    yield t[lo:]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.trim(F.regexp_replace("text", "\\s+", " ")).alias("text"))
+
+
+def _layer_walk(hard: str, pairs: dict[str, str]) -> Callable[[str], Iterator[str]]:
+    kind = pairs | {STRAIGHT: STRAIGHT}
+    marks = re.compile(_class(hard + "".join(kind) + "".join(kind.values())))
+    return lambda t: (x for x in (y.strip(" ") for y in _layers(t, hard, kind, marks)) if x)
+
+
 def hard_layers(docs: DataFrame, hard: str = HARD, pairs: dict[str, str] = PAIRS) -> DataFrame:
     """(doc_id, layer_no, text): texts cut behind hard marks that lie in no open bracket or quote.
 
     Closers right behind such a mark stay with it. Each opener waits for its own closer; other closers count for nothing; the
     straight double quote opens and closes in turn, the apostrophe is a letter. White space is collapsed, blank layers are dropped;
-    a null text has none. Rows that repeat a doc_id with different texts are not told apart: give each row a key of its own.
+    a null text has none. Each text is walked where it lies: no row for each mark, nothing shuffled.
     """
-    kind = pairs | {STRAIGHT: STRAIGHT}
-    closers = "".join(dict.fromkeys([*pairs.values(), STRAIGHT]))
-    marks = hard + "".join(kind) + closers
-    pieces = F.filter(F.split(F.trim(F.regexp_replace("text", "\\s+", " ")), f"(?<={_class(marks)})"), lambda x: x != "")
-    p = docs.select("doc_id", F.posexplode(pieces).alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), "x", F.right("x", F.lit(1)).alias("ch"))
-    at = scopes.depths(p.where(F.contains(F.lit("".join(kind) + closers), F.col("ch"))), "doc_id", {"depth": kind})
-    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    p = p.join(at, ["doc_id", "pos"], "left").withColumn("depth", F.coalesce(F.last("depth", ignorenulls=True).over(order), F.lit(0)))
-    alone = (F.length("x") == 1) & F.contains(F.lit(closers), F.col("ch"))
-    ends = F.contains(F.lit(hard), F.col("ch")) & (F.col("depth") == 0)
-    p = p.withColumn("alone", alone).withColumn("ended", F.coalesce(F.last(F.when(~alone, ends), ignorenulls=True).over(order), F.lit(False)))
-    fresh = F.coalesce(F.lag("ended").over(Window.partitionBy("doc_id").orderBy("pos")), F.lit(False)) & ~F.col("alone")
-    p = p.withColumn("fresh", fresh.cast("int")).withColumn("layer", F.sum("fresh").over(order))
-    g = p.groupBy("doc_id", "layer").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("xs"))
-    g = g.select("doc_id", "layer", F.trim(F.array_join(F.transform("xs", lambda x: x["x"]), "")).alias("text")).where("text <> ''")
-    return g.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("layer")).cast("long").alias("layer_no"), "text")
+    p = segment.walked(_texts(docs), _layer_walk(hard, pairs)).select("doc_id", F.posexplode("xs").alias("p", "text"))
+    return p.select("doc_id", (F.col("p") + 1).cast("long").alias("layer_no"), "text")
 
 
 def length_cuts(text: Column, soft: str = SOFT, lengths: dict[str, int] = LENGTHS) -> Column:
@@ -56,16 +74,26 @@ def length_cuts(text: Column, soft: str = SOFT, lengths: dict[str, int] = LENGTH
     the next one before ``hard``, else at ``hard``. A soft mark that would begin the next piece stays behind; outer spaces go, blank pieces
     too. Each next cut depends on the last, so this is a chain of pointers over one text: linear in its marks, as an Arrow batch.
     """
+    cuts = _length_walk(soft, lengths)
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else list(cuts(t)) for t in texts])
+
+    return cut(text)
+
+
+def _length_walk(soft: str, lengths: dict[str, int]) -> Callable[[str], Iterator[str]]:
     least, most, hard = lengths["least"], lengths["most"], lengths["hard"]
     if not 0 < least <= most <= hard:
         raise ValueError("least, most and hard must rise")
     mark = re.compile(f"[{re.escape(soft)} ]")
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else list(_chain(t.strip(" "), [m.end() for m in mark.finditer(t.strip(" "))], soft, least, most, hard)) for t in texts])
+    def cuts(t: str) -> Iterator[str]:
+        t = t.strip(" ")
+        return iter([t] if t else []) if len(t) <= most else _chain(t, [m.end() for m in mark.finditer(t)], soft, least, most, hard)
 
-    return cut(text)
+    return cuts
 
 
 def _chain(t: str, ends: list[int], soft: str, least: int, most: int, hard: int):
@@ -119,22 +147,50 @@ def short_joined(lines: DataFrame, least: int = LENGTHS["least"], marks: str = H
     return g.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("_island", "_p")).cast("long").alias("line_no"), "text")
 
 
+def _joined(lines: Iterable[str], least: int, marks: str, closers: str) -> Iterator[str]:
+    """Lines of one text joined as :func:`short_joined` does it."""
+    whole: list[list[str]] = []
+    for x in lines:
+        if whole and not x.strip(closers):
+            whole[-1].append(x)
+        else:
+            whole.append([x])
+    held = None
+    for x in map("".join, whole):
+        is_open = len(x) < least and x[-1] not in marks
+        if held is not None and is_open:
+            x, held = held + x, None
+        elif held is not None:
+            yield held
+            held = None
+        if is_open and len(x) < least:
+            held = x
+        else:
+            yield x
+    if held is not None:
+        yield held
+
+
 def rule_lines(docs: DataFrame, lengths: dict[str, int] = LENGTHS, hard: str = HARD, soft: str = SOFT) -> DataFrame:
     """(doc_id, line_no, text): the whole splitter (G05): hard layers, length cuts, short lines joined, and at last a cut behind every hard mark.
 
-    The last step cuts inside brackets too: no line goes on behind a hard mark. Null and blank texts have no line.
+    The last step cuts inside brackets too: no line goes on behind a hard mark. Null and blank texts have no line. All steps follow
+    each other on one text where it lies.
     """
-    layers = hard_layers(docs, hard).select("doc_id", "layer_no", F.posexplode(length_cuts(F.col("text"), soft, lengths)).alias("p", "text"))
-    joined = short_joined(layers.select("doc_id", F.struct("layer_no", "p").alias("pos"), "text"), lengths["least"], hard + soft)
-    cut = F.regexp_extract_all("text", F.lit(f"[^{_class(hard)[1:-1]}]*{_class(hard)}|[^{_class(hard)[1:-1]}]+"), F.lit(0))
-    out = joined.select("doc_id", "line_no", F.posexplode(cut).alias("p", "t")).select("doc_id", "line_no", "p", F.trim("t").alias("text")).where("text <> ''")
-    return out.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "p")).cast("long").alias("line_no"), "text")
+    layers, cuts = _layer_walk(hard, PAIRS), _length_walk(soft, lengths)
+    closers = "".join(dict.fromkeys([*PAIRS.values(), STRAIGHT]))
+    ends = re.compile(f"[^{_class(hard)[1:-1]}]*{_class(hard)}|[^{_class(hard)[1:-1]}]+")
+
+    def lines(t: str) -> Iterator[str]:
+        for line in _joined((x for layer in layers(t) for x in cuts(layer)), lengths["least"], hard + soft, closers):
+            yield from (x for x in (y.strip(" ") for y in ends.findall(line)) if x)
+
+    p = segment.walked(_texts(docs), lines).select("doc_id", F.posexplode("xs").alias("p", "text"))
+    return p.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), "text")
 
 
 def alignment_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sent_no, text, folded, tokens): sentences for alignment with the text to show beside the folded one (G12); those without a letter or digit go."""
-    from takeweave.operators import segment
-
     s = segment.sentences(docs).select("doc_id", "sent_no", "text", tx.alignment_form(F.col("text")).alias("folded")).where("folded <> ''")
     s = s.withColumn("tokens", tx.match_tokens(F.col("folded")))
     return s.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_no")).cast("long").alias("sent_no"), "text", "folded", "tokens")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +16,19 @@ OPENERS, CLOSERS = "([{（【", ")]}）】"
 ROWS = 256
 
 
+def walked(docs: DataFrame, pieces: Callable[[str], Iterable[str]]) -> DataFrame:
+    """(doc_id, xs): the pieces of each text of docs(doc_id, text), found where the text lies; null for a null text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                cut = pa.array([None if t is None else list(pieces(t)) for t in some.column("text").to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), cut], names=["doc_id", "xs"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, xs array<string>")
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sent_no, text) by hard stops, trimmed, blanks dropped."""
     p = docs.select("doc_id", F.posexplode(tx.hard_stops(F.col("text"))).alias("p", "t")).select("doc_id", "p", F.trim(F.regexp_replace("t", "\\s+", " ")).alias("text")).where("text <> ''")
@@ -49,15 +62,7 @@ def depth_split(docs: DataFrame, marks: str = ",;，；。") -> DataFrame:
         if at < len(t):
             yield t[at:]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
-                cut = pa.array([None if t is None else list(pieces(t)) for t in some.column("text").to_pylist()], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), cut], names=["doc_id", "xs"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, xs array<string>")
-    return cut.select("doc_id", F.posexplode("xs").alias("p", "text")).select("doc_id", F.col("p").cast("long").alias("piece_no"), "text")
+    return walked(docs, pieces).select("doc_id", F.posexplode("xs").alias("p", "text")).select("doc_id", F.col("p").cast("long").alias("piece_no"), "text")
 
 
 def merged_wraps(lines: DataFrame) -> DataFrame:

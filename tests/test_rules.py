@@ -1,6 +1,7 @@
 """Near keys, stacks, the rule splitter: fixed examples, plain-Python twins, nulls, ties and long rows."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -136,3 +137,22 @@ def test_rule_lines_keep_every_character(spark):
     assert docs.join(joined, "doc_id").where(solid("text") != solid("t")).isEmpty()
     assert lines.where(F.col("text").rlike("[。！？!?；;….].")).isEmpty()
     assert lines.where("length(text) > 81").isEmpty()
+
+
+def test_rule_lines_walk_texts_where_they_lie(spark):
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("ab  c，.。！)（”“\"x:") for _ in range(rng.choice([3, 40, 300]))) for _ in range(120)] + ["))" * 3000, "。" * 500, None, " ", "”", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    lengths = {"least": 5, "most": 12, "hard": 16}
+    got = rules.rule_lines(docs, lengths)
+    assert "Exchange hash" not in got._jdf.queryExecution().executedPlan().toString()  # before: a row for each mark, shuffled and sorted
+    layers = rules.hard_layers(docs).select("doc_id", "layer_no", F.posexplode(rules.length_cuts(F.col("text"), lengths=lengths)).alias("p", "text"))
+    joined = rules.short_joined(layers.select("doc_id", F.struct("layer_no", "p").alias("pos"), "text"), 5)
+    want = {}
+    for r in joined.orderBy("doc_id", "line_no").collect():
+        want.setdefault(r["doc_id"], []).extend(x.strip(" ") for x in re.findall("[^。！？!?；;….]*[。！？!?；;….]|[^。！？!?；;….]+", r["text"]) if x.strip(" "))
+    lines = {}
+    for r in got.orderBy("doc_id", "line_no").collect():
+        lines.setdefault(r["doc_id"], []).append(r["text"])
+        assert r["line_no"] == len(lines[r["doc_id"]])
+    assert lines == want

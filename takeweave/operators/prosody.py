@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeweave.functions import text as tx
-from takeweave.operators import scopes
+from takeweave.operators import scopes, segment
 
 # Marks behind which a line may break, words that begin a clause, and marks that enclose text.
 SOFT = "，,、：:—"
@@ -32,37 +35,59 @@ def clause_split(sents: DataFrame, phrases: tuple[str, ...] = CONNECTIVES, marks
 
     A cut is made where at least ``least`` characters have passed since the last one. Where ``most`` are reached, the cut is behind the
     last phrase or mark that came too early, else one character before. Clauses are trimmed, blank ones dropped; a null or blank text has
-    none. ``least`` must be below ``most``. The fold runs over one sentence's pieces.
+    none. ``least`` must be below ``most``. Each sentence is walked where it lies, in time linear in its length.
     """
     if not 0 < least < most:
         raise ValueError("least must be positive and below most")
-    one = ("(" + "|".join(f"\\Q{p}\\E" for p in phrases) + ")$") if phrases else "(?!)"
-    piece = F.filter(F.split("text", _behind(marks, phrases)), lambda x: x != "")
-    sized = F.transform(piece, lambda x: F.struct(F.length(x).alias("n"), F.when(x.rlike(one), F.length(F.regexp_extract(x, one, 0))).when(x.rlike(_class(marks) + "$"), 1).otherwise(0).alias("t")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("last"), F.lit(0).alias("held"), F.expr("cast(array() as array<int>)").alias("cuts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + x["n"]
-        begin = end - x["t"]
-        over = acc["last"] + most - 1 < begin
-        held = over & (acc["held"] > acc["last"])
-        base = F.when(held, acc["held"]).otherwise(acc["last"])
-        fills = F.when(over, F.floor((begin - base - 1) / (most - 1)).cast("int")).otherwise(0)
-        last = base + fills * (most - 1)
-        filled = F.when(fills > 0, F.transform(F.sequence(F.lit(1), fills), lambda i: base + i * (most - 1))).otherwise(F.expr("cast(array() as array<int>)"))
-        cut = (x["t"] > 0) & (end - last >= least)
-        pending = F.when(cut, 0).when(x["t"] > 0, end).when(over, 0).otherwise(acc["held"])
-        none = F.expr("cast(array() as array<int>)")
-        cuts = F.concat(acc["cuts"], F.when(held, F.array(acc["held"])).otherwise(none), filled, F.when(cut, F.array(end)).otherwise(none))
-        return F.struct(end.alias("at"), F.when(cut, end).otherwise(last).alias("last"), pending.alias("held"), cuts.alias("cuts"))
-
-    s = sents.select("doc_id", "sent_no", "text", F.aggregate(sized, start, step)["cuts"].alias("cuts"))
-    ends = F.array_distinct(F.concat("cuts", F.array(F.length("text"))))
-    s = s.select("doc_id", "sent_no", "text", ends.alias("ends")).select("doc_id", "sent_no", "text", "ends", F.posexplode("ends").alias("p", "hi"))
-    lo = F.coalesce(F.get("ends", F.col("p") - 1), F.lit(0))
-    s = s.select("doc_id", "sent_no", "p", F.trim(F.substring("text", lo + 1, F.col("hi") - lo)).alias("text")).where("text <> ''")
-    order = Window.partitionBy("doc_id", "sent_no").orderBy("p")
-    return s.select("doc_id", "sent_no", F.row_number().over(order).cast("long").alias("clause_no"), "text")
+    mark = re.compile(_class(marks)) if marks else None
+
+    def places(t: str) -> Iterator[tuple[int, int]]:
+        """(end, length) of the marks and phrases; a phrase that an earlier end cuts counts for nothing."""
+        found = {m.end(): 1 for m in mark.finditer(t)} if mark else {}
+        behind: dict[int, int] = {}
+        for p in phrases:
+            i = t.find(p)
+            while i >= 0:
+                behind[i + len(p)] = behind.get(i + len(p), 0) | 1 << len(p)
+                i = t.find(p, i + 1)
+        at = 0
+        for e in sorted(found.keys() | behind.keys()):
+            sizes = behind.get(e, 0) & ((1 << (e - at + 1)) - 1)
+            yield e, sizes.bit_length() - 1 if sizes else found.get(e, 0)
+            at = e
+        if at < len(t):
+            yield len(t), 0
+
+    def cuts(t: str) -> Iterator[int]:
+        last = held = 0
+        for end, size in places(t):
+            begin = end - size
+            over = last + most - 1 < begin
+            if over:
+                if held > last:
+                    yield held
+                    last = held
+                while last + most - 1 < begin:
+                    last += most - 1
+                    yield last
+            if size and end - last >= least:
+                yield end
+                last, held = end, 0
+            elif size:
+                held = end
+            elif over:
+                held = 0
+        yield len(t)
+
+    def clauses(t: str) -> Iterator[str]:
+        lo = 0
+        for hi in cuts(t):
+            x, lo = t[lo:hi].strip(" "), hi
+            if x:
+                yield x
+
+    s = segment.walked(sents, clauses, ("doc_id", "sent_no")).select("doc_id", "sent_no", F.posexplode("xs").alias("p", "text"))
+    return s.select("doc_id", "sent_no", (F.col("p") + 1).cast("long").alias("clause_no"), "text")
 
 
 def break_candidates(words: DataFrame, hard: str = tx.STOPS, soft: str = SOFT, cues: tuple[str, ...] = (), pause_ms: int = 160, weights: dict[str, float] = WEIGHTS) -> DataFrame:

@@ -191,6 +191,6 @@ def rule_lines(docs: DataFrame, lengths: dict[str, int] = LENGTHS, hard: str = H
 
 def alignment_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sent_no, text, folded, tokens): sentences for alignment with the text to show beside the folded one (G12); those without a letter or digit go."""
-    s = segment.sentences(docs).select("doc_id", "sent_no", "text", tx.alignment_form(F.col("text")).alias("folded")).where("folded <> ''")
-    s = s.withColumn("tokens", tx.match_tokens(F.col("folded")))
-    return s.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_no")).cast("long").alias("sent_no"), "text", "folded", "tokens")
+    both = F.transform(segment.sentence_array(F.col("text")), lambda x: F.struct(x.alias("text"), tx.alignment_form(x).alias("folded")))
+    s = docs.select("doc_id", F.posexplode(F.filter(both, lambda x: x["folded"] != "")).alias("p", "x"))
+    return s.select("doc_id", (F.col("p") + 1).cast("long").alias("sent_no"), "x.text", "x.folded", tx.match_tokens(F.col("x.folded")).alias("tokens"))

@@ -16,23 +16,27 @@ OPENERS, CLOSERS = "([{（【", ")]}）】"
 ROWS = 256
 
 
-def walked(docs: DataFrame, pieces: Callable[[str], Iterable[str]]) -> DataFrame:
-    """(doc_id, xs): the pieces of each text of docs(doc_id, text), found where the text lies; null for a null text."""
+def walked(docs: DataFrame, pieces: Callable[[str], Iterable[str]], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, xs): the pieces of each text of docs(keys, text), found where the text lies; null for a null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
                 cut = pa.array([None if t is None else list(pieces(t)) for t in some.column("text").to_pylist()], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), cut], names=["doc_id", "xs"])
+                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in keys), cut], names=[*keys, "xs"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, xs array<string>")
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, xs array<string>")
+
+
+def sentence_array(c: Column) -> Column:
+    """Sentences of a text by hard stops, trimmed, blanks dropped. White space ends no piece, so it may be collapsed first."""
+    return F.filter(F.transform(tx.hard_stops(F.regexp_replace(c, "\\s+", " ")), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, sent_no, text) by hard stops, trimmed, blanks dropped."""
-    p = docs.select("doc_id", F.posexplode(tx.hard_stops(F.col("text"))).alias("p", "t")).select("doc_id", "p", F.trim(F.regexp_replace("t", "\\s+", " ")).alias("text")).where("text <> ''")
-    return p.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("p")).cast("long").alias("sent_no"), "text")
+    """(doc_id, sent_no, text) by hard stops, trimmed, blanks dropped (G01, G12). Numbered in their own text: no sentence is shuffled."""
+    return docs.select("doc_id", F.posexplode(sentence_array(F.col("text"))).alias("p", "text")).select("doc_id", (F.col("p") + 1).cast("long").alias("sent_no"), "text")
 
 
 def packed_pieces(docs: DataFrame, soft: str = ",，、;；", max_chars: int = 200) -> DataFrame:

@@ -1,6 +1,6 @@
 """Steps whose work must grow with the input alone: what is grouped, written or compared, on small cases."""
 
-from takeweave.operators import align, matching
+from takeweave.operators import align, matching, prosody, rules, segment
 
 
 def plan(df):
@@ -65,3 +65,15 @@ def test_alias_hits_read_the_texts_once(spark):
     got = matching.alias_hits(docs, "doc_id", {"we": ["the", "of the"], "it": ["this"], "us": ["the"]})
     assert sorted(map(tuple, got.collect())) == [(1, "it", "this", 1), (1, "us", "the", 3), (1, "we", "of the", 2), (1, "we", "the", 3)]
     assert plan(got).count("Generate") == 1  # before: once a size
+
+
+def test_sentences_and_clauses_are_numbered_where_their_text_lies(spark):
+    docs = spark.createDataFrame([(1, "Go,  e.g. 3.5 km\tnorth. 7, and 8!? ”x"), (2, None), (3, " ."), (4, "12. 12")], "doc_id long, text string").repartition(2)
+    s = segment.sentences(docs)
+    clauses = prosody.clause_split(s, (" and",), least=3, most=9)
+    folded = rules.alignment_sentences(docs)
+    for got in (s, clauses, folded, segment.protected_sentences(docs)):
+        assert "Window" not in plan(got)  # before: each sentence was shuffled to be numbered
+    assert sorted(map(tuple, s.collect())) == [(1, 1, "Go, e."), (1, 2, "g."), (1, 3, "3."), (1, 4, "5 km north."), (1, 5, "7, and 8!?"), (1, 6, "”x"), (3, 1, "."), (4, 1, "12."), (4, 2, "12")]
+    assert [r["text"] for r in clauses.where("sent_no = 5").orderBy("clause_no").collect()] == ["7, and", "8!?"]
+    assert [tuple(r)[:2] for r in folded.where("doc_id = 4").orderBy("sent_no").collect()] == [(4, 1), (4, 2)]

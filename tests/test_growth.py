@@ -1,6 +1,7 @@
 """Steps whose work must grow with the input alone: what is grouped, written or compared, on small cases."""
 
-from takeweave.operators import align, matching, prosody, rules, segment
+from takeweave.operators import align, matching, ownmatch, prosody, rules, segment
+from takeweave.session import joined_in_place
 
 
 def plan(df):
@@ -77,3 +78,17 @@ def test_sentences_and_clauses_are_numbered_where_their_text_lies(spark):
     assert sorted(map(tuple, s.collect())) == [(1, 1, "Go, e."), (1, 2, "g."), (1, 3, "3."), (1, 4, "5 km north."), (1, 5, "7, and 8!?"), (1, 6, "”x"), (3, 1, "."), (4, 1, "12."), (4, 2, "12")]
     assert [r["text"] for r in clauses.where("sent_no = 5").orderBy("clause_no").collect()] == ["7, and", "8!?"]
     assert [tuple(r)[:2] for r in folded.where("doc_id = 4").orderBy("sent_no").collect()] == [(4, 1), (4, 2)]
+
+
+def test_runs_of_words_meet_where_their_recording_lies(spark):
+    lines = spark.createDataFrame([(1, 1, "a b c d".split()), (1, 2, []), (2, 1, ["", "x", "y", ""]), (3, 1, None)], "rec_id long, no long, words array<string>")
+    dealt = ownmatch._by_recording(lines, "words")
+    assert sorted(dealt.collect(), key=lambda r: r[:2]) == sorted(lines.collect(), key=lambda r: r[:2])  # words travel as texts and come back whole
+    blocks = spark.createDataFrame([(1, 0, 5, "z a b c d".split()), (2, 0, 3, ["x", "y", ""])], "rec_id long, b long, own int, ws array<string>")
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    with joined_in_place(spark):
+        got = ownmatch.own_windows(dealt, ownmatch._by_recording(blocks, "ws"), 3)
+        assert "ENSURE_REQUIREMENTS" not in got._jdf.queryExecution().executedPlan().toString()  # before: the runs of all words were shuffled
+    assert spark.conf.get(name) == before
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1, 2), (2, 1, 0, 1)]

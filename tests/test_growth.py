@@ -1,5 +1,9 @@
 """Steps whose work must grow with the input alone: what is grouped, written or compared, on small cases."""
 
+from pyspark.sql import functions as F
+
+from takeweave.functions import counted as ct
+from takeweave.functions import text as tx
 from takeweave.operators import align, matching, ownmatch, prosody, rules, segment
 from takeweave.session import joined_in_place
 
@@ -92,3 +96,15 @@ def test_runs_of_words_meet_where_their_recording_lies(spark):
         assert "ENSURE_REQUIREMENTS" not in got._jdf.queryExecution().executedPlan().toString()  # before: the runs of all words were shuffled
     assert spark.conf.get(name) == before
     assert sorted(map(tuple, got.collect())) == [(1, 1, 1, 2), (2, 1, 0, 1)]
+
+
+def test_counted_rules_and_export_form_make_no_column_passes(spark):
+    texts = ["".join(chr(c) for c in range(i, i + 512) if not 0xD800 <= c < 0xE000) for i in range(0, 0x110000, 512)]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string")
+    rules = [ct.removed_controls(), ct.mapped_chars({"|": "/", "&": " and "}), ct.styled_marks("en"), ct.collapsed_lines()]
+    for got in (ct.counted(docs, rules), docs.select(ct.export_text(F.col("text"), {"|": "/"}, "*#"))):
+        assert "regexp" not in plan(got) and "translate" not in plan(got)  # before one pass of each for each rule and count
+    alone = ct.counted(docs, [ct.removed_controls()]).select("doc_id", "out")
+    assert alone.exceptAll(docs.select("doc_id", tx.strip_controls(F.col("text")).alias("out"))).isEmpty()
+    blanks = ct.counted(spark.createDataFrame([(1, " a \t b\r\n \n\rc\f\n d ")], "doc_id long, text string"), [ct.collapsed_lines()]).first()
+    assert (blanks["out"], blanks["space_collapses"]) == ("a b\n\n\nc\nd", 4)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from takeweave.functions import foreign
 from takeweave.functions import text as tx
 from takeweave.operators import intervals as iv
 from takeweave.operators import segment
@@ -56,7 +57,7 @@ _MATTER = "(?i)licensed|copyright|all rights reserved"
 QUERIES = {
     "f10_reflowed": lambda s, d: segment.reflowed(doc_lines(s, d)),
     "f11_matter": lambda s, d: segment.matter(doc_lines(s, d), _MATTER).where("removed").select("doc_id", "n"),
-    "f12_foreign": _map("brackets", lambda c: tx.drop_ascii_tail(tx.drop_foreign(c))),
+    "f12_foreign": _map("brackets", lambda c: foreign.drop_foreign(c, tail=True)),
     "f14_compatibility": lambda s, d: _docs(s, d, "signs").select("doc_id", tx.compatibility(F.col("text")).alias("out"), tx.unmapped(F.col("text")).alias("unmapped")),
     "f15_mixed_width": _map("signs", tx.mixed_width),
     "f17_units": _map("units", tx.unit_form),

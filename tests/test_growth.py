@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from takeweave.functions import counted as ct
+from takeweave.functions import foreign
 from takeweave.functions import text as tx
 from takeweave.operators import align, matching, ownmatch, prosody, rules, segment
 from takeweave.session import joined_in_place
@@ -108,3 +109,12 @@ def test_counted_rules_and_export_form_make_no_column_passes(spark):
     assert alone.exceptAll(docs.select("doc_id", tx.strip_controls(F.col("text")).alias("out"))).isEmpty()
     blanks = ct.counted(spark.createDataFrame([(1, " a \t b\r\n \n\rc\f\n d ")], "doc_id long, text string"), [ct.collapsed_lines()]).first()
     assert (blanks["out"], blanks["space_collapses"]) == ("a b\n\n\nc\nd", 4)
+
+
+def test_foreign_parts_are_found_in_bytes(spark):
+    given = ["a (b（c）d) e", "中(ab)文（x y z中）", "(((x)))（", "中文 abc", "中文  ", "中abc\n", ")(", None, "", "\U00020000 ab", "(中a)（中文a）x(中)", "é(é)", "。 ~"]
+    want = ["a (b（c）", "中文（x y z中）", "()（", "中文", "中文  ", "中abc\n", ")(", None, "", "\U00020000 ab", "（中文a）x(中", "é(é)", "。"]
+    df = spark.createDataFrame(list(enumerate(given)), "i long, t string").coalesce(1)
+    got = df.orderBy("i").select(foreign.drop_foreign(F.col("t"), tail=True).alias("o"))
+    assert "regexp" not in plan(got)  # before two regular expressions ran for each part
+    assert [r.o for r in got.collect()] == want

@@ -118,3 +118,16 @@ def test_foreign_parts_are_found_in_bytes(spark):
     got = df.orderBy("i").select(foreign.drop_foreign(F.col("t"), tail=True).alias("o"))
     assert "regexp" not in plan(got)  # before two regular expressions ran for each part
     assert [r.o for r in got.collect()] == want
+
+
+def test_anchor_windows_make_runs_of_lines_once(spark):
+    lines = spark.createDataFrame([(1, 1, "aaaa"), (1, 2, "Need, le!"), (2, 1, "x")], "rec_id long, no int, text string")
+    words = spark.createDataFrame([(1, i, f"w{i}q") for i in range(3000)] + [(1, 3000, "needle"), (1, 3001, "aaaaaaaaa"), (2, 0, "yxz"), (3, 0, "needle")], "rec_id long, idx int, text string")
+    asked = spark.createDataFrame([(1, 6, "needle"), (1, 4, "aaaa"), (2, 1, "x")], "rec_id long, q int, gram string")
+    runs = ownmatch._text_grams(words, asked, 6)
+    assert {(r.rec_id, r.gram) for r in runs.collect()} >= {(1, "needle"), (1, "aaaa"), (2, "x")}
+    assert runs.count() < 200  # before each of the 30,000 runs of both sizes was a row
+    got = ownmatch.anchor_windows(lines, words)
+    assert "Union" not in plan(got)  # before both sides of a union made all runs
+    size = sum(len(f"w{i}q") for i in range(3000)) + 15
+    assert sorted(map(tuple, got.collect())) == [(1, 1, size - 12, size - 4, 2), (1, 1, size - 8, size, 2), (1, 2, size - 21, size - 9, 1), (2, 1, 0, 2, 1)]

@@ -1,8 +1,10 @@
-"""Parts of a text that are near to a line, with their edit distance: Myers' bit vectors over the rows of an Arrow batch, exact for any number of edits."""
+"""Parts of a text that are near to a line, with their edit distance: Myers' bit vectors, exact for any number of edits, over the rows of an Arrow batch or, for the latest
+window, over all lines of a row in one number."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -115,3 +117,84 @@ def near_windows(line: Column, words: Column, own: Column, most: Column) -> Colu
         return pd.Series(out)
 
     return run(line, words, own, most)
+
+
+def _bits(lines: list[str]) -> tuple[dict[str, int], int, list[int]]:
+    """The places of each character as bits of one number, all places, and the first one of each line; a bit behind each line stays free."""
+    sizes = np.array([len(x) for x in lines], np.int64)
+    ends = np.cumsum(sizes + 1)
+    codes = np.frombuffer(("\0".join(lines) + "\0").encode("utf-32-le"), np.uint32).copy()
+    codes[ends - 1] = 0x110000
+    of = {c: int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes).tolist()}
+    full = ((1 << int(ends[-1])) - 1) ^ of.pop(0x110000)
+    return {chr(c): x for c, x in of.items()}, full, (ends - 1 - sizes).tolist()
+
+
+def _read(chars: Iterable[str], same: dict[str, int], full: int, fill: int, up: int, down: int) -> tuple[int, int]:
+    """Bits of the rows at which the distance goes up and down, behind ``chars``. ``fill`` is ``full``, or has the bit before a line too: then each character costs an edit before its beginning."""
+    get = same.get
+    for c in chars:
+        x = get(c, 0) | down
+        keeps = (((up + (x & up)) ^ up) | x) & full  # a carry ends in the free bit
+        x = (down | (fill ^ (up | keeps))) << 1
+        up, down = (((up & keeps) << 1) | ~(x | keeps)) & full, x & keeps
+    return up, down
+
+
+def _latest(lines: list[str], sizes: list[int], words: list[str], low: int, own: int, have: int, ratio: float) -> list[list[int]]:
+    """:func:`latest_windows` of one row.
+
+    Lines and text are read from their ends. Where a window begins, the edits of the line against the nearest part that begins there are known for
+    all lines; only a window where they are few enough is compared itself, and a line whose window is found is read no further.
+    """
+    text, at = " ".join(words), np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
+    stop = lambda s, i: max(at[min(s + sizes[i], len(words))] - 1, at[s])
+    asked = []
+    for i, size in enumerate(sizes):
+        last, by = max(have - size, 0), size // 2
+        top = last - max(0, -(-(last - low - own + 1) // by)) * by
+        asked += [(s - low, i) for s in range(top, low - 1, -by)]
+    asked.sort(reverse=True)
+    here, out, open_ = max((stop(s, i) for s, i in asked), default=0), [], dict.fromkeys(range(len(lines)))
+    same, full, first = _bits([x[::-1] for x in lines])
+    first, used, gone, up, down = dict(enumerate(first)), full.bit_length(), 0, full, 0
+    field = lambda x, i: (x >> first[i]) & ((1 << len(lines[i])) - 1)
+    for s, of in groupby(asked, lambda x: x[0]):
+        up, down = _read(reversed(text[at[s] : here]), same, full, full, up, down)
+        here = at[s]
+        for _, i in of:
+            if i not in open_:
+                continue
+            end = stop(s, i)
+            most = int(max(len(lines[i]), end - here) * ratio)
+            if abs(len(lines[i]) - end + here) > most or field(up, i).bit_count() - field(down, i).bit_count() > most:
+                continue
+            all_ = field(full, i) << 1
+            u, d = _read(reversed(text[here:end]), {c: field(x, i) << 1 for c, x in same.items()}, all_, all_ | 1, all_, 0)
+            edits = end - here + u.bit_count() - d.bit_count()
+            if edits <= most:
+                out.append([i, low + s, edits])
+                del open_[i]
+                gone += len(lines[i]) + 1
+        if not open_:
+            break
+        if 4 * gone > used:  # lines that are found take no more time
+            rest = list(open_)
+            same, full, at_ = _bits([lines[i][::-1] for i in rest])
+            up, down = (sum(field(x, i) << a for i, a in zip(rest, at_, strict=True)) for x in (up, down))
+            first, used, gone = dict(zip(rest, at_, strict=True)), full.bit_length(), 0
+    return out
+
+
+def latest_windows(lines: Column, sizes: Column, words: Column, low: Column, own: int, have: Column, ratio: float) -> Column:
+    """For each of ``lines`` the latest window of ``words``, joined by ``GAP``, that is near enough, as arrays: line, start, edits.
+
+    Windows of a line have as many words as ``sizes`` tells, 2 at least, and lie half of that apart, the last one at the end of the ``have`` words of the whole text, of which
+    ``words`` begin at ``low``. Those count that begin in the first ``own`` words. Near are at most ``ratio`` edits for each character of the longer text, words being a space apart.
+    """
+
+    @F.pandas_udf("array<array<int>>")
+    def run(lines: pd.Series, sizes: pd.Series, words: pd.Series, low: pd.Series, have: pd.Series) -> pd.Series:
+        return pd.Series([_latest(list(a), [int(x) for x in z], t.split(GAP), int(b), own, int(h), ratio) for a, z, t, b, h in zip(lines, sizes, words, low, have, strict=True)])
+
+    return run(lines, sizes, words, low, have)

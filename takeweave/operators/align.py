@@ -11,6 +11,8 @@ from takeweave.functions import nearends
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿß"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyys"
 BLOCK_WORDS = 256
+#: Characters of the lines and words of the recording that one row of the backward sweep has.
+SWEEP_CHARS, SWEEP_WORDS = 1 << 14, 1 << 15
 
 
 def folded_words(c: Column) -> Column:
@@ -81,21 +83,25 @@ def backward_sweep(lines: DataFrame, stream: DataFrame, n: int = 3, ratio: float
 
     lines(rec_id, no, words) are those without another match, stream(rec_id, words). Windows have max(size of the line, 2n) words and
     step by half of that; the window that ends the recording comes first.
+
+    Lines go by ``SWEEP_CHARS`` characters, recordings by ``SWEEP_WORDS`` words: all lines of a row are read over its words together, from the end, in
+    ``nearends.latest_windows``.
     """
+    size = F.greatest(F.size("words"), F.lit(2 * n))
+    l = lines.where("words is not null").select("rec_id", "no", size.alias("size"), F.array_join("words", " ").alias("a"))
     longest = lines.agg(F.max(F.size("words"))).first()[0] or 0
-    w = lines.withColumn("size", F.greatest(F.size("words"), F.lit(2 * n))).hint("merge").join(stream.select("rec_id", F.size("words").alias("have")), "rec_id")
-    w = w.withColumn("last", F.greatest(F.col("have") - F.col("size"), F.lit(0))).withColumn("by", F.floor(F.col("size") / 2).cast("int"))
-    w = w.select("rec_id", "no", "size", "last", "by", F.array_join("words", " ").alias("a"), F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / BLOCK_WORDS).cast("int"))).alias("_b"))
-    # A line meets a block once and its windows there are made behind the join. Each row stands for many comparisons: rows are spread by
-    # number, since their bytes alone would put them into few tasks.
+    upto = F.sum(F.length("a") + 1).over(Window.partitionBy("rec_id").orderBy("no", "a").rowsBetween(Window.unboundedPreceding, 0))
+    l = l.withColumn("_c", F.floor((upto - 1) / SWEEP_CHARS)).groupBy("rec_id", "_c").agg(F.collect_list(F.struct("no", "a", "size")).alias("ls"))
+    places = F.sequence(F.lit(0), F.floor(F.greatest(F.size("words") - 1, F.lit(0)) / SWEEP_WORDS).cast("int"))
+    s = stream.where("words is not null").select("rec_id", "words", F.size("words").alias("have"), F.explode(places).alias("_b"))
+    s = s.select("rec_id", "have", "_b", F.array_join(F.slice("words", F.col("_b") * SWEEP_WORDS + 1, F.lit(SWEEP_WORDS + max(longest, 2 * n))), nearends.GAP).alias("ws"))
+    # Each row stands for many comparisons: rows are spread by number, since their bytes alone would put them into few tasks.
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    w = w.repartition(parts, "rec_id", "_b").hint("merge").join(stream_blocks(stream, "rec_id", max(longest, 2 * n)).repartition(parts, "rec_id", "_b"), ["rec_id", "_b"])
-    low = F.col("_b") * BLOCK_WORDS
-    top = F.col("last") - F.ceil(F.greatest(F.col("last") - low - (BLOCK_WORDS - 1), F.lit(0)) / F.col("by")).cast("int") * F.col("by")
-    w = w.withColumn("top", top).where(F.col("top") >= low).select("rec_id", "no", "a", "_b", "_ws", "size", F.explode(F.sequence("top", low, -F.col("by"))).alias("start"))
-    w = w.select("rec_id", "no", "start", "a", F.array_join(F.slice("_ws", F.col("start") - low + 1, F.col("size")), " ").alias("b"))
-    w = w.withColumn("most", F.floor(F.greatest(F.length("a"), F.length("b")) * ratio).cast("int")).where(F.abs(F.length("a") - F.length("b")) <= F.col("most"))
-    w = w.withColumn("dist", F.expr("levenshtein(a, b, most)")).where("dist >= 0")
+    w = l.hint("merge").join(s, "rec_id").repartition(parts, "rec_id", "_c", "_b")
+    near = nearends.latest_windows(F.col("ls.a"), F.col("ls.size"), F.col("ws"), F.col("_b") * SWEEP_WORDS, SWEEP_WORDS, F.col("have"), ratio)
+    w = w.select("rec_id", F.col("ls.no").alias("nos"), F.explode(near).alias("x"))
+    at = lambda i: F.get("x", F.lit(i))
+    w = w.select("rec_id", F.get("nos", at(0)).alias("no"), at(1).alias("start"), at(2).alias("dist"))
     return w.groupBy("rec_id", "no").agg(F.max(F.struct("start", "dist")).alias("x")).select("rec_id", "no", "x.*")
 
 

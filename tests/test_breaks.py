@@ -161,3 +161,29 @@ def test_whole_windows_compare_only_what_may_match(spark):
     got = align.whole_windows(lines, spark.createDataFrame([(1, words)], "rec_id long, words array<string>"))
     assert "rec_id#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "gram" not in plan and "levenshtein" not in plan
     assert {no for (no,) in rows(got.where("start >= no"), "no")} == set(range(0, 880, 44))
+
+
+def test_backward_sweep_reads_all_lines_of_a_row_together(spark, monkeypatch):
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcé中") for _ in range(r.randint(1, 6)))
+    texts = {1: [word() for _ in range(150)], 2: ["ab"] * 40, 3: [""], 4: [], 5: [word() for _ in range(3)], 6: None}
+    lines = [(1, i, texts[1][at : at + n][: n - i % 3] + ["b"] * (i % 2)) for i, (at, n) in enumerate([(0, 9), (140, 30), (60, 3), (70, 40), (3, 20), (20, 21), (99, 5), (31, 70), (0, 150)])]
+    lines += [(2, i, ["ab"] * n) for i, n in enumerate([1, 4, 6, 30])] + [(rec, i, ws) for rec in (3, 4, 5, 6, 7) for i, ws in enumerate([[""], texts[5], texts[5][:2] + ["中"], None, []])]
+    monkeypatch.setattr(align, "SWEEP_CHARS", 90)
+    monkeypatch.setattr(align, "SWEEP_WORDS", 16)
+    got = align.backward_sweep(spark.createDataFrame(lines, "rec_id long, no long, words array<string>"), spark.createDataFrame(list(texts.items()), "rec_id long, words array<string>"))
+    assert "levenshtein" not in got._jdf.queryExecution().executedPlan().toString()  # before each window was a row with a table of edits of its own
+    want = {}
+    for rec, no, line in lines:
+        text = texts.get(rec)
+        if line is None or text is None:
+            continue
+        size = max(len(line), 6)
+        for s in range(max(len(text) - size, 0), -1, -(size // 2)):
+            a, b = " ".join(line), " ".join(text[s : s + size])
+            if (rec, no) not in want and distance(a, b) <= 0.35 * max(len(a), len(b)):
+                want[rec, no] = (s, distance(a, b))
+    assert {(r["rec_id"], r["no"]): (r["start"], r["dist"]) for r in got.collect()} == want
+    assert len(want) > 14

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from takeweave.operators import intervals as iv
 from takeweave.operators import overlaps, ownmatch, retake
+from takeweave.queries import script
 
 
 def words_of(text, rec=1, step=300):
@@ -54,6 +55,38 @@ def test_anchor_windows_against_a_search(spark):
     assert ownmatch.anchor_windows(l, w.limit(0)).collect() == []
 
 
+def test_latest_anchors_use_whole_turns(spark, tmp_path):
+    turns = {(1, 0): "said before " * 9 + "and the end of a long turn", (1, 1): "x " * 40, (1, 2): "short", (2, 0): "one turn only, " * 12, (3, 0): "a b", (3, 1): "", (3, 2): "zq " * 50 + "the end of a long turn"}
+    spark.createDataFrame([(*k, "user", v) for k, v in turns.items()], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    canon = lambda x: "".join(c for c in x if c.isalnum())
+    want = set()
+    for (r, i), t in turns.items():
+        if canon(t):
+            windows, hits = plain_windows(canon(t), "".join(canon(x) for (o, _), x in sorted(turns.items()) if o == r), 6, script.CAP, True)
+            want |= {(r, i, lo, hi, hits) for lo, hi in windows}
+    got = {tuple(x) for x in script.QUERIES["m03_latest_anchors"](spark, str(tmp_path)).collect()}
+    assert got == want  # before only the first 60 characters of a turn were looked for
+    assert max(hi - lo for _, _, lo, hi, _ in got) > 120
+
+
+def test_anchor_windows_of_long_lines_against_a_search(spark):
+    rng = random.Random(12)
+    text = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    texts = {1: text(900, "ab"), 2: text(300, "abcdefgh"), 3: "a" * 400, 4: text(150, "ab")}
+    lines = [(r, i, x) for r, t in texts.items() for i, x in enumerate([t, t[20:140], text(100, "xy") + t[5:60], "a" * 120, text(160, "ab"), t[-len(t) // 2 :], "xy" * 90, t * 2, None])]
+    lines.append((2, None, text(100, "xy") + texts[2][:40]))
+    w = spark.createDataFrame([(r, i, t[i : i + 3], 0, 0) for r, t in texts.items() for i in range(0, len(t), 3)], WORDS).repartition(5)
+    l = spark.createDataFrame(lines, "rec_id long, no long, text string")
+    for cap, latest in ((7, True), (10_000, True), (3, False)):
+        want = set()
+        for r, i, t in lines:
+            windows, hits = plain_windows(t, texts[r], 6, cap, latest) if t else ([], 0)
+            want |= {(r, i, lo, hi, hits) for lo, hi in windows}
+        assert {tuple(x) for x in ownmatch.anchor_windows(l, w, cap=cap, latest=latest).collect()} == want
+    # two lines of one number are one search, in the order of the offset and the place
+    assert ownmatch._search(["abcabc", "bc"], "abcabcbc", 2, 9, True) == ([(4, 8), (2, 6), (0, 8), (0, 3), (0, 6), (0, 7)], 14)
+
+
 def test_own_matches_take_the_latest_and_tell_why(spark):
     said = "one two three four five six " + "x " * 600 + "one two three four fife six end"
     w = spark.createDataFrame(words_of(said), WORDS)
